@@ -156,6 +156,25 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids, text_sha256, decoded_sha256) of every row: ids that can be stored, and proof that they decode."""
+    own_path, own_pattern = default_ranks()
+    path, pat = ranks_path or own_path, pattern or own_pattern
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        c, n, raw, sha, back = codec(path, pat), [], [], [], []
+        for text in texts(batch):
+            ids = c.encode(text)
+            n.append(len(ids))
+            raw.append(ids.astype("<u4").tobytes())
+            sha.append(hashlib.sha256(text.encode()).hexdigest())
+            back.append(hashlib.sha256(c.decode(ids)).hexdigest())
+        cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(raw, pa.binary()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids", "text_sha256", "decoded_sha256"])
+
+    return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids binary, text_sha256 string, decoded_sha256 string")
+
+
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
     """Query: ids and their decoding, as digests, of every document."""
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
