@@ -163,8 +163,15 @@ class Plan:
         return out
 
 
-def chosen_parts(n: int, tau: int) -> int:
-    """Number of parts of least cost, where a shuffled probe counts as 100 comparisons; results are the same for any."""
+#: Number of fingerprints that parts are laid out for by default; a larger one gives fewer, wider parts.
+EXPECTED = 1 << 20
+
+
+def chosen_parts(tau: int, expected: int = EXPECTED) -> int:
+    """Number of parts of least cost, where a shuffled probe counts as 100 comparisons.
+
+    It depends on parameters alone, so that work a fingerprint is the same for any table; so are the results for any number.
+    """
 
     def cost(m: int) -> float:
         width, budget = BITS // m, tau - m + 1
@@ -172,7 +179,7 @@ def chosen_parts(n: int, tau: int) -> int:
             return float("inf")
         t = [budget // m + (i < budget % m) for i in range(m)]
         probes = sum(sum(comb(width, d) for d in range(x + 1)) for x in t)
-        return m + probes * (1 + n / 2.0**width / 100)
+        return m + probes * (1 + expected / 2.0**width / 100)
 
     return min(range(2, 9), key=cost)
 
@@ -195,7 +202,7 @@ def plan(distinct: DataFrame, tau: int, parts: int | None = None) -> Plan:
     mean = total[1 : 1 + BITS] / max(1, n)
     cov = total[1 + BITS :].reshape(BITS, BITS) / max(1, n) - np.outer(mean, mean)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-    out = Plan(grouped_bits(cov / np.outer(sd, sd), parts or chosen_parts(n, tau)), tau, n)
+    out = Plan(grouped_bits(cov / np.outer(sd, sd), parts or chosen_parts(tau)), tau, n)
     out.learn(vector_sum(distinct.select("fp"), lambda batch: out.count(fps(batch)), out.width()))
     return out
 
