@@ -106,17 +106,67 @@ class EliasFano:
 # ---------------------------------------------------------------- encoding with a tokenizer file
 
 
+class Table:
+    """Ids of known words by a 64-bit hash, with the words' bytes, which every hit is held against."""
+
+    SLOTS = 1 << 21
+
+    def __init__(self, kind: str):
+        self.keys, self.at = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int64)
+        self.n = 0
+        self.ids, self.bytes = np.zeros(1 << 16, kind), np.zeros(1 << 16, np.uint8)
+        self.id_end, self.byte_end = np.zeros(1 + self.SLOTS // 2, np.int64), np.zeros(1 + self.SLOTS // 2, np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of the word of each hash, or -1."""
+        out, slot, todo = np.full(len(h), -1), (h >> np.uint64(40)).astype(np.int64) % self.SLOTS, np.arange(len(h))
+        while len(todo):
+            key = self.keys[slot[todo]]
+            hit = key == h[todo]
+            out[todo[hit]] = self.at[slot[todo[hit]]]
+            todo = todo[~hit & (key != 0)]
+            slot[todo] = (slot[todo] + 1) % self.SLOTS
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, id_sizes: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> None:
+        """Words of distinct new hashes, with their ids and bytes one after the other."""
+        first = self.n
+        self.id_end[first + 1 : first + 1 + len(h)] = self.id_end[first] + np.cumsum(id_sizes)
+        self.byte_end[first + 1 : first + 1 + len(h)] = self.byte_end[first] + np.cumsum(sizes)
+        self.n += len(h)
+        for name, new, ends in (("ids", ids, self.id_end), ("bytes", raw, self.byte_end)):
+            old = getattr(self, name)
+            if ends[self.n] > len(old):
+                setattr(self, name, old := np.concatenate([old, np.zeros(max(len(old), len(new)), old.dtype)]))
+            old[ends[first] : ends[self.n]] = new
+        slot, todo = (h >> np.uint64(40)).astype(np.int64) % self.SLOTS, np.arange(len(h))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] == 0]
+            _, one = np.unique(slot[free], return_index=True)
+            self.keys[slot[free[one]]] = h[free[one]]
+            self.at[slot[free[one]]] = first + free[one]
+            todo = np.setdiff1d(todo, free[one], assume_unique=True)
+            slot[todo] = (slot[todo] + 1) % self.SLOTS
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + size, size)
+
+
 class Words:
-    """Ids of texts by the ``tokenizers`` library, one call for all words of a batch that the process has not seen.
+    """Ids of texts by the ``tokenizers`` library, one call for all words of a buffer that the process does not know.
 
-    Texts are cut where a non-space is followed by a space, tab or line break, which no match of the tokenizer's splitting
-    pattern spans, so ids of the parts joined are those of the text.
+    Texts are cut where no match of a byte-level tokenizer's splitting pattern can go on: before a space, tab or line
+    break that follows a non-space, and before a comma or full stop that follows an ASCII letter or digit. Ids of the parts joined
+    are those of the text. Unknown words are encoded as one text, cut by the same rules, and told apart by the bytes that ids
+    stand for. Texts with other white space, and all texts under other tokenizers, are encoded whole.
     """
 
-    MOST = 400_000
-    PART = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
     ODD = re.compile(r"[^\S \n\t\r]")
-    SLOW_PART = re.compile(r"[\s\S]*?\S(?=[ \n\t\r])|[\s\S]+")
+    BUFFER = 1 << 20
+    BASE = 0x9E3779B97F4A7C15
 
     def __init__(self, path: str, end_id: int):
         import os
@@ -127,33 +177,104 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if max(self.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
-        self.seen: dict[str, bytes] = {}
-
-    def split(self, text: str) -> list[str]:
-        return (self.SLOW_PART if self.ODD.search(text) else self.PART).findall(text)
-
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        got = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        raw, step = np.array(got.ids, self.kind).tobytes(), np.dtype(self.kind).itemsize
-        owner = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
-        cut = (np.searchsorted(owner, np.arange(len(new) + 1)) * step).tolist()
-        return {w: raw[cut[i] : cut[i + 1]] for i, w in enumerate(new)}
+        said = json.loads(self.tokenizer.to_str())
+        splitter = said.get("pre_tokenizer") or {}
+        self.by_bytes = splitter.get("type") == "ByteLevel" and not splitter.get("add_prefix_space") and not said.get("normalizer")
+        vocab = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each id: byte-level tokens have a character a byte
+        for token, i in vocab.items():
+            self.size[i] = len(token)
+        self.table = Table(self.kind)
+        byte = np.arange(256)
+        self.space = np.isin(byte, [32, 9, 10, 13])
+        self.stop = np.isin(byte, [ord(","), ord(".")])
+        self.alnum = np.array([chr(c).isascii() and chr(c).isalnum() for c in byte])
+        self.power = np.full(self.BUFFER + 1, self.BASE, np.uint64)
+        self.inverse = np.full(self.BUFFER + 1, pow(self.BASE, -1, 1 << 64), np.uint64)
+        for x in (self.power, self.inverse):
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text, in the byte width of the file."""
-        out = []
-        for lo in range(0, len(batch), 256):
-            split = [self.split(t) for t in batch[lo : lo + 256]]
-            seen = self.seen
-            new = {w for words in split for w in words if w not in seen}
-            if len(seen) + len(new) > self.MOST:
-                seen.clear()
-                new = {w for words in split for w in words}
-            if new:
-                seen.update(self.learn(list(new)))
-            out += [b"".join([seen[w] for w in words]) for words in split]
+        out: list[bytes] = [b""] * len(batch)
+        group, size = [], 0
+        for i, text in enumerate(batch):
+            raw = text.encode()
+            if not self.by_bytes or len(raw) > self.BUFFER or self.ODD.search(text):
+                out[i] = self.whole(text).tobytes()
+            elif raw:
+                if size + len(raw) > self.BUFFER:
+                    self.buffer(group, out)
+                    group, size = [], 0
+                group.append((i, raw))
+                size += len(raw)
+        if group:
+            self.buffer(group, out)
         return out
 
+    def buffer(self, group: list[tuple[int, bytes]], out: list[bytes]) -> None:
+        data = b"".join([raw for _, raw in group])
+        b = np.frombuffer(data, np.uint8)
+        sizes = np.array([len(raw) for _, raw in group])
+        doc_start = np.cumsum(sizes) - sizes
+        space = self.space[b]
+        cut = np.zeros(len(b), bool)
+        cut[1:] = (space[1:] & ~space[:-1]) | (self.stop[b[1:]] & self.alnum[b[:-1]])
+        cut[doc_start] = True
+        start = np.flatnonzero(cut)
+        size = np.diff(np.concatenate([start, [len(b)]]))
+        prefix = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.power[: len(b)], out=prefix[1:])
+        h = (prefix[start + size] - prefix[start]) * self.inverse[start] + size.astype(np.uint64)
+        h ^= h >> np.uint64(29)
+        h = h * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
+        word = self.known(data, b, start, size, h)
+        if word is None:
+            for i, raw in group:
+                out[i] = self.whole(raw.decode()).tobytes()
+            return
+        n = self.table.id_end[word + 1] - self.table.id_end[word]
+        ids = self.table.ids[spread(self.table.id_end[word], n)]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        first = np.concatenate([np.searchsorted(start, doc_start), [len(start)]])
+        for k, (i, _) in enumerate(group):
+            out[i] = ids[ends[first[k]] : ends[first[k + 1]]].tobytes()
+
+    def known(self, data: bytes, b: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray | None:
+        """Numbers of all words of a buffer in the table, learning those that it lacks; none if two words share a hash."""
+        table = self.table
+        word = table.find(h)
+        if (word < 0).any():
+            if table.n + int((word < 0).sum()) > table.SLOTS // 2:
+                table = self.table = Table(self.kind)
+                word[:] = -1
+            new = np.flatnonzero(word < 0)
+            _, one = np.unique(h[new], return_index=True)
+            self.learn([data[x:y] for x, y in zip(start[new[one]].tolist(), (start + size)[new[one]].tolist())], h[new[one]])
+            word[new] = table.find(h[new])
+        same = table.byte_end[word + 1] - table.byte_end[word] == size
+        if not same.all() or (table.bytes[spread(table.byte_end[word], size)] != b[spread(start, size)]).any():
+            return None
+        return word
+
+    def learn(self, words: list[bytes], h: np.ndarray) -> None:
+        lead = [i for i, w in enumerate(words) if w[0] in b" \n\t\r" and w[-1] not in b" \n\t\r"]
+        ids: list[np.ndarray] = [None] * len(words)
+        if lead:
+            got = np.array(self.tokenizer.encode_batch_fast([b"".join([words[i] for i in lead]).decode()], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.searchsorted(np.cumsum(self.size[got]), np.cumsum([len(words[i]) for i in lead])) + 1
+            for i, piece in zip(lead, np.split(got, ends[:-1])):
+                ids[i] = piece
+        rest = [i for i in range(len(words)) if ids[i] is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False)):
+            ids[i] = np.array(e.ids, np.int64)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        self.table.add(h, np.concatenate(ids), np.array([len(x) for x in ids]), raw, np.array([len(w) for w in words]))
+
 
 @functools.lru_cache(maxsize=4)
 def words(path: str, end_id: int) -> Words:
