@@ -108,7 +108,7 @@ def op6_chat(spark, sf_dir: str) -> DataFrame:
     """Query: all conversations and one that quotes control strings, formatted and read back."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     quoting = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-7, 0, "user", quoting), (-7, 1, "assistant", quoting)], "conv_id long, turn long, role string, text string")
+    own = spark.sql(f"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '{quoting}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
     return digests(examples(formatted(turns.unionByName(own))))
 
 
