@@ -1,5 +1,606 @@
 """Queries by name, and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import stats, text
+from ..operators import bootstrap, diffs, events, exam, joins, scan, trials
+from ..sources import bindings as b
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 FLAGSHIP = "daily_rate"
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# ---------------------------------------------------------------- rates
+
+_CALLS = """WITH calls AS (SELECT CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles' AS DATE) AS day, user_id % 3 AS host,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS pattern, CAST(event_type = 'error' AS BIGINT) AS struggle, user_id FROM events)"""
+_Z = stats.Z95
+_CHI = "({df} * pow(1 - 2.0 / (9 * {df}) + ({z}) * sqrt(2.0 / (9 * {df})), 3.0))"
+_LOW = f"CASE WHEN k > 0 THEN {_CHI.format(df='(2.0 * k)', z=-_Z)} / 2 ELSE 0.0 END"
+_HIGH = f"{_CHI.format(df='(2.0 * k + 2)', z=_Z)} / 2"
+
+
+@query(f"""{_CALLS}, d AS (SELECT day, count(*) AS n, CAST(sum(struggle) AS BIGINT) AS k FROM calls GROUP BY day)
+SELECT day, n AS calls, k AS struggles, round(1000.0 * k / n, 3) AS rate, round(1000 * ({_LOW}) / n, 3) AS low, round(1000 * ({_HIGH}) / n, 3) AS high FROM d""")
+def daily_rate(spark, sf):
+    d = b.calls(spark, sf).groupBy("day").agg(F.count("*").alias("calls"), F.sum("struggle").alias("struggles"))
+    k, n = F.col("struggles"), F.col("calls")
+    low, high = stats.poisson_interval(k, n)
+    return d.select("day", "calls", "struggles", stats.rate_per_thousand(k, n).alias("rate"), low.alias("low"), high.alias("high"))
+
+
+@query(f"""{_CALLS} SELECT day, host, count(*) AS calls, CAST(sum(struggle) AS BIGINT) AS struggles, count(DISTINCT user_id) AS sessions
+FROM calls GROUP BY GROUPING SETS ((day), (day, host))""")
+def host_slices(spark, sf):
+    c = b.calls(spark, sf)
+    aggs = [F.count("*").alias("calls"), F.sum("struggle").alias("struggles"), F.count_distinct("user_id").alias("sessions")]
+    return c.groupingSets([[F.col("day")], [F.col("day"), F.col("host")]], F.col("day"), F.col("host")).agg(*aggs)
+
+
+_WEEKS = f"""{_CALLS}, weeks AS (SELECT CAST(date_trunc('week', day) AS DATE) AS week, count(*) AS n, CAST(sum(struggle) AS BIGINT) AS k, count(DISTINCT user_id) AS sessions
+FROM calls GROUP BY 1)"""
+
+
+@query(f"{_WEEKS} SELECT week, n AS calls, k AS struggles, sessions, round(1000.0 * k / n, 3) AS rate FROM weeks")
+def weekly_rollup(spark, sf):
+    c = b.calls(spark, sf).groupBy(F.date_trunc("week", F.col("day")).cast("date").alias("week"))
+    w = c.agg(F.count("*").alias("calls"), F.sum("struggle").alias("struggles"), F.count_distinct("user_id").alias("sessions"))
+    return w.withColumn("rate", stats.rate_per_thousand(F.col("struggles"), F.col("calls")))
+
+
+@query(f"""{_WEEKS}, x AS (SELECT CAST(row_number() OVER (ORDER BY week) - 1 AS DOUBLE) AS i, CAST(k AS DOUBLE) AS k, n FROM weeks),
+u AS (SELECT i, k, ln(k / n) AS y FROM x WHERE k >= 1 AND n >= 200),
+s AS (SELECT count(*) AS points, sum(k) AS w, sum(k*i) AS wx, sum(k*y) AS wy, sum(k*i*i) AS wxx, sum(k*i*y) AS wxy FROM u),
+t AS (SELECT points, wxx - wx*wx/w AS sxx, (wxy - wx*wy/w) / (wxx - wx*wx/w) AS b FROM s),
+f AS (SELECT points, round(exp(b), 6) AS factor, round(exp(b - {_Z} / sqrt(sxx)), 6) AS low, round(exp(b + {_Z} / sqrt(sxx)), 6) AS high FROM t)
+SELECT *, CASE WHEN factor IS NULL THEN 'Not estimable' WHEN high < 1 THEN 'Declining' WHEN low > 1 THEN 'Rising' ELSE 'Flat' END AS verdict FROM f""")
+def weekly_trend(spark, sf):
+    weeks = weekly_rollup(spark, sf)
+    i = (F.row_number().over(Window.orderBy("week")) - 1).cast("double")  # weeks are few
+    return stats.weighted_trend(weeks.select(i.alias("i"), F.col("struggles").cast("double").alias("k"), F.col("calls").alias("n")))
+
+
+@query(f"""{_CALLS} SELECT host, pattern, CAST(sum(struggle) AS BIGINT) AS struggles, count(*) AS calls FROM calls GROUP BY host, pattern
+QUALIFY row_number() OVER (ORDER BY sum(struggle) DESC, host, pattern) <= 12""")
+def pattern_host_top(spark, sf):
+    c = b.calls(spark, sf).groupBy("host", "pattern").agg(F.sum("struggle").alias("struggles"), F.count("*").alias("calls"))
+    return c.orderBy(F.desc("struggles"), "host", "pattern").limit(12)
+
+
+# ---------------------------------------------------------------- events
+
+_EV = """WITH ev AS (SELECT user_id, event_id, ts, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)"""
+_EP = f"""{_EV}, h AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY user_id ORDER BY i) > 6 THEN 1 ELSE 0 END AS fresh FROM ev WHERE event_type = 'error'),
+g AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY i) AS BIGINT) AS episode FROM h),
+ep AS (SELECT user_id, episode, min(i) AS start_event, max(i) AS end_event, count(*) AS hits FROM g GROUP BY user_id, episode)"""
+
+
+@query(f"{_EP} SELECT * FROM ep")
+def episodes(spark, sf):
+    hits = b.event_stream(spark, sf).where("event_type = 'error'").select("user_id", "i")
+    return events.episode_spans(events.merged_episodes(hits, "user_id"), "user_id")
+
+
+@query(f"""{_EP}, j AS (SELECT ep.*, ev.i AS e, ev.event_type AS t, min(ev.i) OVER w AS first, max(ev.i) OVER w AS last FROM ep JOIN ev ON ev.user_id = ep.user_id
+  AND ev.i BETWEEN greatest(ep.start_event - 3, 0) AND ep.end_event + 2 WINDOW w AS (PARTITION BY ep.user_id, ep.episode))
+SELECT user_id, episode, count(*) AS shown, CAST(sum(CASE WHEN t = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS tool_calls, min(e) AS first_event, max(e) AS last_event FROM j
+WHERE last - first < 24 OR e < first + 12 OR e > last - 12 GROUP BY user_id, episode""")
+def episode_context(spark, sf):
+    ev = b.event_stream(spark, sf).select("user_id", "i", "event_type")
+    spans = events.episode_spans(events.merged_episodes(ev.where("event_type = 'error'"), "user_id"), "user_id")
+    shown = events.context(spans, ev, "user_id")
+    calls = F.sum((F.col("event_type") == "click").cast("long")).alias("tool_calls")
+    return shown.groupBy("user_id", "episode").agg(F.count("*").alias("shown"), calls, F.min("event").alias("first_event"), F.max("event").alias("last_event"))
+
+
+@query(f"""{_EP}, s AS (SELECT user_id, episode, k % 3 AS signal, count(*) AS hits FROM g GROUP BY ALL)
+SELECT signal, count(*) AS episodes, CAST(sum(hits) AS BIGINT) AS hits, count(DISTINCT user_id) AS sessions FROM s GROUP BY signal""")
+def signal_counts(spark, sf):
+    hits = b.event_stream(spark, sf).where("event_type = 'error'").select("user_id", "i", (F.col("k") % 3).alias("signal"))
+    per = events.merged_episodes(hits, "user_id").groupBy("user_id", "episode", "signal").agg(F.count("*").alias("hits"))
+    return per.groupBy("signal").agg(F.count("*").alias("episodes"), F.sum("hits").alias("hits"), F.count_distinct("user_id").alias("sessions"))
+
+
+@query(f"{_EV} SELECT user_id, substr(strftime(ts, '%Y-%m-%dT%H:%M:%S'), 1, 13) AS hour, count(*) AS calls FROM ev WHERE event_type = 'click' GROUP BY ALL")
+def hourly_calls(spark, sf):
+    ev = b.event_stream(spark, sf).where("event_type = 'click'")
+    return ev.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd'T'HH").alias("hour")).agg(F.count("*").alias("calls"))
+
+
+@query(f"""{_EV}, o AS (SELECT user_id, i, event_type,
+  min(CASE WHEN event_type = 'click' THEN i END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS tool_at,
+  min(CASE WHEN event_type = 'signup' THEN i END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS turn_at,
+  max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) AS reply FROM ev)
+SELECT user_id, i, tool_at IS NOT NULL AND (turn_at IS NULL OR tool_at < turn_at) AS acted, coalesce(reply, 0) = 1 AS replied FROM o WHERE event_type = 'signup'""")
+def message_outcomes(spark, sf):
+    t = F.col("event_type")
+    return events.outcomes(b.event_stream(spark, sf), "user_id", t == "signup", t == "signup", t == "click", t == "purchase").select("user_id", "i", "acted", "replied")
+
+
+@query(f"{_EV} SELECT user_id, k AS sender, i, row_number() OVER (PARTITION BY user_id, k ORDER BY i) AS nth FROM ev WHERE event_type = 'view' QUALIFY nth >= 2")
+def repeat_messages(spark, sf):
+    v = b.event_stream(spark, sf).where("event_type = 'view'").withColumnRenamed("k", "sender")
+    return events.repeats(v, "user_id", "sender").select("user_id", "sender", "i", F.col("nth").cast("long").alias("nth"))
+
+
+@query(f"""{_EV}, c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) AS n,
+  coalesce(max(CASE WHEN event_type = 'purchase' THEN i END) OVER (PARTITION BY user_id ORDER BY i), -1) AS stop FROM ev WHERE event_type IN ('click', 'purchase'))
+SELECT a.user_id, a.i, count(*) AS seen FROM c a JOIN c p ON p.user_id = a.user_id AND p.k % 10 = a.k % 10 AND p.event_type = 'click' AND p.n BETWEEN a.n - 12 AND a.n AND p.i > a.stop
+WHERE a.event_type = 'click' GROUP BY ALL HAVING count(*) >= 3""")
+def polling(spark, sf):
+    calls = b.event_stream(spark, sf).where("event_type in ('click', 'purchase')").withColumn("same", F.col("k") % 10)
+    return events.polls(calls, "user_id", "same", F.col("event_type") == "purchase").select("user_id", "i", "seen")
+
+
+@query(f"""{_EV}, p AS (SELECT *, last_value(CASE WHEN event_type <> 'error' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after FROM ev)
+SELECT user_id, i, after FROM p WHERE event_type = 'signup' AND after IN ('view', 'click')""")
+def turns_after_action(spark, sf):
+    t = F.col("event_type")
+    return events.last_before(b.event_stream(spark, sf), "user_id", F.when(t != "error", t), "after").where("event_type = 'signup' and after in ('view', 'click')").select("user_id", "i", "after")
+
+
+@query(f"""{_EV}, c AS (SELECT user_id, k, i FROM ev WHERE event_type = 'click'), r AS (SELECT user_id, k, min(i) AS result_event FROM ev WHERE event_type = 'error' GROUP BY ALL)
+SELECT c.user_id, c.k, c.i, r.result_event FROM c LEFT JOIN r USING (user_id, k)""")
+def first_results(spark, sf):
+    ev = b.event_stream(spark, sf)
+    results = ev.where("event_type = 'error'").select("user_id", "k", "i", F.lit(True).alias("failed"))
+    return joins.first_match(ev.where("event_type = 'click'").select("user_id", "k", "i"), results, ["user_id", "k"]).drop("failed")
+
+
+_IV = f"""{_EV}, iv AS (SELECT user_id AS who, k AS file, CAST(floor(epoch(min(ts))) AS BIGINT) AS lo, CAST(floor(epoch(max(ts))) AS BIGINT) AS hi FROM ev WHERE event_type = 'click' GROUP BY ALL)"""
+
+
+def _intervals(spark, sf):
+    e = b.event_stream(spark, sf).where("event_type = 'click'")
+    secs = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    return e.groupBy(F.col("user_id").alias("who"), F.col("k").alias("file")).agg(F.min(secs).alias("lo"), F.max(secs).alias("hi"))
+
+
+@query(f"""{_IV} SELECT a.file, a.who AS a, b.who AS b, b.lo - a.lo AS lag_s, least(a.hi, b.hi) - greatest(a.lo, b.lo) AS shared_s FROM iv a JOIN iv b
+ON a.file = b.file AND a.who < b.who AND a.lo <= b.hi + 1800 AND b.lo <= a.hi + 1800""")
+def file_overlap(spark, sf):
+    iv = _intervals(spark, sf)
+    pairs = events.overlaps(iv, "file", "who", 1800)
+    lo = iv.select("file", F.col("who").alias("w"), F.col("lo").alias("start"))
+    out = pairs.join(lo.withColumnsRenamed({"w": "a", "start": "sa"}), ["file", "a"]).join(lo.withColumnsRenamed({"w": "b", "start": "sb"}), ["file", "b"])
+    return out.select("file", "a", "b", (F.col("sb") - F.col("sa")).alias("lag_s"), (F.col("hi") - F.col("lo")).alias("shared_s"))
+
+
+@query(f"""{_IV} SELECT a.file, a.who AS a, b.who AS b, least(a.hi, b.hi) - greatest(a.lo, b.lo) AS shared_s FROM iv a JOIN iv b
+ON a.file = b.file AND a.who < b.who AND a.lo <= b.hi AND b.lo <= a.hi""")
+def branch_overlap(spark, sf):
+    return events.overlaps(_intervals(spark, sf), "file", "who", 0).select("file", "a", "b", (F.col("hi") - F.col("lo")).alias("shared_s"))
+
+
+_RUNS = f"""{_EV}, first AS (SELECT user_id, min(CASE WHEN event_type = 'click' THEN ts END) AS c, max(ts) AS fin FROM ev GROUP BY user_id),
+runs AS (SELECT f.user_id, f.c, f.fin, min(CASE WHEN event_type = 'purchase' AND ts >= f.c THEN ts END) AS p FROM first f JOIN ev USING (user_id) GROUP BY ALL),
+run AS (SELECT user_id, CAST(greatest(0, floor(epoch(p)) - floor(epoch(c))) AS BIGINT) AS to_push, CAST(greatest(0, floor(epoch(fin)) - floor(epoch(c))) AS BIGINT) AS to_end FROM runs WHERE c IS NOT NULL)"""
+
+
+def _runs(spark, sf):
+    e = b.event_stream(spark, sf).withColumn("s", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    first = F.min(F.when(F.col("event_type") == "click", F.col("s"))).over(Window.partitionBy("user_id"))
+    e = e.withColumn("c", first).where("c is not null")
+    push = F.min(F.when((F.col("event_type") == "purchase") & (F.col("s") >= F.col("c")), F.col("s")))
+    r = e.groupBy("user_id", "c").agg(push.alias("p"), F.max("s").alias("fin"))
+    return r.select("user_id", F.when(F.col("p").isNotNull(), F.greatest(F.lit(0), F.col("p") - F.col("c"))).alias("to_push"), F.greatest(F.lit(0), F.col("fin") - F.col("c")).alias("to_end"))
+
+
+@query(f"""{_RUNS}, d AS (SELECT list_sort(list(to_push) FILTER (WHERE to_push IS NOT NULL)) AS xs, count(*) AS runs, count(to_push) AS pushed FROM run)
+SELECT runs, pushed, xs[1 + CAST(round((len(xs) - 1) * 0.5) AS INT)] AS p50, xs[1 + CAST(round((len(xs) - 1) * 0.9) AS INT)] AS p90, xs[len(xs)] AS longest FROM d""")
+def run_latency(spark, sf):
+    xs = F.array_compact(F.collect_list("to_push"))
+    d = _runs(spark, sf).agg(F.count("*").alias("runs"), F.count("to_push").alias("pushed"), xs.alias("xs"))
+    return d.select("runs", "pushed", stats.nearest_rank(F.col("xs"), 0.5).alias("p50"), stats.nearest_rank(F.col("xs"), 0.9).alias("p90"), F.array_max("xs").alias("longest"))
+
+
+@query(f"""{_RUNS}, m AS (SELECT unnest([2, 5, 10, 15, 30, 60]) AS minutes), f AS (SELECT minutes, CASE WHEN to_push IS NULL THEN to_end >= minutes * 60 ELSE to_push > minutes * 60 END AS fires, to_push IS NULL AS bad FROM run, m)
+SELECT CAST(minutes AS BIGINT) AS minutes, CAST(sum(CAST(fires AS INT)) AS BIGINT) AS fires, CAST(sum(CAST(fires AND bad AS INT)) AS BIGINT) AS caught, CAST(sum(CAST(fires AND NOT bad AS INT)) AS BIGINT) AS nags,
+CAST(sum(CAST(NOT fires AND bad AS INT)) AS BIGINT) AS missed FROM f GROUP BY minutes""")
+def rule_scores(spark, sf):
+    rules = F.explode(F.array(*[F.lit(m).cast("long") for m in (2, 5, 10, 15, 30, 60)])).alias("minutes")
+    f = _runs(spark, sf).select("*", rules)
+    fires = F.when(F.col("to_push").isNull(), F.col("to_end") >= F.col("minutes") * 60).otherwise(F.col("to_push") > F.col("minutes") * 60)
+    bad = F.col("to_push").isNull()
+    n = lambda c: F.sum(c.cast("long"))
+    return f.groupBy("minutes").agg(n(fires).alias("fires"), n(fires & bad).alias("caught"), n(fires & ~bad).alias("nags"), n(~fires & bad).alias("missed"))
+
+
+# ---------------------------------------------------------------- turns and texts
+
+_W = "list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{N}}'']+'), lambda w: w <> '')"
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in text.STOPWORDS)
+_CW = f"list_distinct(list_filter({_W}, lambda w: length(w) >= 3 AND NOT list_contains([{_STOP}], w)))"
+_CORR_W = ", ".join(f"'{w}'" for w in text.CORRECTION_WORDS)
+_CORR_P = " OR ".join("contains(s, ' " + p.replace("'", "''") + " ')" for p in text.CORRECTION_PHRASES)
+_ACR = ", ".join(f"'{w}'" for w in text.ACRONYMS)
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, role, text, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations),
+u AS (SELECT conv_id, turn, text, {_W.format(t='text')} AS ws, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) AS upper,
+  len(list_filter(regexp_split_to_array(text, '[^\\p{{L}}]+'), lambda w: length(w) >= 4 AND regexp_full_match(w, '\\p{{Lu}}+') AND NOT list_contains([{_ACR}], w))) AS loud FROM t WHERE role = 'user' AND after = 'assistant'),
+v AS (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS s FROM u)
+SELECT conv_id, turn FROM v WHERE length(text) <= 280 AND (list_has_any(ws, [{_CORR_W}]) OR {_CORR_P} OR loud >= 2 OR (letters >= 10 AND upper * 10 >= letters * 7))""")
+def corrections(spark, sf):
+    return events.corrections(b.table(spark, sf, "conversations")).select("conv_id", "turn")
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, role, text, sum(CAST(role = 'assistant' AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS answers FROM conversations),
+u AS (SELECT conv_id, turn, answers, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, {_CW.format(t='text')} AS cw FROM t WHERE role = 'user'),
+w AS (SELECT * FROM u WHERE len(cw) >= 4),
+p AS (SELECT a.conv_id, a.turn, b.turn AS earlier, len(list_intersect(a.cw, b.cw)) AS shared, len(a.cw) AS x, len(b.cw) AS y FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.n < a.n AND b.n >= a.n - 10 AND b.answers < a.answers)
+SELECT conv_id, turn, max(earlier) AS earlier, round(max(shared / (x + y - shared)), 6) AS likeness FROM p WHERE shared / (x + y - shared) >= 0.6 GROUP BY conv_id, turn""")
+def reasks(spark, sf):
+    return events.reasks(b.table(spark, sf, "conversations")).withColumn("likeness", r6("likeness"))
+
+
+@query(f"""SELECT conv_id, turn, len({_W.format(t='text')}) AS n_words, len({_CW.format(t='text')}) AS n_content, CAST(floor(length(text) / 4) AS BIGINT) AS tokens,
+len(list_distinct(list_transform(range(1, greatest(length(text) - 2, 1) + 1), lambda i: substr(text, i, 3)))) AS n_trigrams FROM conversations""")
+def turn_statistics(spark, sf):
+    t = F.col("text")
+    long = lambda c: c.cast("long")
+    return b.table(spark, sf, "conversations").select(
+        "conv_id", "turn", long(F.size(text.words(t))).alias("n_words"), long(F.size(text.content_words(t))).alias("n_content"),
+        long(F.floor(F.length(t) / 4)).alias("tokens"), long(F.size(text.trigrams(t))).alias("n_trigrams"),
+    )
+
+
+def _sql_redacted(c: str) -> str:
+    for pattern, new in text.REDACTIONS:
+        c = f"regexp_replace({c}, '{pattern}', '{new.replace('$', chr(92))}', 'g')"
+    return c
+
+
+@query(f"SELECT doc_id, sha256(r) AS redacted_sha256, length(r) AS n FROM (SELECT doc_id, {_sql_redacted('text')} AS r FROM documents)")
+def redacted(spark, sf):
+    d = b.table(spark, sf, "documents").select("doc_id", text.redacted(F.col("text")).alias("r"))
+    return d.select("doc_id", F.sha2("r", 256).alias("redacted_sha256"), F.length("r").cast("long").alias("n"))
+
+
+@query("""SELECT doc_id, CASE WHEN s = '' THEN 'noise' ELSE s END AS slug FROM (SELECT doc_id,
+substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60) AS s FROM documents)""")
+def slugs(spark, sf):
+    return b.table(spark, sf, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
+
+
+_TOK = "list_filter(regexp_split_to_array({t}, '[ \\t\\n\\r]+'), lambda w: w <> '')"
+_SHG = "list_distinct(list_transform(range(1, len(ts) - 6), lambda i: array_to_string(list_slice(ts, i, i + 7), ' ')))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_TOK.format(t='text')} AS ts FROM documents), q AS (SELECT item_id, {_TOK.format(t='text')} AS ts FROM benchmark),
+ds AS (SELECT doc_id, unnest({_SHG}) AS s FROM d WHERE len(ts) >= 8), qs AS (SELECT item_id, unnest({_SHG}) AS s FROM q WHERE len(ts) >= 8)
+SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN qs USING (s) GROUP BY doc_id, item_id HAVING count(*) >= 3""")
+def leak_check(spark, sf):
+    tokens = F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != "")
+    left = b.table(spark, sf, "documents").select(F.col("doc_id").alias("left_id"), tokens.alias("tokens"))
+    right = b.table(spark, sf, "benchmark").select(F.col("item_id").alias("right_id"), tokens.alias("tokens"))
+    return joins.shared_shingles(left, right).withColumnsRenamed({"left_id": "doc_id", "right_id": "item_id"})
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, {_CW.format(t='text')} AS ws FROM documents), s AS (SELECT id, len(ws) AS n, unnest(ws) AS w FROM t WHERE len(ws) >= 3),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) AS x, any_value(b.n) AS y FROM s a JOIN s b ON a.w = b.w AND a.id < b.id GROUP BY ALL)
+SELECT a, b, round(shared / (x + y - shared), 6) AS likeness FROM p WHERE shared / (x + y - shared) >= 0.5""")
+def duplicate_work(spark, sf):
+    words = text.content_words(F.col("text"))
+    return joins.similar_pairs(b.table(spark, sf, "documents"), "doc_id", words).withColumn("likeness", r6("likeness"))
+
+
+_OWN = "SELECT DISTINCT regexp_extract(url, '^https?://(.*?)/[^/]*$', 1) AS prefix FROM pages WHERE page_id % 3 = 0"
+
+
+@query(f"""WITH own AS (SELECT prefix FROM ({_OWN}) WHERE prefix <> ''), f AS (SELECT DISTINCT regexp_replace(url, '^https?://', '') AS path FROM pages)
+SELECT path, max_by(prefix, length(prefix)) AS owner FROM f LEFT JOIN own ON path = prefix OR starts_with(path, prefix || '/') GROUP BY path""")
+def page_owners(spark, sf):
+    pages = b.table(spark, sf, "pages")
+    own = pages.where("page_id % 3 = 0").select(F.regexp_extract("url", "^https?://(.*?)/[^/]*$", 1).alias("prefix")).where("prefix <> ''").distinct()
+    files = pages.select(F.regexp_replace("url", "^https?://", "").alias("path"))
+    return joins.longest_prefix(files, own.withColumn("owner", F.col("prefix"))).select("path", "owner")
+
+
+_ALIAS = "(VALUES ('en', 'english'), ('fr', 'french'), ('de', 'german')) AS a(alias, id)"
+
+
+@query(f"""SELECT coalesce(a.id, d.lang) AS pattern, a.id IS NOT NULL AS canonical, count(*) AS documents, count(DISTINCT source) AS sources, CAST(sum(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS good
+FROM documents d LEFT JOIN {_ALIAS} ON a.alias = d.lang LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1, 2""")
+def cluster_evidence(spark, sf):
+    aliases = spark.sql(f"SELECT * FROM {_ALIAS}")
+    docs = b.table(spark, sf, "documents").join(b.table(spark, sf, "labels"), "doc_id", "left").withColumnRenamed("lang", "raw").select("doc_id", "raw", "source", "quality")
+    good = F.sum(F.coalesce((F.col("quality") == 1).cast("long"), F.lit(0))).alias("good")
+    return joins.folded(docs, aliases).groupBy("pattern", "canonical").agg(F.count("*").alias("documents"), F.count_distinct("source").alias("sources"), good)
+
+
+@query("""SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def unlabelled(spark, sf):
+    return b.table(spark, sf, "documents").select("doc_id").join(b.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+# ---------------------------------------------------------------- trials
+
+_T = "WITH t AS (SELECT l_returnflag AS job, l_suppkey AS task, CAST(l_linestatus = 'F' AS DOUBLE) AS reward, l_quantity AS weight, l_extendedprice AS tokens, * FROM lineitem)"
+_ORD = "l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_linestatus"
+_SLOT = f"{_T}, s AS (SELECT *, row_number() OVER (PARTITION BY job, task ORDER BY {_ORD}) AS slot, count(*) OVER (PARTITION BY job, task) AS n FROM t)"
+_ORDER = [*b.TRIAL_ORDER, "reward"]
+
+
+@query(f"{_T} SELECT job, round(sum(reward * weight) / sum(weight), 6) AS score, round(avg(CASE WHEN tokens > 0 THEN tokens END), 6) AS cost, count(*) AS n, count(DISTINCT task) AS tasks FROM t GROUP BY job")
+def job_scores(spark, sf):
+    return trials.job_scores(b.trials(spark, sf)).withColumns({"score": r6("score"), "cost": r6("cost")})
+
+
+@query(f"""{_SLOT}, g AS (SELECT job, task, k.slot FROM (SELECT DISTINCT job FROM t) CROSS JOIN (SELECT DISTINCT task FROM t) CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS slot) k)
+SELECT g.job, count(*) AS slots, CAST(sum(CASE WHEN s.reward IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, round(avg(coalesce(s.reward, 0)), 6) AS pass_rate FROM g LEFT JOIN s ON s.job = g.job AND s.task = g.task AND s.slot = g.slot GROUP BY g.job""")
+def dense_pass_rate(spark, sf):
+    d = trials.densified(trials.first_trials(b.trials(spark, sf), 4, *_ORDER), 4)
+    return d.groupBy("job").agg(F.count("*").alias("slots"), F.sum(F.col("missing").cast("long")).alias("missing"), r6(F.avg("reward")).alias("pass_rate"))
+
+
+_MEANS = f"{_T}, m AS (SELECT job, task, avg(reward) AS mean, stddev_samp(reward) AS sd, count(*) AS n FROM t GROUP BY job, task)"
+
+
+@query(f"""{_MEANS}, d AS (SELECT a.mean AS a, c.mean AS b, c.mean - a.mean AS d FROM m a JOIN m c ON a.task = c.task AND a.job = 'A' AND c.job = 'N')
+SELECT count(*) AS n, round(avg(d), 6) AS delta, round(stddev_samp(d) / sqrt(count(*)), 6) AS se, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t, CAST(sum(CAST(d > 1e-12 AS INT)) AS BIGINT) AS improved,
+CAST(sum(CAST(d < -1e-12 AS INT)) AS BIGINT) AS worsened, CAST(sum(CAST(a = 1 AND b = 0 AS INT)) AS BIGINT) AS hard_drops FROM d""")
+def paired_delta(spark, sf):
+    return trials.paired(trials.task_means(b.trials(spark, sf)), "A", "N").withColumns({c: r6(c) for c in ("delta", "se", "t")})
+
+
+@query(f"""{_MEANS}, p AS (SELECT a.task, (c.mean, c.sd) > (a.mean, a.sd) AS win, a.mean = c.mean AND a.sd = c.sd AS tie FROM m a JOIN m c ON a.task = c.task AND a.job = 'A' AND c.job = 'R')
+SELECT CAST(sum(CAST(win AS INT)) AS BIGINT) AS wins, CAST(sum(CAST(tie AS INT)) AS BIGINT) AS ties, CAST(sum(CAST(NOT win AND NOT tie AS INT)) AS BIGINT) AS losses FROM p""")
+def win_tie_loss(spark, sf):
+    m = trials.task_means(b.trials(spark, sf))
+    pick = lambda job, n: m.where(F.col("job") == job).select("task", F.struct("mean", "sd").alias(n))
+    p = pick("A", "x").join(pick("R", "y"), "task")
+    n = lambda c: F.sum(c.cast("long"))
+    return p.agg(n(F.col("y") > F.col("x")).alias("wins"), n(F.col("y") == F.col("x")).alias("ties"), n(F.col("y") < F.col("x")).alias("losses"))
+
+
+@query(f"""{_SLOT}, d AS (SELECT job, task, avg(CASE WHEN slot > floor(n / 2) AND slot <= 2 * floor(n / 2) THEN reward END) - avg(CASE WHEN slot <= floor(n / 2) THEN reward END) AS d FROM s WHERE floor(n / 2) > 0 GROUP BY job, task)
+SELECT job, count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d) / sqrt(count(*)), 6) AS se FROM d GROUP BY job""")
+def half_split(spark, sf):
+    return trials.half_split(b.trials(spark, sf), *_ORDER).withColumns({c: r6(c) for c in ("mean", "se")})
+
+
+@query(f"""{_MEANS} SELECT job, round(avg(sd), 6) AS mean_sd, round(median(sd), 6) AS median_sd, round(avg(CAST(mean = 1 AS INT)), 6) AS always, round(avg(CAST(mean = 0 AS INT)), 6) AS never, round(avg(CAST(mean > 0 AND mean < 1 AS INT)), 6) AS movable FROM m GROUP BY job""")
+def task_noise(spark, sf):
+    share = lambda c: r6(F.avg(c.cast("int")))
+    m = F.col("mean")
+    return trials.task_means(b.trials(spark, sf)).groupBy("job").agg(
+        r6(F.avg("sd")).alias("mean_sd"), r6(F.median("sd")).alias("median_sd"), share(m == 1).alias("always"), share(m == 0).alias("never"), share((m > 0) & (m < 1)).alias("movable")
+    )
+
+
+_CAND = f"""{_T}, c AS (SELECT s_nationkey AS ord, job AS grp, round(sum(reward * weight) / sum(weight), 6) AS score, round(avg(tokens), 6) AS cost FROM t JOIN supplier ON s_suppkey = task GROUP BY 1, 2),
+b AS (SELECT job AS grp, round(sum(reward * weight) / sum(weight), 6) AS base_score, round(avg(tokens), 6) AS base_cost FROM t GROUP BY 1),
+x AS (SELECT c.*, base_score, base_cost, max(score) OVER (PARTITION BY c.grp) AS best_score FROM c JOIN b USING (grp)),
+y AS (SELECT *, CASE WHEN score < best_score - 0.05 THEN 'below floor' WHEN score - base_score <= 0.05 AND cost / base_cost - 1 > 0.0 THEN 'over budget' WHEN score - base_score <= 0 THEN 'no gain' ELSE 'admitted' END AS reason FROM x)"""
+
+
+@query(f"""{_CAND} SELECT CAST(ord AS BIGINT) AS ord, grp, score, reason, reason = 'admitted' AND row_number() OVER (PARTITION BY grp ORDER BY CAST(reason <> 'admitted' AS INT), score DESC, ord) = 1 AS chosen FROM y""")
+def selection(spark, sf):
+    t = b.trials(spark, sf)
+    scored = lambda by: t.join(b.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("task"), F.col("s_nationkey").cast("long").alias("ord")), "task").groupBy(*by).agg(r6(F.sum(F.col("reward") * F.col("weight")) / F.sum("weight")).alias("score"), r6(F.avg("tokens")).alias("cost"))
+    base = t.groupBy(F.col("job").alias("grp")).agg(r6(F.sum(F.col("reward") * F.col("weight")) / F.sum("weight")).alias("base_score"), r6(F.avg("tokens")).alias("base_cost"))
+    c = scored(["ord", F.col("job").alias("grp")]).join(base, "grp").withColumn("best_score", F.max("score").over(Window.partitionBy("grp")))
+    return trials.decide(c, 0.05, 0.0).select("ord", "grp", "score", "reason", "chosen")
+
+
+_H = """WITH h AS (SELECT (year(o_orderdate) * 12 + month(o_orderdate)) AS t, o_orderpriority AS component, round(avg(o_totalprice) - 150000, 4) AS gain, count(*) % 2 = 0 AS accepted FROM orders GROUP BY 1, 2), m AS (SELECT max(t) AS now FROM h)"""
+
+
+@query(f"""{_H} SELECT component, count(*) AS attempted, CAST(sum(CAST(accepted AS INT)) AS BIGINT) AS accepted, max(CASE WHEN now - t <= 3 THEN gain END) AS yield, coalesce(max(CASE WHEN now - t <= 3 THEN gain END) <= 0, TRUE) AS prune FROM h, m GROUP BY component""")
+def edit_history(spark, sf):
+    o = b.table(spark, sf, "orders")
+    month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("t")
+    h = o.groupBy(month, F.col("o_orderpriority").alias("component")).agg(F.round(F.avg("o_totalprice") - 150000, 4).alias("gain"), (F.count("*") % 2 == 0).alias("accepted"))
+    now = h.agg(F.max("t")).first()[0] or 0
+    return trials.history(h, now, 3)
+
+
+@query("""WITH r AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS t, round(avg(o_totalprice), 4) AS score FROM orders GROUP BY 1)
+SELECT t, score, max(score) OVER (ORDER BY t) AS best, CASE WHEN score - lag(score, 3) OVER (ORDER BY t) <= 100 THEN 1 ELSE 0 END AS stalled FROM r""")
+def round_progress(spark, sf):
+    r = b.table(spark, sf, "orders").groupBy((F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("t")).agg(F.round(F.avg("o_totalprice"), 4).alias("score"))
+    return trials.progress(r, 3, 100.0)
+
+
+@query("SELECT t, round(2 + 6 * 0.5 * (1 + cos(pi() * t / 10)), 6) AS budget FROM (SELECT unnest(range(0, 11)) AS t)")
+def annealed_budget(spark, sf):
+    return spark.range(11).select(F.col("id").alias("t"), r6(stats.annealed(F.col("id"), F.lit(10), 2, 8)).alias("budget"))
+
+
+@query(f"""{_T}, x AS (SELECT task, job, avg(reward) AS s, count(*) AS n FROM t GROUP BY task, job), r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY s, task) AS lo, row_number() OVER (PARTITION BY job ORDER BY s DESC, task) AS hi FROM x)
+SELECT job, task, round(s, 6) AS score, CASE WHEN lo <= 3 THEN 'worst' ELSE 'best' END AS pick FROM r WHERE lo <= 3 OR hi <= 2""")
+def trace_selection(spark, sf):
+    m = trials.task_means(b.trials(spark, sf))
+    w = Window.partitionBy("job")
+    r = m.withColumn("lo", F.row_number().over(w.orderBy("mean", "task"))).withColumn("hi", F.row_number().over(w.orderBy(F.desc("mean"), "task")))
+    return r.where("lo <= 3 or hi <= 2").select("job", "task", r6("mean").alias("score"), F.when(F.col("lo") <= 3, "worst").otherwise("best").alias("pick"))
+
+
+# ---------------------------------------------------------------- exam
+
+_X = """WITH x AS (SELECT p_partkey AS task, p_brand AS area, p_type AS tree, CAST(p_size AS DOUBLE) AS churn, f.ts FROM part LEFT JOIN (SELECT l_partkey, min(l_shipdate) AS ts FROM lineitem GROUP BY 1) f ON l_partkey = p_partkey),
+s AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY ts IS NULL, ts DESC, task) <= 200 THEN 'held_out' ELSE 'practice' END AS split FROM x)"""
+
+
+def _split(spark, sf):
+    return exam.newest_held_out(b.exam(spark, sf), 200)
+
+
+@query(f"{_X} SELECT task, split FROM s")
+def newest_held_out(spark, sf):
+    return _split(spark, sf).select("task", "split")
+
+
+@query(f"{_X} SELECT split, count(*) AS n, quantile_cont(churn, 0.25) AS q1, quantile_cont(churn, 0.5) AS median, quantile_cont(churn, 0.75) AS q3, round((floor(epoch(max(ts))) - floor(epoch(min(ts)))) / 86400, 6) AS span_days, count(DISTINCT area) AS areas FROM s GROUP BY split")
+def split_statistics(spark, sf):
+    return exam.split_stats(_split(spark, sf)).withColumn("span_days", r6("span_days"))
+
+
+@query(f"""{_X}, n AS (SELECT split, count(*) AS total FROM s GROUP BY split), c AS (SELECT split, area, count(*) / any_value(total) AS share FROM s JOIN n USING (split) GROUP BY split, area),
+p AS (SELECT area, share FROM c WHERE split = 'practice'), h AS (SELECT area, share FROM c WHERE split = 'held_out')
+SELECT area, round(coalesce(p.share, 0), 6) AS practice, round(coalesce(h.share, 0), 6) AS held_out, round(abs(coalesce(p.share, 0) - coalesce(h.share, 0)), 6) AS difference FROM p FULL JOIN h USING (area)""")
+def area_shares(spark, sf):
+    d = exam.share_difference(_split(spark, sf), "area")
+    return d.withColumns({c: r6(c) for c in ("practice", "held_out", "difference")})
+
+
+_WIL = f"(p + {_Z * _Z} / (2 * n) {{s}} {_Z} * sqrt(p * (1 - p) / n + {_Z * _Z} / (4 * n * n))) / (1 + {_Z * _Z} / n)"
+
+
+@query(f"""{_X}, c AS (SELECT area, count(*) AS n, CAST(sum(CAST(split = 'held_out' AS INT)) AS BIGINT) AS k, avg(CAST(split = 'held_out' AS INT)) AS p FROM s GROUP BY area)
+SELECT area, n, k, round(greatest(0, {_WIL.format(s='-')}), 6) AS low, round(least(1, {_WIL.format(s='+')}), 6) AS high FROM c""")
+def area_intervals(spark, sf):
+    c = _split(spark, sf).groupBy("area").agg(F.count("*").alias("n"), F.sum((F.col("split") == "held_out").cast("long")).alias("k"))
+    low, high = stats.wilson(F.col("k"), F.col("n"))
+    return c.select("area", "n", "k", r6(low).alias("low"), r6(high).alias("high"))
+
+
+_G = f"""{_X}, g AS (SELECT *, churn > 5 AS flake, churn % 7 <> 0 AS described, CASE WHEN churn % 5 = 0 THEN NULL ELSE churn % 3 <> 0 END AS probe FROM s),
+v AS (SELECT *, CASE WHEN NOT flake THEN 'flake' WHEN NOT described THEN 'described' WHEN NOT coalesce(probe, FALSE) THEN 'probe' END AS failing FROM g)"""
+
+
+def _gated(spark, sf):
+    c = F.col("churn")
+    g = _split(spark, sf).withColumns({"flake": c > 5, "described": c % 7 != 0, "probe": F.when(c % 5 != 0, c % 3 != 0)})
+    return exam.gate(g, ["flake", "described", "probe"])
+
+
+@query(f"{_G} SELECT coalesce(failing, 'ready') AS stage, split, count(*) AS tasks FROM v GROUP BY 1, 2")
+def gate_funnel(spark, sf):
+    return _gated(spark, sf).groupBy(F.coalesce("failing", F.lit("ready")).alias("stage"), "split").agg(F.count("*").alias("tasks"))
+
+
+@query(f"{_X} SELECT tree, (list_sort(list(churn)))[CAST(floor(count(churn) / 2) AS INT) + 1] AS upper_median FROM s GROUP BY tree")
+def upper_medians(spark, sf):
+    return exam.upper_median(_split(spark, sf), "tree", "churn")
+
+
+@query(f"{_X}, r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY churn, task) AS r, count(*) OVER (PARTITION BY split) AS n FROM s) SELECT split, task, CASE WHEN r = 1 THEN 'smallest' ELSE 'median' END AS example FROM r WHERE r = 1 OR r = floor(n / 2) + 1")
+def split_examples(spark, sf):
+    return exam.smallest_and_median(_split(spark, sf), "split", "churn", "task").select("split", "task", "example")
+
+
+@query(f"{_X}, r AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY task) - 1 AS r, count(*) OVER (PARTITION BY area) AS n FROM s) SELECT area, task FROM r WHERE ((r - 5) % n + n) % n < 3")
+def screening_window(spark, sf):
+    return exam.stratified_window(_split(spark, sf), "area", "task", 3, 5).select("area", "task")
+
+
+@query(f"{_X} SELECT tree, CAST(sum(CAST(split = 'practice' AS INT)) AS BIGINT) AS practice, CAST(sum(CAST(split = 'held_out' AS INT)) AS BIGINT) AS held_out FROM s GROUP BY tree")
+def tree_by_split(spark, sf):
+    n = lambda v: F.sum((F.col("split") == v).cast("long"))
+    return _split(spark, sf).groupBy("tree").agg(n("practice").alias("practice"), n("held_out").alias("held_out"))
+
+
+# ---------------------------------------------------------------- diffs, logs, commands
+
+_PATCH = """(VALUES (1, 'diff --git a/x.go b/x.go
+--- a/x.go
++++ b/x.go
+@@ -1,2 +1,3 @@
+ package x
++func New() int { return 1 }
+-var old = 2
+diff --git a/y.go b/y.go
+--- a/y.go
++++ b/y.go
+@@ -5 +5 @@
++// added')) AS p(patch_id, patch)"""
+
+
+@query(f"""WITH l AS (SELECT patch_id, unnest(string_split(patch, chr(10))) AS raw, generate_subscripts(string_split(patch, chr(10)), 1) - 1 AS pos FROM {_PATCH}),
+f AS (SELECT *, last_value(CASE WHEN starts_with(raw, '+++ ') THEN substr(raw, 7) END IGNORE NULLS) OVER w AS file, sum(CAST(starts_with(raw, '@@') AS INT)) OVER w AS hunk,
+max(CASE WHEN starts_with(raw, '@@') THEN pos END) OVER w AS b, max(CASE WHEN starts_with(raw, 'diff ') OR starts_with(raw, '--- ') OR starts_with(raw, '+++ ') THEN pos END) OVER w AS h FROM l WINDOW w AS (PARTITION BY patch_id ORDER BY pos))
+SELECT CAST(patch_id AS BIGINT) AS patch_id, CAST(pos AS BIGINT) AS pos, file, CAST(hunk AS BIGINT) AS hunk, raw[1:1] AS marker, substr(raw, 2) AS line FROM f WHERE b > h AND raw[1:1] IN ('+', '-', ' ')""")
+def diff_lines(spark, sf):
+    d = diffs.diff_lines(spark.sql(f"SELECT * FROM {_PATCH}"))
+    return d.select(F.col("patch_id").cast("long").alias("patch_id"), F.col("pos").cast("long").alias("pos"), "file", "hunk", "marker", "line")
+
+
+_LOGS = """(VALUES (1, 0, 'ok'), (2, 137, ''), (3, 1, '--- FAIL: TestA'), (4, 1, 'x.go:1: undefined: New'), (5, 1, 'dial tcp: i/o timeout'), (6, 2, 'strange')) AS l(id, code, log)"""
+
+
+@query(f"""SELECT CAST(id AS BIGINT) AS id, CASE WHEN code = 0 THEN 'pass' WHEN code IN (124, 137) THEN 'timeout' WHEN regexp_matches(log, '(?i)no space left|connection refused|could not download|i/o timeout|tls handshake') THEN 'infra'
+WHEN regexp_matches(log, '\\[build failed\\]|undefined: |cannot find package') THEN 'build_fail' WHEN regexp_matches(log, '(?m)^--- FAIL|^FAIL\\t') THEN 'test_fail' ELSE 'infra' END AS outcome FROM {_LOGS}""")
+def test_outcomes(spark, sf):
+    rows = spark.sql(f"SELECT * FROM {_LOGS}")
+    return rows.select(F.col("id").cast("long").alias("id"), exam.outcome(F.col("code"), F.col("log")).alias("outcome"))
+
+
+_SCORES = """(VALUES (1, 7.0, 10.0, ''), (2, 7.0, 1.0, '{"points": 4} {"points": 10}'), (3, 55.0, NULL, 'none'), (4, 500.0, NULL, ''), (5, -1.0, NULL, '')) AS s(id, score, top, rubric)"""
+
+
+@query(f"""WITH s AS (SELECT id, CAST(score AS DOUBLE) AS score, CAST(top AS DOUBLE) AS top, coalesce(list_sum(list_transform(regexp_extract_all(rubric, '"points"\\s*:\\s*(\\d+(?:\\.\\d+)?)', 1), lambda p: CAST(p AS DOUBLE))), 0) AS points FROM {_SCORES})
+SELECT CAST(id AS BIGINT) AS id, round(greatest(0, least(1, score / (CASE WHEN top > 1 AND top >= score THEN top WHEN points > 0 THEN points ELSE 100 END))), 6) AS score FROM s""")
+def normalised_scores(spark, sf):
+    s = spark.sql(f"SELECT * FROM {_SCORES}")
+    return s.select(F.col("id").cast("long").alias("id"), r6(diffs.normalised_score(F.col("score").cast("double"), F.col("top").cast("double"), F.col("rubric"))).alias("score"))
+
+
+_PUSH = """(VALUES (1, 'To github.com:team/app.git
+ * [new branch]      fix -> fix
+   1234567..89abcde  main -> main
+https://host.example/team/app/pull/12 and https://host.example/team/app/pull/12'), (2, 'nothing')) AS o(id, output)"""
+
+
+@query(f"""SELECT CAST(id AS BIGINT) AS id, regexp_extract(output, '(?m)^To \\S*?[:/]([\\w.-]+/[\\w.-]+?)(?:\\.git)?$', 1) AS repo, unnest(regexp_extract_all(output, '(?m)^\\s+[*+ ]?\\s*\\S.*? -> ([\\w./-]+)', 1)) AS branch FROM {_PUSH}""")
+def push_targets(spark, sf):
+    return diffs.push_targets(spark.sql(f"SELECT * FROM {_PUSH}")).withColumn("id", F.col("id").cast("long"))
+
+
+@query(f"""SELECT CAST(id AS BIGINT) AS id, unnest(list_distinct(regexp_extract_all(output, 'https://[\\w.-]+/([\\w.-]+/[\\w.-]+)/pull/(\\d+)'))) AS url FROM {_PUSH}""")
+def pull_request_urls(spark, sf):
+    return diffs.pull_urls(spark.sql(f"SELECT * FROM {_PUSH}")).withColumn("id", F.col("id").cast("long"))
+
+
+# ---------------------------------------------------------------- without SQL: exact random streams, hashes, scanners
+
+
+@query()
+def score_noise(spark, sf):
+    """Bootstrap error of each job's weighted score, resampled within tasks, and its noise band."""
+    return bootstrap.score_error(b.trials(spark, sf))
+
+
+@query()
+def median_intervals(spark, sf):
+    """Percentile bootstrap of the median churn of both splits."""
+    return bootstrap.median_interval(_split(spark, sf), "split", "churn")
+
+
+@query()
+def stable_ids(spark, sf):
+    """64-bit FNV-1a ids of pages, as 16 hexadecimal digits."""
+    return b.table(spark, sf, "pages").select("page_id", scan.fnv1a(F.col("url")).alias("id"))
+
+
+@query()
+def shell_words(spark, sf):
+    """Commands as a shell would see them: without quoted prose and here-documents."""
+    rows = spark.sql("SELECT * FROM VALUES (1, 'git commit -m \"a b; git push\" && git push origin fix'), (2, 'cat <<EOF\ngit push\nEOF\ngit commit') AS t(id, command)")
+    return rows.select("id", scan.shell_code(F.col("command")).alias("code"))
+
+
+@query()
+def recent_messages(spark, sf):
+    """Turns that do not repeat one of the last eight kept turns of their conversation."""
+    return scan.without_recent_repeats(b.table(spark, sf, "conversations"), "conv_id", "turn", "text")
