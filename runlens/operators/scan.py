@@ -9,11 +9,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import diffs
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a(values: pd.Series) -> pd.Series:
     """FNV-1a of 64 bits, which wraps, as 16 hexadecimal digits; null stays null."""
 
@@ -28,7 +29,7 @@ def fnv1a(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _shell_code(values: pd.Series) -> pd.Series:
     return values.map(lambda c: None if c is None else diffs.shell_code(c))
 

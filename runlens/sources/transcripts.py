@@ -12,7 +12,7 @@ BLOCKS = "array<struct<type:string,text:string,id:string,name:string,input:strin
 
 def read_lines(spark: SparkSession, folder: str, exclude: tuple[str, ...] = (), since: str | None = None) -> DataFrame:
     """(file, line_no, raw) of all *.jsonl files below a folder; files are filtered by path and change time."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("wholetext", True).text(folder)
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(folder, wholetext=True)
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed"), "value")
     for part in exclude:
         lines = lines.where(~F.col("file").contains(part))
