@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, stash
+from .common import stash
 
 #: Rows that k-means sees, those of the least id hashes: the bound of the fitting sample.
 SAMPLE = 8192
 #: Vectors of one cell that lie together; larger cells are dealt to several blocks.
 BLOCK = 4096
+#: Parts that the index has at least; more where parts would hold over 16 blocks of vectors.
+SHARDS = 32
 
 
 def usable(column, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +144,7 @@ def nearest(
         return empty
     want = max(least, int(np.ceil(share * total)), k + 1)
     blocks = np.maximum(1, -(-counts // BLOCK))
-    shards = max(32, parts(spark), -(-total // (16 * BLOCK)))
+    shards = max(SHARDS, -(-total // (16 * BLOCK)))
     first = np.cumsum(blocks) - blocks  # number of each cell's first block
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,7 +68,7 @@ def exact_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     base = id_text(docs, id_col, text_col)
     narrow = stash(fingerprints(docs, id_col, text_col), "digests")
-    shared = narrow.groupBy("fp").count().where("count > 1").select("fp")
+    shared = stash(narrow.groupBy("fp").count().where("count > 1").select("fp"), "shared")
     marks = narrow.join(shared, "fp", "left_semi").select("doc_id", F.col("fp").alias("text"), F.lit(1).alias("mark")).distinct()
     rows = base.select("doc_id", "text", F.lit(0).alias("mark")).unionByName(marks)
     by = F.col("doc_id").desc_nulls_last()

@@ -273,7 +273,7 @@ def links(distinct: DataFrame, tau: int = 3, parts: int | None = None) -> DataFr
     p = plan(distinct, tau, parts)
     rows = signatures(distinct, p)
     full = signatures_of_data(distinct, p).groupBy("key").count().where(F.col("count") > BLOCK)
-    full = full.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    full = stash(full.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "full")
     rows = rows.join(full, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     visits = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
@@ -460,7 +460,7 @@ def similar_groups(
     grouped = nodes.join(near, "fp", "left").withColumn("near", F.coalesce("near", "fp"))
     grouped = stash(grouped.select("th", "least", "near"), "candidates")
     many = grouped.groupBy("near").count().where("count > 1")
-    many = many.select("near", F.ceil(F.col("count") / 512).cast("int").alias("blocks"))
+    many = stash(many.select("near", F.ceil(F.col("count") / 512).cast("int").alias("blocks")), "many")
     wanted = grouped.join(many, "near").select(F.col("th").alias("wth"), F.col("least").alias("wid"), "near", "blocks")
     found = hashed.join(wanted, (F.col("th") == F.col("wth")) & F.col("doc_id").eqNullSafe(F.col("wid")))
 
