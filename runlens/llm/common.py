@@ -30,6 +30,7 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     The shuffle files of what has been written are released, so that the peak disk is that of one phase.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -47,6 +48,13 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, which suits narrow rows: whole texts are wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` of a function from one batch to one batch."""
 
@@ -55,6 +63,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             if batch.num_rows:
                 yield fn(batch)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -104,3 +113,44 @@ def vector_sum(df: DataFrame, fn, width: int):
     for row in sorted(rows, key=lambda r: r["slot"]):
         total += np.frombuffer(row["v"])
     return total
+
+
+class Bitmap:
+    """Which 64-bit hashes may be among given ones: two bits each in a bitmap of 1 MB at any number of them.
+
+    It lets rows that a join would drop stay where they are. Once full it holds nothing back, and the join decides as before.
+    """
+
+    BITS = 1 << 23
+
+    def __init__(self, packed: bytes):
+        self.packed = packed
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str) -> Bitmap:
+        import numpy as np
+
+        bits = cls.BITS
+
+        def partial(batches):
+            flags = np.zeros(bits, bool)
+            for batch in batches:
+                h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                flags[(h % np.uint64(bits)).astype(np.int64)] = True
+                flags[(h >> np.uint64(40)).astype(np.int64) % bits] = True
+            yield pa.RecordBatch.from_pydict({"v": [np.packbits(flags).tobytes()]})
+
+        total = np.zeros(bits // 8, np.uint8)
+        for row in df.select(column).coalesce(8).mapInArrow(partial, "v binary").collect():
+            total |= np.frombuffer(row["v"], np.uint8)
+        return cls(total.tobytes())
+
+    def may_hold(self, hashes):
+        import numpy as np
+
+        h, packed = hashes.view(np.uint64), np.frombuffer(self.packed, np.uint8)
+
+        def at(i):
+            return packed[i >> 3] >> (7 - (i & 7)).astype(np.uint8) & 1
+
+        return (at((h % np.uint64(self.BITS)).astype(np.int64)) & at((h >> np.uint64(40)).astype(np.int64) % self.BITS)).astype(bool)

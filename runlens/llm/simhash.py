@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, raw_texts, stash, vector_sum
+from .common import Bitmap, id_text, map_arrow, raw_texts, stash, vector_sum
 from .graph import components
 
 BITS = 64
@@ -462,7 +462,14 @@ def similar_groups(
     many = grouped.groupBy("near").count().where("count > 1")
     many = stash(many.select("near", F.ceil(F.col("count") / 512).cast("int").alias("blocks")), "many")
     wanted = grouped.join(many, "near").select(F.col("th").alias("wth"), F.col("least").alias("wid"), "near", "blocks")
-    found = hashed.join(wanted, (F.col("th") == F.col("wth")) & F.col("doc_id").eqNullSafe(F.col("wid")))
+    wanted = stash(wanted, "wanted")
+    known = Bitmap.of(wanted, "wth")
+
+    def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(known.may_hold(batch.column("th").to_numpy(zero_copy_only=False))))
+
+    some = map_arrow(hashed, likely, hashed.schema)
+    found = some.join(wanted, (F.col("th") == F.col("wth")) & F.col("doc_id").eqNullSafe(F.col("wid")))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [shingle_set(t, words_per_shingle).tobytes() for t in raw_texts(batch)]
@@ -521,7 +528,20 @@ def near_dedup(
     groups = stash(similar_groups(docs, id_col, text_col, words_per_shingle, similarity, tau), "groups")
     own = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__near_id")).agg(F.count("*").alias("n"))
     own = stash(own, "kept")
-    kept = docs.join(own.select("__near_id"), F.col(id_col).cast("long") == F.col("__near_id"), "left_semi")
+    gone = groups.where("doc_id is not null").select(F.col("doc_id").alias("__near_id")).distinct()
+    gone = stash(gone.join(own, "__near_id", "left_anti"), "gone")
+    # Texts whose id cannot be among those that go stay where they are; the others are joined.
+    known = Bitmap.of(gone.select(F.xxhash64("__near_id").alias("h")), "h")
+    named = docs.where(F.col(id_col).isNotNull()).withColumn("__near_hash", F.xxhash64(F.col(id_col).cast("long")))
+
+    def part(held: bool) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            may = known.may_hold(batch.column("__near_hash").to_numpy(zero_copy_only=False))
+            return batch.filter(pa.array(may if held else ~may))
+
+        return map_arrow(named, run, named.schema).drop("__near_hash")
+
+    kept = part(False).unionByName(part(True).join(gone, F.col(id_col).cast("long") == F.col("__near_id"), "left_anti"))
     if not own.where("n > 1").isEmpty():
         kept = kept.dropDuplicates([id_col, text_col])
     nameless = groups.where("component_id is null").groupBy("root").agg(F.min("text_hash").alias("__near_id"))
