@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import bootstrap, diffs, events, exam, joins, scan, trials
+from ..operators import bootstrap, diffs, events, exam, joins, phrases, scan, trials
 from ..sources import bindings as b
 
 QUERIES: dict = {}
@@ -572,6 +572,40 @@ def pull_request_urls(spark, sf):
     return diffs.pull_urls(spark.sql(f"SELECT * FROM {_PUSH}")).withColumn("id", F.col("id").cast("long"))
 
 
+_SAID = """(VALUES (-1, 'user', 'Tell the other agent to stop'), (-2, 'assistant', 'I am waiting on the other session; already merged'), (-3, 'user', 'Who owns this? Never mind.'),
+(-4, 'assistant', 'relay this')) AS s(id, role, text)"""
+
+
+def _sql_signal(name: str) -> str:
+    said = " OR ".join("contains(low, '" + p.replace("'", "''") + "')" for p in phrases.PHRASES[name])
+    who = phrases.SPEAKERS[name]
+    who = "TRUE" if who is None else "role IN (" + ", ".join(f"'{w}'" for w in who) + ")"
+    return f"SELECT id, '{name}' AS signal FROM t WHERE {who} AND ({said})"
+
+
+@query(f"WITH t AS (SELECT id, role, lower(text) AS low FROM (SELECT * FROM {_SAID} UNION ALL SELECT conv_id * 1000 + turn, role, text FROM conversations)) " + " UNION ALL ".join(_sql_signal(n) for n in phrases.PHRASES))
+def coordination_signals(spark, sf):
+    turns = b.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text")
+    said = spark.sql(f"SELECT CAST(id AS BIGINT) AS id, role, text FROM {_SAID}")
+    return phrases.signals(said.unionByName(turns)).select("id", "signal")
+
+
+_RESULTS = """(VALUES (1, TRUE, 'the hook did not respond in time', NULL), (2, TRUE, 'The user doesn''t want to proceed with this tool use', NULL), (3, FALSE, 'ok', 'rejected'),
+(4, TRUE, 'exit 1', 'interrupted'), (5, TRUE, 'exit 1', NULL), (6, FALSE, '--- FAIL: TestA', NULL), (7, FALSE, '== 2 failed in 1s ==', NULL), (8, FALSE, 'all passed', NULL)) AS r(id, is_error, text, denial)"""
+
+
+@query(f"""WITH r AS (SELECT id, is_error, text, CAST(denial AS VARCHAR) AS denial, unnest(string_split(text, chr(10))) AS line FROM {_RESULTS})
+SELECT CAST(id AS BIGINT) AS id, CASE WHEN contains(text, 'hook did not respond') OR contains(text, 'hook didn''t respond') THEN 'hook_timeout'
+WHEN CASE WHEN denial IS NOT NULL THEN denial <> 'interrupted' ELSE contains(text, 'doesn''t want to proceed with this tool use') OR regexp_matches(text, 'denied by the .{{1,40}} auto mode classifier')
+OR (starts_with(text, 'Permission to use') AND contains(text, 'denied')) OR starts_with(text, 'permission was denied') END THEN 'permission_denial' WHEN is_error AND denial IS NULL THEN 'tool_error' END AS class,
+bool_or(starts_with(ltrim(line), '--- FAIL') OR starts_with(ltrim(line), 'FAIL' || chr(9)) OR (starts_with(ltrim(line), '=') AND contains(line, ' failed') AND regexp_matches(line, '[0-9]'))
+OR contains(line, 'test result: FAILED') OR contains(line, 'tests failed')) AS test_failed FROM r GROUP BY id, text, denial, is_error""")
+def result_classes(spark, sf):
+    r = spark.sql(f"SELECT * FROM {_RESULTS.replace(chr(39) * 2, chr(92) + chr(39))}")
+    kind = phrases.result_class(F.col("text"), F.col("is_error"), F.col("denial").cast("string"))
+    return r.select(F.col("id").cast("long").alias("id"), kind.alias("class"), phrases.test_failure(F.col("text")).alias("test_failed"))
+
+
 # ---------------------------------------------------------------- without SQL: exact random streams, hashes, scanners
 
 
