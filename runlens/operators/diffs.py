@@ -6,17 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def diff_lines(patches: DataFrame) -> DataFrame:
-    """(patch_id, pos, file, hunk, marker, line) of ``patches(patch_id, patch)``: changed and context lines within hunks."""
+def diff_lines(patches: DataFrame, headings: bool = False) -> DataFrame:
+    """(patch_id, pos, file, hunk, marker, line) of ``patches(patch_id, patch)``: changed and context lines within hunks.
+
+    With ``headings`` also ``heading``, the text after the ranges of the hunk's header.
+    """
     lines = patches.select("patch_id", F.posexplode(F.split("patch", "\n")).alias("pos", "raw"))
-    header = F.when(F.col("raw").startswith("+++ "), F.regexp_replace(F.substring("raw", 5, 100000), "^b/", ""))
+    header = F.when(F.col("raw").startswith("+++ "), F.regexp_replace(F.expr("substring(raw, 5)"), "^b/", ""))
     w = Window.partitionBy("patch_id").orderBy("pos")
     lines = lines.withColumn("file", F.last(header, ignorenulls=True).over(w))
     lines = lines.withColumn("hunk", F.sum(F.col("raw").startswith("@@").cast("int")).over(w).cast("long"))
     begun = F.max(F.when(F.col("raw").startswith("@@"), F.col("pos"))).over(w)
     left = F.coalesce(F.max(F.when(F.col("raw").startswith("diff ") | F.col("raw").startswith("--- ") | F.col("raw").startswith("+++ "), F.col("pos"))).over(w), F.lit(-1))
     inside = begun.isNotNull() & (begun > left) & F.substring("raw", 1, 1).isin("+", "-", " ")
-    return lines.withColumn("__in", inside).where("__in").select("patch_id", "pos", "file", "hunk", F.substring("raw", 1, 1).alias("marker"), F.substring("raw", 2, 100000).alias("line"))
+    heading = F.last(F.when(F.col("raw").startswith("@@"), F.regexp_extract("raw", r"^@@[^@]*@@ ?(.*)$", 1)), ignorenulls=True).over(w)
+    lines = lines.withColumns({"__in": inside, "heading": heading} if headings else {"__in": inside}).where("__in")
+    cols = [F.substring("raw", 1, 1).alias("marker"), F.expr("substring(raw, 2)").alias("line")]
+    return lines.select("patch_id", "pos", "file", "hunk", *cols, *(["heading"] if headings else []))
 
 
 def push_targets(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import bootstrap, diffs, events, exam, joins, phrases, scan, trials
+from ..operators import bootstrap, code, diffs, events, exam, joins, phrases, pulls, scan, trials
 from ..sources import bindings as b
 
 QUERIES: dict = {}
@@ -606,6 +606,40 @@ def result_classes(spark, sf):
     return r.select(F.col("id").cast("long").alias("id"), kind.alias("class"), phrases.test_failure(F.col("text")).alias("test_failed"))
 
 
+_PRS = """(VALUES (1, 0, NULL, 'Slice A1: parse', ''), (2, 1, 'm2', 'Slice B1', 'x'), (3, 2, 'gone', 'Slice C1', ''), (4, 3, 'c1', 'Slice D1', NULL), (5, 4, 'c1', 'Fix', 'plain')) AS p(number, ord, merge_commit, title, body)"""
+_WINDOW = """(VALUES ('c1', 0, 'new (#1)', TRUE), ('c0', 5, 'old (#1)', TRUE), ('m2', 1, 'Merge pull request #2 from x', TRUE), ('b1', 2, 'work (#3)', FALSE), ('b2', 3, 'more', FALSE), ('c9', 9, NULL, TRUE)) AS w(sha, ord, subject, first_parent)"""
+_BRANCHES = """(VALUES ('m2', 'b1'), ('m2', 'b2'), ('m2', 'outside')) AS b(merge, sha)"""
+
+
+@query(f"""WITH told AS (SELECT CAST(coalesce(nullif(regexp_extract(subject, '\\(#(\\d+)\\)\\s*$', 1), ''), nullif(regexp_extract(subject, '^Merge pull request #(\\d+) ', 1), '')) AS BIGINT) AS number, sha, ord FROM {_WINDOW} WHERE first_parent),
+newest AS (SELECT number, arg_min(sha, ord) AS told FROM told WHERE number IS NOT NULL GROUP BY number),
+merged AS (SELECT p.number, coalesce(w.sha, n.told) AS merge FROM {_PRS} LEFT JOIN {_WINDOW} ON p.merge_commit = w.sha LEFT JOIN newest n ON n.number = p.number)
+SELECT CAST(m.number AS BIGINT) AS number, b.sha FROM merged m JOIN {_BRANCHES} ON b.merge = m.merge JOIN {_WINDOW} ON w.sha = b.sha
+UNION ALL SELECT CAST(number AS BIGINT), merge FROM merged WHERE merge IS NOT NULL AND merge NOT IN (SELECT merge FROM {_BRANCHES})""")
+def request_commits(spark, sf):
+    prs, window, branches = (spark.sql(f"SELECT * FROM {t}") for t in (_PRS, _WINDOW, _BRANCHES))
+    return pulls.request_commits(prs, window, branches).select("number", "sha")
+
+
+_BRIEFS = """(VALUES (-1, 'Do not push anything yet'), (-2, 'Do not push to main'), (-3, 'Open a draft PR right away'), (-4, 'Fix it'), (-5, ' '), (-6, NULL)) AS s(id, text)"""
+
+
+def _sql_any(patterns: list[str]) -> str:
+    return "regexp_matches(low, '" + "|".join(patterns).replace("'", "''") + "')"
+
+
+_EXEMPT = "|".join(p.replace("-", "\\-") for p in pulls.EXEMPT)
+
+
+@query(f"""WITH t AS (SELECT id, lower(regexp_replace(coalesce(text, ''), '(?i)(do not push|don''?t push|never push)(?:{_EXEMPT})', '', 'g')) AS low, lower(coalesce(text, '')) AS raw
+FROM (SELECT * FROM {_BRIEFS} UNION ALL SELECT conv_id * 1000 + turn, text FROM conversations))
+SELECT CAST(id AS BIGINT) AS id, CASE WHEN regexp_full_match(raw, '\\s*') THEN 'none' WHEN {_sql_any(pulls.DEFER)} THEN 'defers' WHEN {_sql_any(pulls.EARLY)} THEN 'early' ELSE 'silent' END AS brief FROM t""")
+def brief_classes(spark, sf):
+    turns = b.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    said = spark.sql(f"SELECT CAST(id AS BIGINT) AS id, text FROM {_BRIEFS}").unionByName(turns)
+    return said.select("id", pulls.brief_class(F.col("text")).alias("brief"))
+
+
 # ---------------------------------------------------------------- without SQL: exact random streams, hashes, scanners
 
 
@@ -638,3 +672,45 @@ def shell_words(spark, sf):
 def recent_messages(spark, sf):
     """Turns that do not repeat one of the last eight kept turns of their conversation."""
     return scan.without_recent_repeats(b.table(spark, sf, "conversations"), "conv_id", "turn", "text")
+
+
+@query()
+def pass_count_spread(spark, sf):
+    """How far each job's count of passes wanders when nothing changed."""
+    return bootstrap.pass_count_null(b.trials(spark, sf).withColumn("passed", F.col("reward") > 0), 4)
+
+
+@query()
+def hard_drop_spread(spark, sf):
+    """How many tasks of each job fall or rise by half when nothing changed."""
+    return bootstrap.hard_drop_null(b.trials(spark, sf), 4, 0.5)
+
+
+_TASK = """SELECT 1L AS id, 'x.go:1: undefined: pkg.Kind' AS log, 'ex.org/m' AS own_module, 'Call Load twice.' AS instruction, '' AS existing, array('pkg') AS dirs,
+'--- a/pkg/x.go\n+++ b/pkg/x.go\n@@ -1 +1,3 @@\n+type Kind int\n+func Load() {\n+func helper() {\n' AS src_patch,
+'--- a/pkg/x_test.go\n+++ b/pkg/x_test.go\n@@ -1 +1,3 @@\n+\tm.EXPECT().Load().Times(2)\n+\tExpect(e).To(Equal("this exact failure message"))\n+\thelper()\n' AS tests_patch"""
+
+
+@query()
+def needed_symbols(spark, sf):
+    """What hidden tests need a change to declare."""
+    return code.required_api(spark.sql(_TASK))
+
+
+@query()
+def pinned_assertions(spark, sf):
+    """Assertions that pin more than the instruction says."""
+    return code.specificity(spark.sql(_TASK))
+
+
+@query()
+def slice_tags(spark, sf):
+    """Which slice each request delivers, and how that was told."""
+    return pulls.slices(spark.sql(f"SELECT * FROM {_PRS}"))
+
+
+@query()
+def silent_pushes(spark, sf):
+    """Where pushes went whose output said nothing."""
+    rows = spark.sql("SELECT * FROM VALUES (1, 'cd /a && git push -q origin fix', '/w', 'own'), (2, 'git -C /r push', '/w', 'own') AS t(id, command, dir, branch)")
+    return pulls.push_guess(rows)
