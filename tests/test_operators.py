@@ -141,3 +141,11 @@ def test_streams(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("episodes").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert rows(spark.table("episodes")) == [(1, 0, 3, 2), (1, 20, 20, 1)]
+
+
+def test_score_error_is_that_of_resampling_within_tasks(spark):
+    t = [("j", k, float(i < k), 1.0) for k in range(5) for i in range(4)]
+    r = bootstrap.score_error(spark.createDataFrame(t, "job string, task long, reward double, weight double")).first()
+    want = sum(4 * k / 4 * (1 - k / 4) for k in range(5)) ** 0.5 / 20
+    assert (r["n"], r["score"]) == (20, 0.5) and abs(r["se"] - want) < 0.1 * want
+    assert abs(r["band"] - 1.645 * 2**0.5 * r["se"]) < 1e-5
