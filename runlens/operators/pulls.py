@@ -40,6 +40,44 @@ EARLY = [
     r"(?:immediately|right after|right away|first commit|at the start|within minutes|first push)[^.\n]{0,80}\bdraft (?:pr|pull request)",
     r"always have a (?:draft )?(?:pr|pull request)", r"push after every commit",
 ]
+CORRECTION = [
+    r"always (?:have|has) a (?:draft )?(?:pr|pull request)", r"\bneeds? (?:a|their|its) (?:draft )?(?:pr|pull request)",
+    r"where(?:'s| is| are) (?:the|your|their) (?:draft )?(?:pr|prs|pull request)", r"\bno (?:draft )?(?:pr|prs)\b",
+    r"without (?:a|any) (?:draft )?(?:pr|prs|pull request)", r"(?:don'?t|doesn'?t|didn'?t|do not|does not) (?:even )?have (?:a|any) (?:pr|prs|pull request)",
+    r"(?:haven'?t|hasn'?t|didn'?t|not) (?:even )?(?:been )?push(?:ed)?\b", r"\bunpushed\b", r"pushed (?:it )?without (?:opening )?(?:a|an?y) (?:pr|pull request)",
+]
+# Commands that open a request, and flags that make a step no commit, no push or no request.
+REQUEST = r"(?:^|[\s(`]|\$\()gh\s+pr\s+create\b"
+REQUEST_API = r"(?:^|[\s(`]|\$\()gh\s+api\b.*\brepos/[^/\s]+/[^/\s]+/pulls(?:\s|$)"
+NO_COMMIT, NO_PUSH = ["--amend", "--dry-run", "-h", "--help"], ["--dry-run", "-n", "--delete", "-d", "-h", "--help"]
+NO_REQUEST, METHOD, FIELDS = ["--help", "-h", "--dry-run"], ["-X", "--method"], ["-f", "-F", "--field", "--raw-field", "--input"]
+
+
+def asks_for_request(text: Column) -> Column:
+    """Whether a turn points at a missing push or request; null says nothing."""
+    return F.coalesce(text, F.lit("")).rlike("(?i)" + "|".join(CORRECTION))
+
+
+def _steps(command: Column) -> Column:
+    return F.filter(F.transform(F.split(shell_code(command), r"[\n;&|]"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
+def _flag(text: Column, flags: list[str]) -> Column:
+    """Whether a word is one of the flags, alone or with ``=``."""
+    return text.rlike(r"(?:^|\s)(?:" + "|".join(flags) + r")(?:=|\s|$)")
+
+
+def shell_counts(rows: DataFrame) -> DataFrame:
+    """(id, commits, pushes, requests) of each of ``rows(id, command)``: steps that make new ones; a null command has none."""
+    op, args = (lambda s: F.regexp_extract(s, GIT_STEP, 1)), (lambda s: F.regexp_extract(s, GIT_STEP, 2))
+    commit = lambda s: (op(s) == "commit") & ~_flag(args(s), NO_COMMIT)
+    push = lambda s: (op(s) == "push") & ~_flag(args(s), NO_PUSH)
+    opened = lambda s: s.rlike(REQUEST) & ~_flag(s, NO_REQUEST)
+    posts = lambda s: s.contains("POST") | (~_flag(s, METHOD) & _flag(s, FIELDS))
+    api = lambda s: s.rlike(REQUEST_API) & posts(s)
+    r = rows.withColumn("steps", F.coalesce(_steps(F.col("command")), F.array().cast("array<string>")))
+    n = lambda test: F.size(F.filter("steps", test)).cast("long")
+    return r.select("id", n(commit).alias("commits"), n(push).alias("pushes"), (n(opened) + n(api)).alias("requests"))
 
 
 def brief_class(text: Column) -> Column:
@@ -58,8 +96,7 @@ def push_guess(rows: DataFrame, home: str = "") -> DataFrame:
     The branch is the refspec's target, else the row's own; the folder that of ``git -C``, else of the last ``cd`` before, else the
     row's own. No row without a push or a branch.
     """
-    steps = F.filter(F.transform(F.split(shell_code(F.col("command")), r"[\n;&|]"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    r = rows.withColumn("steps", steps)
+    r = rows.withColumn("steps", _steps(F.col("command")))
     at = F.array_position(F.transform("steps", lambda s: F.regexp_extract(s, GIT_STEP, 1) == "push"), True).cast("int")
     r = r.withColumn("at", F.when(at > 0, at)).where("at is not null")
     push = F.try_element_at("steps", F.col("at"))

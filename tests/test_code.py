@@ -205,3 +205,17 @@ def test_reports(spark, tmp_path):
         reports.report_rows(df, 1)
     with pytest.raises(ValueError):
         reports.write_report("x", str(tmp_path / ".." / "r.md")) if (tmp_path.parent / ".git").exists() else (tmp_path / ".git").mkdir() or reports.write_report("x", str(tmp_path / "r.md"))
+
+
+def test_shell_counts(spark):
+    rows = [
+        (1, "git add . && git commit -m 'a; git push' && git push -u origin x"), (2, "git commit --amend; git push --dry-run"), (3, "gh pr create --draft; gh pr create --help"),
+        (4, "gh api repos/o/r/pulls -f title=x"), (5, "gh api -X POST repos/o/r/pulls"), (6, "gh api --method=GET repos/o/r/pulls -f state=open"), (7, None),
+    ]
+    got = {tuple(r) for r in pulls.shell_counts(frame(spark, rows, "id long, command string")).collect()}
+    assert got == {(1, 1, 1, 0), (2, 0, 0, 0), (3, 0, 0, 1), (4, 0, 0, 1), (5, 0, 0, 1), (6, 0, 0, 0), (7, 0, 0, 0)}
+
+
+def test_asks_for_request(spark):
+    said = [("Where's the PR?", True), ("this needs a draft pr", True), ("it hasn't been pushed", True), ("thanks", False), (None, False)]
+    assert [r[0] for r in frame(spark, said, "t string, want boolean").select(pulls.asks_for_request(F.col("t")) == F.col("want")).collect()] == [True] * 5
