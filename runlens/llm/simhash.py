@@ -34,6 +34,10 @@ BITS = 64
 BLOCK = 2048
 #: Pairs compared at once in a task (bounds its memory).
 PAIRS = 1 << 20
+#: Buckets in which shingles are counted to order them by frequency: one number each at any number of shingles.
+SKETCH = 1 << 16
+#: Texts that share a shingle and lie together; more are split in pairs of blocks.
+SHARED = 512
 
 
 def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
@@ -438,14 +442,124 @@ def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float) -> lis
     return out
 
 
+def shingle_ranks(texts: DataFrame, k: int) -> np.ndarray:
+    """Twice the binary logarithm of the number of shingles in each bucket, over all texts."""
+
+    def counts(batch: pa.RecordBatch) -> np.ndarray:
+        sets = np.concatenate([shingle_set(t, k) for t in raw_texts(batch)])
+        return np.bincount((sets % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+
+    return (2 * np.log2(np.maximum(vector_sum(texts.select("text"), counts, SKETCH), 1))).astype(np.uint8)
+
+
+def may_be_similar(texts: DataFrame, roots: DataFrame, k: int, least: float) -> DataFrame:
+    """Pairs (a, b) of texts(th, text) with different roots, among them every pair with Jaccard similarity ``least`` or more.
+
+    All sets are ordered alike, rare shingles first (by the counts of their buckets, then by value). Of n shingles that the
+    smaller set of a similar pair has, ``least * n`` are shared at least, so the first shared one is among the first
+    n - ceil(least * n) + 1 of each set: texts meet under these, and pairs stay if sizes, positions and the number of meetings
+    allow the similarity (what a pair shares beyond them is among the last shingles of one set). The order decides only how
+    many meet. A shingle of over ``SHARED`` texts is split in pairs of blocks.
+    """
+    ranks = shingle_ranks(texts, k)
+
+    def first(batch: pa.RecordBatch) -> pa.RecordBatch:
+        size, made = [], []
+        for t in raw_texts(batch):
+            s = shingle_set(t, k)
+            s = s[np.argsort(ranks[(s % np.uint64(SKETCH)).astype(np.int64)], kind="stable")]
+            size.append(len(s))
+            made.append(s[: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1].tobytes())
+        cols = [batch.column("th"), pa.array(size, pa.int32()), pa.array(made, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["th", "size", "shingles"])
+
+    def exploded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in made], np.int64)
+        key = np.concatenate(made)
+        often = ranks[(key.view(np.uint64) % np.uint64(SKETCH)).astype(np.int64)] > 2 * np.log2(SHARED)
+        th, root, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in ("th", "root", "size"))
+        span = size.astype(np.int64) << 32 | np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, th, root, span, often)], ["key", "th", "root", "span", "often"])
+
+    made = stash(map_arrow(texts.select("th", "text"), first, "th long, size int, shingles binary"), "first")
+    known = Bitmap.of(roots.select("th"), "th")
+
+    def part(held: bool) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            may = known.may_hold(batch.column("th").to_numpy(zero_copy_only=False))
+            return batch.filter(pa.array(may if held else ~may))
+
+        return map_arrow(made, run, made.schema)
+
+    named = part(False).withColumn("root", F.col("th")).unionByName(part(True).join(roots, "th", "left").withColumn("root", F.coalesce("root", "th")))
+    rows = map_arrow(named, exploded, "key long, th long, root long, span long, often boolean")
+    full = map_arrow(made.withColumn("root", F.col("th")), exploded, rows.schema).where("often").groupBy("key").count()
+    full = stash(full.where(F.col("count") > SHARED).select("key", F.ceil(F.col("count") / SHARED).cast("int").alias("blocks")), "full")
+    rows = rows.drop("often").join(full, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.hash("th"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(x == y, 2).otherwise((F.col("own") == y).cast("int"))
+    block = x.cast("long") * F.col("blocks") + y
+    rows = rows.select("key", (block * 4 + side).alias("place"), "th", "root", "span")  # narrow: there are many
+    dealt = rows.repartition("key", F.shiftright("place", 2)).sortWithinPartitions("key", "place", "th")
+
+    def met(cols: list[np.ndarray], start: np.ndarray) -> pa.RecordBatch:
+        """Meetings in all groups, whose rows begin at ``start``: of rows one apart, then two, as far as groups reach."""
+        _, place, th, root, span = cols
+        side, size, at = place & 3, span >> 32, span & 0xFFFFFFFF
+        end = np.repeat(np.append(start[1:], len(th)), np.diff(np.append(start, len(th))))
+        i, step, out = np.arange(len(th)), 0, []
+        while True:
+            step += 1
+            i = i[end[i] > i + step]
+            if not len(i):
+                break
+            j = i + step
+            ok = (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] == 2))
+            ok &= np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9
+            i_, j_ = i[ok], j[ok]
+            need = np.ceil(least / (1 + least) * (size[i_] + size[j_]) - 1e-9)
+            fits = np.minimum(size[i_] - at[i_], size[j_] - at[j_]) >= need
+            beyond = np.ceil(least * np.maximum(size[i_], size[j_]) - 1e-9) - 1
+            out.append((np.minimum(th[i_], th[j_]), np.maximum(th[i_], th[j_]), (need - beyond).astype(np.int32), fits))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, bool)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "need", "fits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = ("key", "place", "th", "root", "span"), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if held is not None:  # a group that began in an earlier batch
+                cols = [np.concatenate(c) for c in zip(held, cols)]
+            block = cols[1] >> 2
+            new = np.append(True, (cols[0][1:] != cols[0][:-1]) | (block[1:] != block[:-1]))
+            once = new | np.append(True, cols[2][1:] != cols[2][:-1])  # equal texts are one
+            cols, start = [c[once] for c in cols], np.flatnonzero(new[once])
+            last = start[-1]
+            held = [c[last:].copy() for c in cols]
+            if last:
+                yield met([c[:last] for c in cols], start[:-1])
+        if held is not None:
+            yield met(held, np.zeros(1, np.int64))
+
+    pairs = dealt.mapInArrow(run, "a long, b long, need int, fits boolean").groupBy("a", "b")
+    pairs = pairs.agg(F.count("*").alias("n"), F.max("need").alias("need"), F.max("fits").alias("fits"))
+    return pairs.where("fits and n >= need").select("a", "b")
+
+
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, tau: int = 8
 ) -> DataFrame:
     """(doc_id, text_hash, component_id, root) of every row: groups linked by Jaccard similarity of word shingles.
 
-    Candidates are texts whose word-set fingerprints are connected at ``tau`` bits or fewer (GPH search as above); within
-    them every pair that is not connected yet is held against the exact similarity of its shingle sets. Candidate groups over
-    512 texts are split in pairs of blocks, each compared in a task of its own. Equal texts are one node throughout.
+    The first candidates are texts whose word-set fingerprints are connected at ``tau`` bits or fewer (GPH search as above);
+    within them every pair that is not connected yet is held against the exact similarity of its shingle sets. Candidate groups
+    over 512 texts are split in pairs of blocks, each compared in a task of its own. Then all pairs that this leaves apart
+    and that may be similar are found by the first shingles of their sets and verified alike, so that no similar pair is
+    missed at any distance of fingerprints. Equal texts are one node throughout.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -455,7 +569,8 @@ def similar_groups(
     hashed = id_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hashed = hashed.withColumn("th", F.xxhash64("text"))
     rows = stash(map_arrow(hashed, run, "doc_id long, th long, fp long"), "texts")
-    nodes = stash(rows.groupBy("th").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")), "nodes")
+    nodes = rows.groupBy("th").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    nodes = stash(nodes, "nodes")
     near = components(links(nodes.select("fp").distinct(), tau)).select(F.col("node").alias("fp"), F.col("component").alias("near"))
     grouped = nodes.join(near, "fp", "left").withColumn("near", F.coalesce("near", "fp"))
     grouped = stash(grouped.select("th", "least", "near"), "candidates")
@@ -463,13 +578,18 @@ def similar_groups(
     many = stash(many.select("near", F.ceil(F.col("count") / 512).cast("int").alias("blocks")), "many")
     wanted = grouped.join(many, "near").select(F.col("th").alias("wth"), F.col("least").alias("wid"), "near", "blocks")
     wanted = stash(wanted, "wanted")
-    known = Bitmap.of(wanted, "wth")
 
-    def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(known.may_hold(batch.column("th").to_numpy(zero_copy_only=False))))
+    def fetched(wanted: DataFrame) -> DataFrame:
+        """The texts of the rows (wth, wid), with their columns."""
+        known = Bitmap.of(wanted.select("wth"), "wth")
+
+        def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array(known.may_hold(batch.column("th").to_numpy(zero_copy_only=False))))
+
+        some = map_arrow(hashed, likely, hashed.schema)
+        return some.join(wanted, (F.col("th") == F.col("wth")) & F.col("doc_id").eqNullSafe(F.col("wid")))
 
-    some = map_arrow(hashed, likely, hashed.schema)
-    found = some.join(wanted, (F.col("th") == F.col("wth")) & F.col("doc_id").eqNullSafe(F.col("wid")))
+    found = fetched(wanted)
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [shingle_set(t, words_per_shingle).tobytes() for t in raw_texts(batch)]
@@ -509,8 +629,43 @@ def similar_groups(
         if held is not None and (done := closed()) is not None:
             yield done
 
-    edges = dealt.mapInArrow(verify, "a long, b long")
-    comp = components(edges).select(F.col("node").alias("th"), F.col("component").alias("root"))
+    edges = stash(dealt.mapInArrow(verify, "a long, b long"), "edges")
+
+    def grouped_by(edges: DataFrame) -> DataFrame:
+        return components(edges).select(F.col("node").alias("th"), F.col("component").alias("root"))
+
+    # One row of each text: of texts with copies, the others are left out where bitmaps can tell.
+    several = nodes.where("n > 1").select("th", F.xxhash64("th", "least").alias("one"))
+    copied, ones = Bitmap.of(several.select("th"), "th"), Bitmap.of(several.select("one"), "one")
+
+    def single(batch: pa.RecordBatch) -> pa.RecordBatch:
+        th, one = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("th", "one"))
+        return batch.filter(pa.array(~copied.may_hold(th) | ones.may_hold(one)))
+
+    each = hashed.select("th", F.xxhash64("th", "doc_id").alias("one"), "text")
+    each = map_arrow(each, single, each.schema)
+    pairs = stash(may_be_similar(each, stash(grouped_by(edges), "roots"), words_per_shingle, similarity), "pairs")
+    ends = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
+    ends = stash(ends.join(nodes, "th").select(F.col("th").alias("wth"), F.col("least").alias("wid")), "ends")
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [shingle_set(t, words_per_shingle).tobytes() for t in raw_texts(batch)]
+        return pa.RecordBatch.from_arrays([batch.column("th"), pa.array(made, pa.binary())], ["th", "shingles"])
+
+    full = map_arrow(fetched(ends).select("th", "text"), whole, "th long, shingles binary")
+    full = stash(full.dropDuplicates(["th"]), "sets")
+    both = pairs.join(full.select(F.col("th").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = both.join(full.select(F.col("th").alias("b"), F.col("shingles").alias("sb")), "b")
+
+    def similar(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(batch.column("sa"), batch.column("sb")):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            n = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(n >= similarity * (len(x) + len(y) - n) - 1e-9)
+        return batch.select(["a", "b"]).filter(pa.array(keep))
+
+    comp = grouped_by(edges.unionByName(map_arrow(both.select("a", "b", "sa", "sb"), similar, "a long, b long")))
     named = nodes.join(comp, "th", "left").withColumn("root", F.coalesce("root", "th"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stash(named.join(least, "root").select("th", "component_id", "root"), "named")

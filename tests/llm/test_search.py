@@ -99,6 +99,28 @@ def test_near_dedup_equals_brute_force(spark, sf):
     assert {r["doc_id"] for r in simhash.near_dedup(docs).select("doc_id").collect()} == {i for i, c in comp.items() if i == c}
 
 
+def test_near_dedup_finds_cut_extended_and_short_copies(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARED", 4)
+    rng = random.Random(5)
+    rows = []
+    for size in [14] * 30 + [40] * 20 + [150] * 20 + [600] * 10:
+        base = [f"w{rng.randrange(3000)}" for _ in range(size)]
+        rows.append(base)
+        for edit in rng.sample(range(5), 3):
+            n = max(1, size * rng.randrange(8, 18) // 100)
+            more = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            rows.append([base[:-n], base + more, [*base[:-1], "end"], base[n:], more + base][edit])
+    line = [f"l{i}" for i in range(12)]
+    rows += [line + [f"x{i}", f"y{i}"] for i in range(20)] + [[f"z{i}"] + line[:10] for i in range(20)] + rows[:3] * 2
+    texts = {i: " ".join(r) for i, r in enumerate(rows)}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    comp = groups(list(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert got == comp
+    assert {r["doc_id"] for r in simhash.near_dedup(docs).collect()} == set(comp.values())
+
+
 def brute(vectors, queries, k):
     out = {}
     for q in queries:
