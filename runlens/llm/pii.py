@@ -13,7 +13,8 @@ all documents, different values different ones, separators stay where they are,
 * e-mail addresses: letters and digits of the local part and host, without the last label, permuted in place
 * secrets with a digit after a name such as token, password or api_key, and cloud access keys: letters and digits permuted in place
 
-Values that fail validation stay. Texts without any stay as they are, null texts null, empty texts empty. Rows are independent of each other; repeated rows
+Values that fail validation stay. A card, IBAN or phone number beside more digits or capitals is searched in the whole run: where the
+longest match is not valid or overlaps an earlier kind, shorter ends and later starts at its separators are tried. Texts without any stay as they are, null texts null, empty texts empty. Rows are independent of each other; repeated rows
 give equal results.
 """
 
@@ -180,9 +181,28 @@ KINDS = (
     ("phone", None, re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)"), 0, phone),
     ("card", None, re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"), 0, card),
 )
+#: Separators of groups at which a match that fails may end earlier or begin later, and the least characters between them.
+GROUPED = {"iban": (" ", 15), "phone": (" .-", 8), "card": (" -", 13)}
 KEY = b"runlens-pseudonyms"
 
 
+def shorter(kind: str, text: str, a: int, b: int, inner: bool) -> Iterator[tuple[int, int]]:
+    """Spans within a match, itself first, then by start and descending end; ``inner`` for one that begins within another.
+
+    A part of a run of digits counts as a card if all its groups but the last have three digits or more, as cards are written:
+    among the parts of a run of small numbers some would pass the check digit by chance.
+    """
+    seps, least = GROUPED.get(kind, ("", 0))
+    cuts = [i for i in range(a, b) if text[i] in seps]
+    for x in [a, *(i + 1 for i in cuts)] if kind == "card" else [a]:
+        for e in [b, *reversed(cuts)]:
+            if e - x < least:
+                break
+            part = inner or (x, e) != (a, b)
+            if not (part and kind == "card" and any(len(g) < 3 for g in re.split("[ -]", text[x:e])[:-1])):
+                yield x, e
+
+
 class Pseudonyms:
     """Pseudonyms under a key, with those of recent values kept."""
 
@@ -201,12 +221,18 @@ class Pseudonyms:
         for kind, hint, pattern, group, _ in KINDS:
             if hint and not hint.search(text):
                 continue
-            for m in pattern.finditer(text):
-                a, b = m.span(group)
-                if any(a < y and x < b for x, y, _ in taken):
-                    continue
-                if (new := self.make[kind](m[group])) is not None:
-                    taken.append((a, b, new))
+            at = failed = 0
+            while m := pattern.search(text, at):
+                inner = m.start() < failed
+                for a, b in shorter(kind, text, *m.span(group), inner):
+                    if any(a < y and x < b for x, y, _ in taken):
+                        continue
+                    if (new := self.make[kind](text[a:b])) is not None:
+                        taken.append((a, b, new))
+                        at = b
+                        break
+                else:  # a value may begin within the match
+                    at, failed = m.start() + 1, failed if inner else m.end()
         if not taken:
             return text, 0
         out, at = [], 0
