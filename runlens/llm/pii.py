@@ -170,7 +170,7 @@ def access_key(text: str, key: bytes) -> str | None:
 DIGIT = re.compile(r"\d")
 #: (kind, what a text must hold to be searched, pattern, group that is replaced, pseudonym); earlier kinds win.
 KINDS = (
-    ("secret", re.compile(r"(?i)token|passw|secret|api.?key|access.?key|credential|auth"),
+    ("secret", re.compile(r"(?i)token|passw|pwd|secret|api.?key|access.?key|credential|auth"),
      re.compile(r"""(?i)(?:token|passw(?:or)?d|passwd|pwd|secret|api[_-]?key|access[_-]?key|credential|auth)[\w-]*["']?\s{0,3}[=:]\s{0,3}["']?([\w+/~-]{6,}={0,2})"""), 1, secret),
     ("access_key", re.compile("A[KS]IA"), re.compile(r"(?<!\w)A[KS]IA[0-9A-Z]{16}(?!\w)"), 0, access_key),
     ("email", re.compile("@"), re.compile(r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}"), 0, email),
