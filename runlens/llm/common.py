@@ -1,69 +1,117 @@
-"""Shared plumbing: lineage cuts in the shared folder, temporary names, Arrow batch mapping."""
+"""Shared plumbing: lineage cuts in the shared folder, Arrow batch mapping, sums over tasks, key filters."""
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
+import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a Python function sees at once: whole texts are wide.
+ROWS = 2000
+
+
+@functools.lru_cache(maxsize=1)
+def own_dir() -> str:
+    where = tempfile.mkdtemp(prefix="runlens-")
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
+    return "file://" + where
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests in local mode) a temporary folder is made and set.
+    Where the session names none, local mode takes a temporary folder, which goes when the driver ends; on a cluster that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="runlens-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return own_dir()
+
+
+_run_dirs: dict[tuple[str, str], str] = {}
+
+
+def run_dir(spark: SparkSession) -> str:
+    """One folder of this application below the shared one; the JVM removes it when the application ends."""
+    key = spark.sparkContext.applicationId, shared_dir(spark)
+    if key not in _run_dirs:
+        path = f"{key[1]}/runlens-{key[0]}-{uuid.uuid4().hex}"
+        fs, at = _hadoop(spark, path)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _run_dirs[key] = path
+    return _run_dirs[key]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings for the time of one job; what was set before is set again after it."""
+    names = {k: k.replace("__", ".") for k in values}
+    before = {n: spark.conf.get(n, None) for n in names.values()}
+    try:
+        for k, n in names.items():
+            spark.conf.set(n, values[k])
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and reread it: a lineage cut that survives lost executors.
+    """Write ``df`` as Parquet in the run's folder and reread it: a lineage cut that survives lost executors.
 
-    The shuffle files of what has been written are released, so that the peak disk is that of one phase.
+    Spark drops the shuffle files of the job when it ends, so that the peak disk is that of one phase.
     """
     spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch=str(ROWS)):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    release(spark)
+    out.stash_path = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop shuffle files of finished phases (they go when the driver's references do)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*stashed: DataFrame) -> None:
+    """Remove what ``stash`` wrote, once nothing that is still to run reads it."""
+    for df in stashed:
+        fs, at = _hadoop(df.sparkSession, df.stash_path)
+        fs.delete(at, True)
 
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Fewer rows in an Arrow batch than Spark's default, which suits narrow rows: whole texts are wide."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, rows)
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``rows`` rows at most, whatever the session's batch size; empty ones are left out."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` of a function from one batch to one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+        for batch in pieces(batches):
+            yield fn(batch)
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -83,74 +131,115 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def vector_sum(df: DataFrame, fn, width: int):
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+# ---------------------------------------------------------------- vectors added up over tasks
+
+#: Numbers in one row of a partial sum, and groups of tasks whose partial sums are added up apart.
+CHUNK, SLOTS = 512, 16
+
+
+def _merged(rows: DataFrame, kind: str, add, width: int) -> np.ndarray:
+    """Combine rows (slot, chunk, pid, v) of one chunk, in the order of tasks; the driver combines the slots.
+
+    A task streams its sorted rows and holds one chunk, however many tasks made them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        row = lambda: pa.RecordBatch.from_pydict({"slot": pa.array([at[0]], pa.int32()), "chunk": pa.array([at[1]], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
+        for batch in batches:
+            for slot, chunk, v in zip(*(batch.column(c).to_pylist() for c in ("slot", "chunk", "v"))):
+                if (slot, chunk) != at:
+                    if at is not None:
+                        yield row()
+                    at, total = (slot, chunk), np.frombuffer(v, kind).copy()
+                else:
+                    add(total, np.frombuffer(v, kind), out=total)
+        if at is not None:
+            yield row()
+
+    dealt = rows.repartition("slot", "chunk").sortWithinPartitions("slot", "chunk", "pid")
+    out = np.zeros(width, kind)
+    got = dealt.select("slot", "chunk", "v").mapInArrow(run, "slot int, chunk int, v binary").collect()
+    size = CHUNK * 8 // np.dtype(kind).itemsize
+    for r in sorted(got, key=lambda r: (r["slot"], r["chunk"])):
+        part = out[r["chunk"] * size : (r["chunk"] + 1) * size]
+        add(part, np.frombuffer(r["v"], kind), out=part)
+    return out
+
+
+def vector_sum(df: DataFrame, fn, width: int) -> np.ndarray:
     """Sum over all rows of ``fn(batch) -> float64 vector of a fixed width``, as one numpy vector on the driver.
 
-    Each task adds up its batches, 16 tasks add up the tasks' vectors in partition order (so that a rerun adds in the
-    same order), and the driver adds 16: what it receives is ``16 * width`` numbers at any input size.
+    Each task adds up its batches; the tasks' vectors are cut in chunks, and each chunk of each of 16 groups of tasks is added up by
+    itself, in the order of tasks, so that a rerun adds in the same order. The driver receives ``16 * width`` numbers at any input size.
     """
-    import numpy as np
 
-    def partial(batches):
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         total = np.zeros(width)
-        for batch in batches:
-            if batch.num_rows:
-                total += fn(batch)
+        for batch in pieces(batches):
+            total += fn(batch)
         pid = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pydict({"slot": [pid % 16], "pid": [pid], "v": [total.tobytes()]})
-
-    def merged(pdf):
-        total = np.zeros(width)
-        for v in pdf.sort_values("pid")["v"]:
-            total += np.frombuffer(v)
-        return pdf.head(1).assign(pid=0, v=[total.tobytes()])
+        made = [total[lo : lo + CHUNK].tobytes() for lo in range(0, width, CHUNK)]
+        n = len(made)
+        cols = [pa.array([pid % SLOTS] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([pid] * n, pa.int64()), pa.array(made, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["slot", "chunk", "pid", "v"])
 
-    schema = "slot long, pid long, v binary"
-    rows = df.mapInArrow(partial, schema).groupBy("slot").applyInPandas(merged, schema).collect()
-    total = np.zeros(width)
-    for row in sorted(rows, key=lambda r: r["slot"]):
-        total += np.frombuffer(row["v"])
-    return total
+    return _merged(df.mapInArrow(partial, "slot int, chunk int, pid long, v binary"), "f8", np.add, width)
 
 
 class Bitmap:
-    """Which 64-bit hashes may be among given ones: two bits each in a bitmap of 1 MB at any number of them.
+    """Which 64-bit hashes may be among given ones: a Bloom filter of two bits a hash, sized by their number.
 
-    It lets rows that a join would drop stay where they are. Once full it holds nothing back, and the join decides as before.
+    It lets rows that a join would drop stay where they are: at ``EACH`` bits a hash some two in a hundred others pass. ``MOST`` bits
+    (16 MB) bound what a worker holds: beyond some ten million hashes more rows pass, and the join decides as before.
     """
 
-    BITS = 1 << 23
+    EACH, LEAST, MOST = 12, 1 << 16, 1 << 27
 
     def __init__(self, packed: bytes):
-        self.packed = packed
+        self.packed, self.bits = packed, 8 * len(packed)
 
     @classmethod
     def of(cls, df: DataFrame, column: str) -> Bitmap:
-        import numpy as np
-
-        bits = cls.BITS
-
-        def partial(batches):
-            flags = np.zeros(bits, bool)
-            for batch in batches:
+        """The filter of a column of hashes; each task sends the chunks that it sets bits in, and chunks are combined apart."""
+        keys = df.select(column)
+        bits = cls.LEAST
+        while bits < min(cls.MOST, cls.EACH * keys.count()):
+            bits *= 2
+        size = CHUNK * 8
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            flags = np.zeros(bits // 8, np.uint8)
+            for batch in pieces(batches, 1 << 16):
                 h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                flags[(h % np.uint64(bits)).astype(np.int64)] = True
-                flags[(h >> np.uint64(40)).astype(np.int64) % bits] = True
-            yield pa.RecordBatch.from_pydict({"v": [np.packbits(flags).tobytes()]})
-
-        total = np.zeros(bits // 8, np.uint8)
-        for row in df.select(column).coalesce(8).mapInArrow(partial, "v binary").collect():
-            total |= np.frombuffer(row["v"], np.uint8)
-        return cls(total.tobytes())
+                for at in places(h, bits):
+                    np.bitwise_or.at(flags, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+            chunks = flags.reshape(-1, size)
+            some = np.flatnonzero(chunks.any(axis=1))
+            pid, n = TaskContext.get().partitionId(), len(some)
+            cols = [pa.array([pid % SLOTS] * n, pa.int32()), pa.array(some.astype(np.int32)), pa.array([pid] * n, pa.int64()), pa.array([chunks[i].tobytes() for i in some], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["slot", "chunk", "pid", "v"])
 
-    def may_hold(self, hashes):
-        import numpy as np
+        rows = keys.where(F.col(column).isNotNull()).mapInArrow(partial, "slot int, chunk int, pid long, v binary")
+        return cls(_merged(rows, "u1", np.bitwise_or, bits // 8).tobytes())
 
-        h, packed = hashes.view(np.uint64), np.frombuffer(self.packed, np.uint8)
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        packed = np.frombuffer(self.packed, np.uint8)
+        hit = [packed[at >> 3] >> (at & 7).astype(np.uint8) & 1 for at in places(hashes.view(np.uint64), self.bits)]
+        return (hit[0] & hit[1]).astype(bool)
 
-        def at(i):
-            return packed[i >> 3] >> (7 - (i & 7)).astype(np.uint8) & 1
 
-        return (at((h % np.uint64(self.BITS)).astype(np.int64)) & at((h >> np.uint64(40)).astype(np.int64) % self.BITS)).astype(bool)
+def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (hashes % np.uint64(bits)).astype(np.int64), ((hashes >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(bits)).astype(np.int64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps over DataFrames until no edge changes: O(log n) rounds in
     practice. Each round is grouped minima (combined map-side) and an equi-join that adaptive execution can split at
     hub nodes; each round is written to the shared folder. Self-loops and repeated edges are allowed; nulls are
-    dropped; an empty table gives an empty result.
+    dropped; an empty table gives an empty result. What a round wrote goes when the next has been written.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
@@ -39,6 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(low.select(F.col("lu").alias("u"), F.col("m").alias("v")))
         )
         new = stash(small.distinct(), "small")
+        discard(e, large)
         # A star forest: no node is both an end and a centre.
         is_star = new.join(new.select(F.col("u").alias("x")).distinct(), F.col("v") == F.col("x"), "left_semi").isEmpty()
         degree_one = is_star and new.groupBy("u").count().where("count > 1").isEmpty()

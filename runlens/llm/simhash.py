@@ -11,22 +11,24 @@ its exact value in each part and probes all values in its balls; each hit is ver
 
 Nulls, empty texts, ties: a null text counts as empty; a text without words has fingerprint 0, which links like any
 other; fewer words than a shingle make one shingle. A bit set in exactly half of the shingles is 0. Rows with a null id
-get a component like others; ids are compared without them. Equal rows stay separate rows with equal results.
+get a component like others; ids are compared without them. Equal rows stay separate rows with equal results. Texts of any length are
+taken whole, in pieces of some thousand shingles. Only the id and the text are read, so other columns cannot clash; ``near_dedup`` keeps
+all columns, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, id_text, map_arrow, raw_texts, stash, vector_sum
+from .common import Bitmap, discard, free_name, id_text, map_arrow, pieces, raw_texts, stash, vector_sum
 from .graph import components
 
 BITS = 64
@@ -167,15 +169,8 @@ class Plan:
         return out
 
 
-#: Number of fingerprints that parts are laid out for by default; a larger one gives fewer, wider parts.
-EXPECTED = 1 << 20
-
-
-def chosen_parts(tau: int, expected: int = EXPECTED) -> int:
-    """Number of parts of least cost, where a shuffled probe counts as 100 comparisons.
-
-    It depends on parameters alone, so that work a fingerprint is the same for any table; so are the results for any number.
-    """
+def chosen_parts(tau: int, n: int) -> int:
+    """Number of parts of least cost for n fingerprints, where a shuffled probe counts as 100 comparisons; any number gives the same results."""
 
     def cost(m: int) -> float:
         width, budget = BITS // m, tau - m + 1
@@ -183,7 +178,7 @@ def chosen_parts(tau: int, expected: int = EXPECTED) -> int:
             return float("inf")
         t = [budget // m + (i < budget % m) for i in range(m)]
         probes = sum(sum(comb(width, d) for d in range(x + 1)) for x in t)
-        return m + probes * (1 + expected / 2.0**width / 100)
+        return m + probes * (1 + n / 2.0**width / 100)
 
     return min(range(2, 9), key=cost)
 
@@ -206,7 +201,7 @@ def plan(distinct: DataFrame, tau: int, parts: int | None = None) -> Plan:
     mean = total[1 : 1 + BITS] / max(1, n)
     cov = total[1 + BITS :].reshape(BITS, BITS) / max(1, n) - np.outer(mean, mean)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-    out = Plan(grouped_bits(cov / np.outer(sd, sd), parts or chosen_parts(tau)), tau, n)
+    out = Plan(grouped_bits(cov / np.outer(sd, sd), parts or chosen_parts(tau, n)), tau, n)
     out.learn(vector_sum(distinct.select("fp"), lambda batch: out.count(fps(batch)), out.width()))
     return out
 
@@ -222,7 +217,7 @@ def signatures(distinct: DataFrame, p: Plan) -> DataFrame:
     ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             every = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for lo in range(0, len(every), 4096):
                 fp = every[lo : lo + 4096]
@@ -251,28 +246,32 @@ def signatures(distinct: DataFrame, p: Plan) -> DataFrame:
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the edges (a, b): as many edges as nodes at most, the same reachability."""
+    """Some of the edges (a, b) that reach what all of them reach, fewer than there are nodes.
+
+    Each component takes one edge to a component of a smaller label, until none is left.
+    """
     nodes, ix = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = ix[: len(a)], ix[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, x, label[y])
-        np.minimum.at(new, y, label[x])
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            break
-        label = new
-    far = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[far], nodes[label[far]]
+    label, kept = np.arange(len(nodes)), [np.zeros(0, np.int64)]
+    while len(cross := np.flatnonzero(label[x] != label[y])):
+        p, q = label[x[cross]], label[y[cross]]
+        high, one = np.unique(np.maximum(p, q), return_index=True)
+        kept.append(cross[one])
+        up = np.arange(len(nodes))
+        up[high] = np.minimum(p, q)[one]
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+    kept_ = np.concatenate(kept)
+    return a[kept_], b[kept_]
 
 
 def links(distinct: DataFrame, tau: int = 3, parts: int | None = None) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints with the same components as all links at ``tau`` bits or fewer.
+    """Edges (a, b) between distinct fingerprints within ``tau`` bits, with the same components as all such edges.
 
-    Buckets with over ``BLOCK`` indexed fingerprints are split in blocks that go to different tasks; their probes visit
-    every block. A task holds one block and streams its probes; it emits a star for each component that it sees rather than
-    all pairs. No cap applies.
+    Buckets with over ``BLOCK`` indexed fingerprints are split in blocks, and their probes in as many; each block of the one meets each
+    of the other in a task of its own, which holds the indexed block and streams the probes. A task keeps as many of the edges that it
+    sees as connect what they connect. No cap applies.
     """
     p = plan(distinct, tau, parts)
     rows = signatures(distinct, p)
@@ -280,8 +279,10 @@ def links(distinct: DataFrame, tau: int = 3, parts: int | None = None) -> DataFr
     full = stash(full.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "full")
     rows = rows.join(full, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    visits = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-    rows = rows.select("key", "fp", "probe", F.explode(visits).alias("block"))
+    all_ = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("key", "fp", "probe", own.alias("own"), all_)
+    block = F.when(F.col("probe"), F.struct(F.col("other").alias("d"), F.col("own").alias("p"))).otherwise(F.struct(F.col("own").alias("d"), F.col("other").alias("p")))
+    rows = rows.select("key", "fp", "probe", (F.shiftleft(block["d"].cast("long"), 32) + block["p"]).alias("block"))
     dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "probe")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +358,7 @@ def flat(fp: np.ndarray, start: np.ndarray, n_data: np.ndarray, stop: np.ndarray
 
 
 def compared(data: np.ndarray, probes: np.ndarray, tau: int):
-    """Verified pairs of one large group, as stars: blocks of probes against all its data rows."""
+    """Verified pairs of one large group, as few as connect them: blocks of probes against all its data rows."""
     out, step = [], max(1, PAIRS // max(1, len(data)))
     if not len(data):
         return out
@@ -410,38 +411,6 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(np.array([xx(b" ".join(words[i : i + k]), 42) for i in range(max(1, len(words) - k + 1))], np.uint64))
 
 
-def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Star edges with the same components as all pairs across sides with Jaccard similarity ``least`` or more.
-
-    ``side`` is 0 or 1 (pairs across the two) or 2 for every row (all pairs). Pairs that are connected already are
-    not compared again.
-    """
-    n = len(sets)
-    size = np.array([len(x) for x in sets])
-    label, out = np.arange(n), []
-    flat_sets = np.concatenate(sets) if n else np.zeros(0, np.uint64)
-    begin = np.cumsum(size) - size
-    for i in range(n - 1):
-        j = np.arange(i + 1, n)
-        j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[j] == 2))]
-        j = j[np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i])]
-        if not len(j):
-            continue
-        if not size[i]:
-            same = j[size[j] == 0]
-        else:
-            take = np.repeat(begin[j] - (np.cumsum(size[j]) - size[j]), size[j]) + np.arange(size[j].sum())
-            values = flat_sets[take]
-            at = np.minimum(np.searchsorted(sets[i], values), size[i] - 1)
-            both = np.add.reduceat((sets[i][at] == values).astype(np.int64), np.cumsum(size[j]) - size[j])
-            same = j[both >= least * (size[j] + size[i] - both) - 1e-9]
-        for x in same:
-            if label[x] != label[i]:
-                out.append((i, int(x)))
-                label[label == label[x]] = label[i]
-    return out
-
-
 def shingle_ranks(texts: DataFrame, k: int) -> np.ndarray:
     """Twice the binary logarithm of the number of shingles in each bucket, over all texts."""
 
@@ -459,7 +428,8 @@ def may_be_similar(texts: DataFrame, roots: DataFrame, k: int, least: float) ->
     smaller set of a similar pair has, ``least * n`` are shared at least, so the first shared one is among the first
     n - ceil(least * n) + 1 of each set: texts meet under these, and pairs stay if sizes, positions and the number of meetings
     allow the similarity (what a pair shares beyond them is among the last shingles of one set). The order decides only how
-    many meet. A shingle of over ``SHARED`` texts is split in pairs of blocks.
+    many meet. A shingle that texts of one root alone have is found by the least and the greatest of its roots, which combine map-side,
+    and its rows stay where they are. One of over ``SHARED`` texts is split in pairs of blocks.
     """
     ranks = shingle_ranks(texts, k)
 
@@ -473,15 +443,6 @@ def may_be_similar(texts: DataFrame, roots: DataFrame, k: int, least: float) ->
         cols = [batch.column("th"), pa.array(size, pa.int32()), pa.array(made, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, ["th", "size", "shingles"])
 
-    def exploded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
-        n = np.array([len(x) for x in made], np.int64)
-        key = np.concatenate(made)
-        often = ranks[(key.view(np.uint64) % np.uint64(SKETCH)).astype(np.int64)] > 2 * np.log2(SHARED)
-        th, root, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in ("th", "root", "size"))
-        span = size.astype(np.int64) << 32 | np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, th, root, span, often)], ["key", "th", "root", "span", "often"])
-
     made = stash(map_arrow(texts.select("th", "text"), first, "th long, size int, shingles binary"), "first")
     known = Bitmap.of(roots.select("th"), "th")
 
@@ -493,147 +454,171 @@ def may_be_similar(texts: DataFrame, roots: DataFrame, k: int, least: float) ->
         return map_arrow(made, run, made.schema)
 
     named = part(False).withColumn("root", F.col("th")).unionByName(part(True).join(roots, "th", "left").withColumn("root", F.coalesce("root", "th")))
-    rows = map_arrow(named, exploded, "key long, th long, root long, span long, often boolean")
-    full = map_arrow(made.withColumn("root", F.col("th")), exploded, rows.schema).where("often").groupBy("key").count()
-    full = stash(full.where(F.col("count") > SHARED).select("key", F.ceil(F.col("count") / SHARED).cast("int").alias("blocks")), "full")
-    rows = rows.drop("often").join(full, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    named = stash(named.select("th", "root", "size", "shingles"), "named-first")
+    discard(made)
+
+    def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        every = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        return np.concatenate(every), np.array([len(x) for x in every], np.int64)
+
+    def told(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, n = keys(batch)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(batch.column("root").to_numpy(zero_copy_only=False), n))], ["key", "root"])
+
+    met_ = map_arrow(named, told, "key long, root long").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"))
+    several = stash(met_.where("x <> y").select("key", "n"), "several")
+    common = Bitmap.of(several, "key")
+    full = several.where(F.col("n") > SHARED).select("key", F.ceil(F.col("n") / SHARED).cast("int").alias("blocks"))
+
+    def exploded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, n = keys(batch)
+        stay = common.may_hold(key)
+        th, root, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n)[stay] for c in ("th", "root", "size"))
+        span = size.astype(np.int64) << 32 | (np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n))[stay]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[stay], th, root, span)], ["key", "th", "root", "span"])
+
+    rows = map_arrow(named, exploded, "key long, th long, root long, span long")
+    rows = rows.join(full, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.hash("th"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x, y = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(x == y, 2).otherwise((F.col("own") == y).cast("int"))
     block = x.cast("long") * F.col("blocks") + y
-    rows = rows.select("key", (block * 4 + side).alias("place"), "th", "root", "span")  # narrow: there are many
-    dealt = rows.repartition("key", F.shiftright("place", 2)).sortWithinPartitions("key", "place", "th")
-
-    def met(cols: list[np.ndarray], start: np.ndarray) -> pa.RecordBatch:
-        """Meetings in all groups, whose rows begin at ``start``: of rows one apart, then two, as far as groups reach."""
-        _, place, th, root, span = cols
-        side, size, at = place & 3, span >> 32, span & 0xFFFFFFFF
-        end = np.repeat(np.append(start[1:], len(th)), np.diff(np.append(start, len(th))))
-        i, step, out = np.arange(len(th)), 0, []
-        while True:
-            step += 1
-            i = i[end[i] > i + step]
-            if not len(i):
-                break
-            j = i + step
-            ok = (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] == 2))
+    rows = rows.select("key", block.alias("block"), side.cast("int").alias("side"), "th", "root", "span")
+    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "root", "th")
+
+    def met(cols: list[np.ndarray], start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Meetings in groups, whose rows begin at ``start``, of rows with different roots: each with those after its own root's."""
+        _, _, side, th, root, span = cols
+        size, at, n = span >> 32, span & 0xFFFFFFFF, len(th)
+        group = np.zeros(n, np.int64)
+        group[start[1:]] = 1
+        group = np.cumsum(group)
+        end = np.append(start[1:], n)[group]
+        new = np.append(np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (root[1:] != root[:-1]))), n)
+        after = np.repeat(new[1:], np.diff(new))
+        many = end - after
+        for lo, hi in slices(np.cumsum(many), PAIRS):
+            i = np.repeat(np.arange(lo, hi), many[lo:hi])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(many[lo:hi]) - many[lo:hi], many[lo:hi]) + after[i]
+            ok = (side[i] != side[j]) | (side[i] == 2)
             ok &= np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9
-            i_, j_ = i[ok], j[ok]
-            need = np.ceil(least / (1 + least) * (size[i_] + size[j_]) - 1e-9)
-            fits = np.minimum(size[i_] - at[i_], size[j_] - at[j_]) >= need
-            beyond = np.ceil(least * np.maximum(size[i_], size[j_]) - 1e-9) - 1
-            out.append((np.minimum(th[i_], th[j_]), np.maximum(th[i_], th[j_]), (need - beyond).astype(np.int32), fits))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, bool)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "need", "fits"])
+            i, j = i[ok], j[ok]
+            need = np.ceil(least / (1 + least) * (size[i] + size[j]) - 1e-9)
+            fits = np.minimum(size[i] - at[i], size[j] - at[j]) >= need
+            beyond = np.ceil(least * np.maximum(size[i], size[j]) - 1e-9) - 1
+            out = [np.minimum(th[i], th[j]), np.maximum(th[i], th[j]), (need - beyond).astype(np.int32), fits]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "need", "fits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ("key", "place", "th", "root", "span"), None
+        names, held = ("key", "block", "side", "th", "root", "span"), None
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
             if held is not None:  # a group that began in an earlier batch
                 cols = [np.concatenate(c) for c in zip(held, cols)]
-            block = cols[1] >> 2
-            new = np.append(True, (cols[0][1:] != cols[0][:-1]) | (block[1:] != block[:-1]))
-            once = new | np.append(True, cols[2][1:] != cols[2][:-1])  # equal texts are one
+            new = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
+            once = new | np.append(True, cols[3][1:] != cols[3][:-1])  # equal texts are one
             cols, start = [c[once] for c in cols], np.flatnonzero(new[once])
             last = start[-1]
             held = [c[last:].copy() for c in cols]
             if last:
-                yield met([c[:last] for c in cols], start[:-1])
+                yield from met([c[:last] for c in cols], start[:-1])
         if held is not None:
-            yield met(held, np.zeros(1, np.int64))
+            yield from met(held, np.zeros(1, np.int64))
 
     pairs = dealt.mapInArrow(run, "a long, b long, need int, fits boolean").groupBy("a", "b")
     pairs = pairs.agg(F.count("*").alias("n"), F.max("need").alias("need"), F.max("fits").alias("fits"))
-    return pairs.where("fits and n >= need").select("a", "b")
+    pairs = stash(pairs.where("fits and n >= need").select("a", "b"), "pairs")
+    discard(named, several)
+    return pairs
 
 
-def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, tau: int = 8
-) -> DataFrame:
-    """(doc_id, text_hash, component_id, root) of every row: groups linked by Jaccard similarity of word shingles.
+def second_hash(text: Column) -> Column:
+    return F.xxhash64(F.lit("second"), text)
+
+
+def node_of(text: Column, text_hash: Callable[[Column], Column], clashing: list[int]) -> Column:
+    """The number of a text: its hash, or where texts are known to share that, a second one."""
+    h = text_hash(text).cast("long")
+    return F.when(h.isin(clashing), second_hash(text)).otherwise(h) if clashing else h
 
-    The first candidates are texts whose word-set fingerprints are connected at ``tau`` bits or fewer (GPH search as above);
-    within them every pair that is not connected yet is held against the exact similarity of its shingle sets. Candidate groups
-    over 512 texts are split in pairs of blocks, each compared in a task of its own. Then all pairs that this leaves apart
-    and that may be similar are found by the first shingles of their sets and verified alike, so that no similar pair is
-    missed at any distance of fingerprints. Equal texts are one node throughout.
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, tau: int = 5,
+    text_hash: Callable[[Column], Column] = F.xxhash64,
+) -> DataFrame:
+    """(doc_id, text_hash, second_hash, component_id, root) of every row: groups linked by Jaccard similarity of word shingles.
+
+    The first candidates are texts whose word-set fingerprints lie within ``tau`` bits (GPH search as above): as many of these pairs as
+    connect them are held against the exact similarity of their shingle sets. What this leaves apart and may be similar is found by
+    the first shingles of the sets and verified alike, so that no similar pair is missed at any distance of fingerprints; ``tau``
+    decides the work, not the result. Equal texts are one node throughout, known by two independent 64-bit hashes: texts that share
+    the first alone are told apart by the second.
     """
+    base = id_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([word_set_fingerprint(t) for t in raw_texts(batch)], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fp)], ["doc_id", "th", "fp"])
-
-    hashed = id_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    hashed = hashed.withColumn("th", F.xxhash64("text"))
-    rows = stash(map_arrow(hashed, run, "doc_id long, th long, fp long"), "texts")
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(fp)], ["doc_id", "h1", "h2", "fp"])
+
+    hashes = base.select("doc_id", text_hash(F.col("text")).cast("long").alias("h1"), second_hash(F.col("text")).alias("h2"), "text")
+    rows = stash(map_arrow(hashes, run, "doc_id long, h1 long, h2 long, fp long"), "texts")
+    apart = rows.groupBy("h1").agg(F.min("h2").alias("x"), F.max("h2").alias("y")).where("x <> y").select("h1")
+    clashing = [r["h1"] for r in apart.collect()]  # n * n / 2 ** 65 of n texts
+    hashed = base.withColumn("th", node_of(F.col("text"), text_hash, clashing))
+    th = F.when(F.col("h1").isin(clashing), F.col("h2")).otherwise(F.col("h1")) if clashing else F.col("h1")
+    rows = rows.withColumn("th", th)
     nodes = rows.groupBy("th").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
     nodes = stash(nodes, "nodes")
-    near = components(links(nodes.select("fp").distinct(), tau)).select(F.col("node").alias("fp"), F.col("component").alias("near"))
-    grouped = nodes.join(near, "fp", "left").withColumn("near", F.coalesce("near", "fp"))
-    grouped = stash(grouped.select("th", "least", "near"), "candidates")
-    many = grouped.groupBy("near").count().where("count > 1")
-    many = stash(many.select("near", F.ceil(F.col("count") / 512).cast("int").alias("blocks")), "many")
-    wanted = grouped.join(many, "near").select(F.col("th").alias("wth"), F.col("least").alias("wid"), "near", "blocks")
-    wanted = stash(wanted, "wanted")
 
     def fetched(wanted: DataFrame) -> DataFrame:
-        """The texts of the rows (wth, wid), with their columns."""
+        """One row (th, text) of each of the wanted nodes (th, least)."""
+        wanted = wanted.select(F.col("th").alias("wth"), F.col("least").alias("wid"))
         known = Bitmap.of(wanted.select("wth"), "wth")
 
         def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
             return batch.filter(pa.array(known.may_hold(batch.column("th").to_numpy(zero_copy_only=False))))
 
         some = map_arrow(hashed, likely, hashed.schema)
-        return some.join(wanted, (F.col("th") == F.col("wth")) & F.col("doc_id").eqNullSafe(F.col("wid")))
-
-    found = fetched(wanted)
-
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [shingle_set(t, words_per_shingle).tobytes() for t in raw_texts(batch)]
-        cols = [batch.column(c) for c in ("near", "blocks", "th")]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(made, pa.binary())], ["near", "blocks", "th", "shingles"])
-
-    own = F.pmod(F.hash("th"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sized = map_arrow(found.select("near", "blocks", "th", "text"), sets, "near long, blocks int, th long, shingles binary")
-    sized = sized.select("near", "th", "shingles", own.alias("own"), other.alias("other"))
-    sized = sized.select("near", "th", "shingles", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    dealt = sized.repartition("near", "x", "y").sortWithinPartitions("near", "x", "y", "th")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, members = None, []
-
-        def closed():
-            if len(members) < 2:
-                return None
-            x, y = held[1:]
-            side = np.array([2 if x == y else int(m[1] == y) for m in members])
-            pairs = similar_pairs([np.frombuffer(m[2], np.uint64) for m in members], side, similarity)
-            if not pairs:
-                return None
-            a, b = ([members[p[k]][0] for p in pairs] for k in (0, 1))
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("near", "x", "y", "th", "own", "shingles")]
-            for near_, x, y, th, own_, shingles in zip(*cols):
-                if (near_, x, y) != held:
-                    if held is not None and (done := closed()) is not None:
-                        yield done
-                    held, members = (near_, x, y), []
-                if not members or members[-1][0] != th:
-                    members.append((th, own_, shingles))
-        if held is not None and (done := closed()) is not None:
-            yield done
-
-    edges = stash(dealt.mapInArrow(verify, "a long, b long"), "edges")
+        return some.join(wanted, (F.col("th") == F.col("wth")) & F.col("doc_id").eqNullSafe(F.col("wid"))).select("th", "text")
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        """Those of the pairs (a, b) of nodes that are similar, by their whole sets."""
+        ends = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
+        ends = stash(ends.join(nodes, "th").select("th", "least"), "ends")
+
+        def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = [shingle_set(t, words_per_shingle).tobytes() for t in raw_texts(batch)]
+            return pa.RecordBatch.from_arrays([batch.column("th"), pa.array(made, pa.binary())], ["th", "shingles"])
+
+        full = stash(map_arrow(fetched(ends), whole, "th long, shingles binary").dropDuplicates(["th"]), "sets")
+        both = pairs.join(full.select(F.col("th").alias("a"), F.col("shingles").alias("sa")), "a")
+        both = both.join(full.select(F.col("th").alias("b"), F.col("shingles").alias("sb")), "b")
+
+        def similar(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = []
+            for x, y in zip(batch.column("sa"), batch.column("sb")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(n >= similarity * (len(x) + len(y) - n) - 1e-9)
+            return batch.select(["a", "b"]).filter(pa.array(keep))
+
+        out = stash(map_arrow(both.select("a", "b", "sa", "sb"), similar, "a long, b long"), label)
+        discard(ends, full)
+        return out
 
     def grouped_by(edges: DataFrame) -> DataFrame:
         return components(edges).select(F.col("node").alias("th"), F.col("component").alias("root"))
 
+    heads = stash(nodes.groupBy("fp").agg(F.min("th").alias("head")), "heads")
+    near = links(heads.select("fp"), tau)
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    alike = nodes.join(heads, "fp").where("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b"))
+    near = stash(near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(alike), "near")
+    edges = verified(near, "edges")
+
     # One row of each text: of texts with copies, the others are left out where bitmaps can tell.
     several = nodes.where("n > 1").select("th", F.xxhash64("th", "least").alias("one"))
     copied, ones = Bitmap.of(several.select("th"), "th"), Bitmap.of(several.select("one"), "one")
@@ -644,67 +629,52 @@ def similar_groups(
 
     each = hashed.select("th", F.xxhash64("th", "doc_id").alias("one"), "text")
     each = map_arrow(each, single, each.schema)
-    pairs = stash(may_be_similar(each, stash(grouped_by(edges), "roots"), words_per_shingle, similarity), "pairs")
-    ends = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
-    ends = stash(ends.join(nodes, "th").select(F.col("th").alias("wth"), F.col("least").alias("wid")), "ends")
-
-    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [shingle_set(t, words_per_shingle).tobytes() for t in raw_texts(batch)]
-        return pa.RecordBatch.from_arrays([batch.column("th"), pa.array(made, pa.binary())], ["th", "shingles"])
-
-    full = map_arrow(fetched(ends).select("th", "text"), whole, "th long, shingles binary")
-    full = stash(full.dropDuplicates(["th"]), "sets")
-    both = pairs.join(full.select(F.col("th").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(full.select(F.col("th").alias("b"), F.col("shingles").alias("sb")), "b")
-
-    def similar(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column("sa"), batch.column("sb")):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            n = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(n >= similarity * (len(x) + len(y) - n) - 1e-9)
-        return batch.select(["a", "b"]).filter(pa.array(keep))
-
-    comp = grouped_by(edges.unionByName(map_arrow(both.select("a", "b", "sa", "sb"), similar, "a long, b long")))
+    roots = stash(grouped_by(edges), "roots")
+    pairs = may_be_similar(each, roots, words_per_shingle, similarity)
+    more = verified(pairs, "more-edges")
+    comp = grouped_by(edges.unionByName(more))
     named = nodes.join(comp, "th", "left").withColumn("root", F.coalesce("root", "th"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stash(named.join(least, "root").select("th", "component_id", "root"), "named")
-    return rows.join(named, "th", "left").select("doc_id", F.col("th").alias("text_hash"), "component_id", "root")
+    discard(heads, near, edges, more, pairs, roots, nodes)
+    return rows.join(named, "th", "left").select("doc_id", F.col("th").alias("text_hash"), F.col("h2").alias("second_hash"), "component_id", "root")
 
 
 def near_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, tau: int = 8
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, tau: int = 5,
+    text_hash: Callable[[Column], Column] = F.xxhash64,
+) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when one document of each similar group does: that of the smallest id.
 
     Of equal rows that repeat the kept id one stays; rows that share it but differ in text all stay. A group
     without any id keeps one row.
     """
-    groups = stash(similar_groups(docs, id_col, text_col, words_per_shingle, similarity, tau), "groups")
-    own = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__near_id")).agg(F.count("*").alias("n"))
+    near_id, near_hash = free_name(docs, "near_id"), free_name(docs, "near_hash")
+    groups = stash(similar_groups(docs, id_col, text_col, words_per_shingle, similarity, tau, text_hash), "groups")
+    own = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(near_id)).agg(F.count("*").alias("n"))
     own = stash(own, "kept")
-    gone = groups.where("doc_id is not null").select(F.col("doc_id").alias("__near_id")).distinct()
-    gone = stash(gone.join(own, "__near_id", "left_anti"), "gone")
+    gone = groups.where("doc_id is not null").select(F.col("doc_id").alias(near_id)).distinct()
+    gone = stash(gone.join(own, near_id, "left_anti"), "gone")
     # Texts whose id cannot be among those that go stay where they are; the others are joined.
-    known = Bitmap.of(gone.select(F.xxhash64("__near_id").alias("h")), "h")
-    named = docs.where(F.col(id_col).isNotNull()).withColumn("__near_hash", F.xxhash64(F.col(id_col).cast("long")))
+    known = Bitmap.of(gone.select(F.xxhash64(near_id).alias("h")), "h")
+    named = docs.where(F.col(id_col).isNotNull()).withColumn(near_hash, F.xxhash64(F.col(id_col).cast("long")))
 
     def part(held: bool) -> DataFrame:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            may = known.may_hold(batch.column("__near_hash").to_numpy(zero_copy_only=False))
+            may = known.may_hold(batch.column(near_hash).to_numpy(zero_copy_only=False))
             return batch.filter(pa.array(may if held else ~may))
 
-        return map_arrow(named, run, named.schema).drop("__near_hash")
+        return map_arrow(named, run, named.schema).drop(near_hash)
 
-    kept = part(False).unionByName(part(True).join(gone, F.col(id_col).cast("long") == F.col("__near_id"), "left_anti"))
+    kept = part(False).unionByName(part(True).join(gone, F.col(id_col).cast("long") == F.col(near_id), "left_anti"))
     if not own.where("n > 1").isEmpty():
         kept = kept.dropDuplicates([id_col, text_col])
-    nameless = groups.where("component_id is null").groupBy("root").agg(F.min("text_hash").alias("__near_id"))
+    nameless = groups.where("component_id is null").groupBy("root").agg(F.min("second_hash").alias(near_id))
     if not nameless.isEmpty():
         lost = docs.where(F.col(id_col).isNull())
-        text_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-        lost = lost.join(nameless.select("__near_id"), text_hash == F.col("__near_id"), "left_semi")
-        kept = kept.unionByName(lost.dropDuplicates([text_col]))
+        own_hash = second_hash(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+        lost = lost.withColumn(near_hash, own_hash).join(nameless.select(near_id), F.col(near_hash) == F.col(near_id), "left_semi")
+        kept = kept.unionByName(lost.dropDuplicates([near_hash]).drop(near_hash))
     return kept
 
 
