@@ -2,12 +2,18 @@
 
 Vectors are halved and each half is quantised by k-means of its own (fitted on a bounded sample); a vector's cell is the pair of its
 centroids. A query walks the pairs in descending order of the summed inner products of its halves with the centroids (a
-heap over the two sorted lists) until the cells hold a share of all vectors, and all of their vectors are scored on the
-original values in double precision. Every row is indexed. Where the share covers the table the result is exact.
+heap over the two sorted lists) until the cells hold a share of all distinct vectors, and all of their vectors are scored on the
+original values in double precision. Every row is indexed.
+
+The number of centroids grows with the table, so that there are about as many cells as vectors until each half has ``CENTROIDS``. The share is learnt
+on the fitting sample: the least that finds ``recall`` of the true neighbours there, for queries and candidates that k-means has not
+seen if the table is larger than the sample. Clustered vectors need a few hundredths, vectors without structure far more.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an id or of another
 dimension than the sample's most frequent one. Rows with the query's id are never its neighbours. Repeated rows are candidates
-each; ties go to the smaller id. A query with fewer candidates than ``k`` gets all; an empty table gives an empty result.
+each, but count once towards the share; ties go to the smaller id. Query rows with equal id and vector are one query; an id with
+several vectors has a list, ranked from 1, for each of them, told apart by ``query_hash``. A query with fewer candidates than ``k`` gets
+all; an empty table gives an empty result. Columns other than the id, the vector and those of ``is_query`` are not read.
 """
 
 from __future__ import annotations
@@ -18,13 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import pieces, stash
 
-#: Rows that k-means sees, those of the least id hashes: the bound of the fitting sample.
+#: Rows that k-means and the choice of the share see, those of the least id hashes: the bound of the fitting sample.
 SAMPLE = 8192
+#: Centroids of a half at most, and vectors of a cell that their number aims at.
+CENTROIDS, CELL = 256, 1
+#: Sample queries that the share is learnt on.
+TRIALS = 512
 #: Vectors of one cell that lie together; larger cells are dealt to several blocks.
 BLOCK = 4096
 #: Parts that the index has at least; more where parts would hold over 16 blocks of vectors.
@@ -58,19 +69,24 @@ def nearest_centroid(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmax(x @ c.T - 0.5 * (c * c).sum(axis=1), axis=1)
 
 
-def walk(a: np.ndarray, b: np.ndarray, counts: np.ndarray, want: int) -> list[int]:
-    """Cells in descending order of a[i] + b[j] until they hold ``want`` vectors; empty cells are passed over."""
+def walk(a: np.ndarray, b: np.ndarray, counts: list[int], want: int) -> list[int]:
+    """Cells in descending order of a[i] + b[j] until they hold ``want`` vectors; empty cells are passed over.
+
+    The heap has the next pair of each centroid of the first half that has been reached; one is reached when the pair before it is taken.
+    """
     oa, ob = np.argsort(-a, kind="stable").tolist(), np.argsort(-b, kind="stable").tolist()
-    sa, sb, width = [-a[i] for i in oa], [-b[j] for j in ob], len(b)
+    sa, sb, width = (-a[oa]).tolist(), (-b[ob]).tolist(), len(b)
     heap, out, got = [(sa[0] + sb[0], 0, 0)], [], 0
     while heap and got < want:
-        _, i, j = heapq.heappop(heap)
+        _, i, j = heap[0]
         cell = oa[i] * width + ob[j]
-        if counts[cell]:
+        if n := counts[cell]:
             out.append(cell)
-            got += counts[cell]
-        if j + 1 < len(ob):
-            heapq.heappush(heap, (sa[i] + sb[j + 1], i, j + 1))
+            got += n
+        if j + 1 < width:
+            heapq.heapreplace(heap, (sa[i] + sb[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
         if j == 0 and i + 1 < len(oa):
             heapq.heappush(heap, (sa[i + 1] + sb[0], i + 1, 0))
     return out
@@ -93,100 +109,136 @@ def best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.nd
     return order[place < k]
 
 
+def centroids_for(n: int, sample: int) -> int:
+    """Centroids of a half for ``n`` vectors: a power of two, with 16 sample vectors for each."""
+    want = max(2.0, min(CENTROIDS, (n / CELL) ** 0.5, sample / 16))
+    return 1 << int(np.log2(want))
+
+
+def share_for(ca: np.ndarray, cb: np.ndarray, x: np.ndarray, k: int, recall: float) -> float:
+    """The least share of the vectors ``x``, in the order of the walk, that holds ``recall`` of the k nearest of its queries.
+
+    The queries are its first rows; each leaves itself out.
+    """
+    half, width = ca.shape[1], len(cb)
+    cell = nearest_centroid(x[:, :half], ca) * width + nearest_centroid(x[:, half:], cb)
+    size = np.bincount(cell, minlength=len(ca) * width)
+    needed = []
+    for i in range(min(TRIALS, len(x))):
+        score = x @ x[i]
+        score[i] = -np.inf
+        best_ = np.argpartition(-score, min(k, len(x) - 1) - 1)[: min(k, len(x) - 1)] if len(x) > 1 else np.zeros(0, int)
+        sums = (ca @ x[i, :half])[:, None] + (cb @ x[i, half:])[None, :]
+        order = np.argsort(-sums.ravel(), kind="stable")
+        reach = np.empty(len(order), np.int64)
+        reach[order] = np.cumsum(size[order])
+        needed.append(reach[cell[best_]])
+    needed = np.concatenate(needed) if needed else np.zeros(0)
+    return float(np.quantile(needed, recall)) / len(x) if len(needed) else 1.0
+
+
+def key_hash(values: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(v) for v in values], np.uint64).view(np.int64)
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
     k: int = 20,
-    centroids: int = 32,
-    share: float = 0.6,
-    least: int = 2000,
+    recall: float = 0.94,
+    centroids: int | None = None,
+    share: float | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest rows found for each row that ``is_query`` marks.
+    """(query_id, rank, vec_id, score, query_hash) of the k nearest rows found for each row that ``is_query`` marks.
 
-    ``share`` of all vectors, but ``least`` at least, are scored for each query. Unstructured vectors need a large share for
-    a recall of 0.9 (this default was measured on such); clustered ones need a few hundredths.
+    ``centroids`` of a half and the ``share`` of distinct vectors that are scored for each query follow the table and the fitting
+    sample where they are not given; what a query of the sample misses is then ``1 - recall``. In a sample of S of n rows the
+    ``k * S / n`` nearest, one at least, stand for the k nearest of all.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
     base = base.where("id is not null and v is not null")
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_hash long")
+    sample = base.orderBy(F.xxhash64("id"), "id", F.xxhash64("v")).limit(SAMPLE).select("v").collect()
     sizes = Counter(len(r["v"]) for r in sample if r["v"] and None not in r["v"])
     dim = max(sizes, key=lambda n: (sizes[n], n)) if sizes else 0
     fit = [np.array(r["v"], np.float64) for r in sample if r["v"] and None not in r["v"] and len(r["v"]) == dim]
     fit = [x for x in fit if np.isfinite(x).all() and x.any()]
     if not fit:
         return empty
-    x, half = np.array(fit), max(1, dim // 2)
-    ca, cb = kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids) if dim > half else np.zeros((1, 0))
+    _, first_of = np.unique(np.array(fit), axis=0, return_index=True)
+    x, half, n_rows = np.array(fit)[np.sort(first_of)], max(1, dim // 2), base.count()
+    whole = n_rows <= SAMPLE
+    seen = x if whole else x[len(x) // 4 :]
+    tried = x if whole else x[: len(x) // 4]
+    many = centroids or centroids_for(n_rows, len(seen))
+    ca, cb = kmeans(seen[:, :half], many), kmeans(seen[:, half:], many) if dim > half else np.zeros((1, 0))
     cells = len(ca) * len(cb)
+    if share is None:
+        share = share_for(ca, cb, tried, max(1, round(k * len(tried) / max(n_rows, len(tried)))), recall)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows, found = usable(batch.column("v"), dim)
             if not len(rows):
                 continue
             cell = nearest_centroid(found[:, :half], ca) * len(cb) + nearest_centroid(found[:, half:], cb)
-            at = pa.array(rows)
+            at, raw = pa.array(rows), [r.tobytes() for r in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(at), batch.column("query").take(at), pa.array(cell.astype(np.int32)), pa.array([r.tobytes() for r in found], pa.binary())],
-                ["id", "query", "cell", "v"],
+                [batch.column("id").take(at), batch.column("query").take(at), pa.array(cell.astype(np.int32)), pa.array(key_hash(raw)), pa.array(raw, pa.binary())],
+                ["id", "query", "cell", "h", "v"],
             )
 
-    rows = stash(base.mapInArrow(index, "id long, query boolean, cell int, v binary"), "cells")
-    counts = np.zeros(cells, np.int64)
-    for r in rows.groupBy("cell").count().collect():
-        counts[r["cell"]] = r["count"]
+    rows = stash(base.mapInArrow(index, "id long, query boolean, cell int, h long, v binary"), "cells")
+    counts, distinct = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+    for r in rows.groupBy("cell", "h").count().groupBy("cell").agg(F.sum("count").alias("n"), F.count("*").alias("d")).collect():
+        counts[r["cell"]], distinct[r["cell"]] = r["n"], r["d"]
     total = int(counts.sum())
     if not total:
         return empty
-    want = max(least, int(np.ceil(share * total)), k + 1)
+    want = max(int(np.ceil(share * distinct.sum())), k + 1)
+    weight = distinct.tolist()
     blocks = np.maximum(1, -(-counts // BLOCK))
     shards = max(SHARDS, -(-total // (16 * BLOCK)))
     first = np.cumsum(blocks) - blocks  # number of each cell's first block
+    schema = "shard int, query boolean, id long, h long, v binary, cells array<int>"
+    names = ["shard", "query", "id", "h", "v", "cells"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Vectors to the shard of their block, and each query to the shards of the blocks of its cells."""
-        for batch in batches:
-            ids, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "cell"))
-            block = first[cell] + (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks[cell]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((block % shards).astype(np.int32)), pa.array(np.zeros(len(ids), bool)), batch.column("id"), batch.column("v"), pa.array([[int(c)] for c in cell], pa.list_(pa.int32()))],
-                ["shard", "query", "id", "v", "cells"],
-            )
-            asked = np.flatnonzero(batch.column("query").to_numpy(zero_copy_only=False))
-            for lo in range(0, len(asked), 256):
-                out: list[tuple] = []
-                for i in asked[lo : lo + 256].tolist():
-                    raw = batch.column("v")[i].as_py()
-                    q = np.frombuffer(raw)
-                    seen = np.array(walk(ca @ q[:half], cb @ q[half:], counts, want), np.int64)
-                    size = blocks[seen]
-                    block = np.repeat(first[seen], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    shard, cell_of = block % shards, np.repeat(seen, size)
-                    order = np.argsort(shard, kind="stable")
-                    cut = np.flatnonzero(np.diff(shard[order])) + 1
-                    for piece in np.split(order, cut):
-                        out.append((int(shard[piece[0]]), int(ids[i]), raw, np.unique(cell_of[piece]).tolist()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in out], pa.int32()),
-                        pa.array([True] * len(out)),
-                        pa.array([r[1] for r in out], pa.int64()),
-                        pa.array([r[2] for r in out], pa.binary()),
-                        pa.array([r[3] for r in out], pa.list_(pa.int32())),
-                    ],
-                    ["shard", "query", "id", "v", "cells"],
-                )
-
-    dealt = rows.mapInArrow(deal, "shard int, query boolean, id long, v binary, cells array<int>")
+        """Vectors to the shard of their block."""
+        for batch in pieces(batches):
+            ids, cell, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "cell", "h"))
+            spread = (ids ^ h).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            block = first[cell] + spread.astype(np.int64) % blocks[cell]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cell) + 1, dtype=np.int32)), pa.array(cell.astype(np.int32)))
+            cols = [pa.array((block % shards).astype(np.int32)), pa.array(np.zeros(len(ids), bool)), batch.column("id"), batch.column("h"), batch.column("v"), lists]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries to the shards of the blocks of the cells that they walk."""
+        for batch in pieces(batches, 256):
+            out: list[tuple] = []
+            for i, h, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "h", "v"))):
+                q = np.frombuffer(raw)
+                seen = np.array(walk(ca @ q[:half], cb @ q[half:], weight, want), np.int64)
+                size = blocks[seen]
+                block = np.repeat(first[seen], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                shard, cell_of = block % shards, np.repeat(seen, size)
+                order = np.argsort(shard, kind="stable")
+                for piece in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                    out.append((int(shard[piece[0]]), True, i, h, raw, np.unique(cell_of[piece]).tolist()))
+            kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)], names)
+
+    asked = rows.where("query").dropDuplicates(["id", "h", "v"])
+    dealt = rows.mapInArrow(deal, schema).unionByName(asked.mapInArrow(ask, schema))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "query")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, ids, cell, v = None, [], [], []
-        table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        table: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
         for batch in batches:
             number, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "query"))
             cuts = np.flatnonzero((number[1:] != number[:-1]) | (asks[1:] != asks[:-1])) + 1
@@ -205,40 +257,45 @@ def nearest(
                     continue
                 if ids and not table:
                     i, c, w = np.concatenate(ids), np.concatenate(cell), np.concatenate(v)
-                    for x in np.unique(c):
-                        table[int(x)] = (i[c == x], w[c == x])
+                    order = np.argsort(c, kind="stable")
+                    for own in np.split(order, np.flatnonzero(np.diff(c[order])) + 1):
+                        table[int(c[own[0]])] = (i[own], w[own], float(np.linalg.norm(w[own], axis=1).max()))
+                hashes = piece.column("h").to_numpy(zero_copy_only=False)
                 for lo in range(0, len(part), 512):
-                    yield from answers(piece_ids[lo : lo + 512], values[lo : lo + 512], piece.column("cells").slice(lo, 512), table)
+                    yield from answers(piece_ids[lo : lo + 512], hashes[lo : lo + 512], values[lo : lo + 512], piece.column("cells").slice(lo, 512), table)
 
-    def answers(query_ids, q, wanted, table) -> Iterator[pa.RecordBatch]:
+    def answers(query_ids, hashes, q, wanted, table) -> Iterator[pa.RecordBatch]:
         lists = wanted.flatten().to_numpy()
         owner = np.repeat(np.arange(len(query_ids)), np.diff(wanted.offsets.to_numpy()))
+        long = np.linalg.norm(q, axis=1)
         who, score, ids = [], [], []
-        for c in np.unique(lists):
-            if int(c) not in table:
+        by_cell = np.argsort(lists, kind="stable")
+        for own in np.split(by_cell, np.flatnonzero(np.diff(lists[by_cell])) + 1) if len(lists) else []:
+            if int(lists[own[0]]) not in table:
                 continue
-            asked = owner[lists == c]
-            own_ids, w = table[int(c)]
-            rough = q[asked] @ w.T
-            rough[query_ids[asked][:, None] == own_ids[None, :]] = -np.inf
-            if len(own_ids) > k:
+            asking = owner[own]
+            own_ids, w, longest = table[int(lists[own[0]])]
+            rough = q[asking] @ w.T
+            rough[query_ids[asking][:, None] == own_ids[None, :]] = -np.inf
+            if len(own_ids) > k:  # what the k-th product may hide: the two sums of products differ by their rounding alone
                 limit = np.partition(rough, len(own_ids) - k, axis=1)[:, len(own_ids) - k]
-                limit = limit - 1e-9 * (1 + np.abs(np.where(np.isfinite(limit), limit, 0)))
+                limit = limit - 4 * dim * np.finfo(float).eps * long[asking] * longest
             else:
-                limit = np.full(len(asked), -np.finfo(float).max)
-            i, j = np.nonzero((rough >= limit[:, None]) & (rough > -np.inf))
-            who.append(asked[i])
-            score.append(scores(q[asked[i]], w[j]))
+                limit = np.full(len(asking), -np.inf)
+            i, j = np.nonzero(~(rough < limit[:, None]) & (rough != -np.inf))
+            who.append(asking[i])
+            score.append(scores(q[asking[i]], w[j]))
             ids.append(own_ids[j])
         if who:
             w_, s_, i_ = np.concatenate(who), np.concatenate(score), np.concatenate(ids)
             keep = best(w_, s_, i_, k)
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[w_[keep]]), pa.array(i_[keep]), pa.array(s_[keep])], ["query_id", "vec_id", "score"])
+            cols = [query_ids[w_[keep]], hashes[w_[keep]], i_[keep], s_[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "query_hash", "vec_id", "score"])
 
-    found = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = dealt.mapInArrow(search, "query_id long, query_hash long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "query_hash")
 
 
 def op3_nearest(spark, sf_dir: str) -> DataFrame:
