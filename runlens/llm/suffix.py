@@ -6,23 +6,26 @@ of their window's minimiser (its anchor) and each part is sorted on its own.
 
 1. A pass over the texts finds anchors. An anchor stands for the run of neighbouring windows that it is the minimiser of and for
    the bytes that they cover. Runs with equal bytes in one task are repeats at once, and one of them goes on.
-2. Runs meet by anchor hash. An anchor that occurs once is done. Equal runs are repeats. Where runs differ, one of each goes on.
-3. Their bytes are fetched, and meet by anchor hash again. Windows whose polynomial hash occurs once are dropped; the
-   suffixes at the others are mergesorted, comparing by the longest common extension, which binary search over
-   prefix polynomial hashes finds in log(window) steps. Neighbours in that order with a common extension of a whole
-   window are compared byte by byte, and are repeats if equal.
-4. Covered bytes are merged to spans for each document and cut out.
-
-A row is known by its id and a 64-bit hash of its text, so rows with null or repeated ids are documents of their own, and repeated
-rows are repeats of each other. Null and empty texts have no bytes. Strings never cross documents. An empty table gives
-an empty result.
+2. Runs meet by anchor hash. An anchor that occurs once is done. Of the others, those go on whose run hash occurs again, and one of each
+   run hash where these differ.
+3. Their bytes are fetched, and meet by anchor hash again. Runs of equal bytes are repeats. Of differing ones, windows whose polynomial
+   hash occurs once are dropped; the suffixes at the others are mergesorted, comparing by the longest common extension, which binary
+   search over prefix polynomial hashes finds in log(window) steps. Neighbours in that order with a common extension of a whole window
+   are compared byte by byte, and are repeats if equal.
+4. An anchor of more than ``HOT`` runs is not one group: its runs are cut to windows, and these are counted by their bytes, which
+   combines map-side, so that no task gathers what one anchor has.
+5. Covered bytes are merged to spans for each document and cut out.
+
+No byte goes on the word of a hash alone. A row is known by its id and a 64-bit hash of its text, so rows with null or repeated ids are
+documents of their own, and repeated rows are repeats of each other. Null
+and empty texts have no bytes. Strings never cross documents; texts of any length are taken whole, in overlapping buffers. An empty
+table gives an empty result. Only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, raw_texts, stash
+from .common import Bitmap, discard, id_text, map_arrow, pieces, raw_texts, stash
 
 GRAM = 64
 #: Bytes of one numpy buffer; longer texts are taken in pieces that overlap by a window.
@@ -124,13 +127,24 @@ def merged(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
 ANCHORS = "kind int, khash long, uhash long, doc_id long, th long, s int, len int, off int, multi boolean"
 
 
-def anchors(docs: DataFrame, window: int) -> DataFrame:
+def equal_runs(piece: Callable[[int], bytes], order: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which neighbours in ``order``, alike by their hashes (``same``), have equal bytes; where hashes collide, order follows bytes."""
+    differ = [i for i in np.flatnonzero(same).tolist() if piece(order[i]) != piece(order[i + 1])]
+    if differ:
+        group = np.cumsum(np.concatenate([[0], ~same]))
+        for g in np.unique(group[differ]):
+            lo, hi = np.searchsorted(group, [g, g + 1])
+            order[lo:hi] = sorted(order[lo:hi].tolist(), key=piece)
+            same[lo : hi - 1] = [piece(order[i]) == piece(order[i + 1]) for i in range(lo, hi - 1)]
+    return order, same
+
+
+def anchors(docs: DataFrame, window: int, run_hash: Callable[[bytes], int] = xxhash.xxh3_64_intdigest) -> DataFrame:
     """Kind 0: runs (s, len: the bytes that they cover); kind 1: spans known as repeats in the task itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                yield one(whole.slice(lo, 2048))
+        for batch in pieces(batches):
+            yield one(batch)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = raw_texts(batch)
@@ -141,7 +155,7 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
             first, last, at, h = runs(np.frombuffer(data, np.uint8), stops, window)
             which = np.searchsorted(begins, first, "right") - 1
             end = last + window
-            uhash += [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), end.tolist())]
+            uhash += [run_hash(data[a:b]) for a, b in zip(first.tolist(), end.tolist())]
             row.append(np.array(who)[which])
             s.append(first - begins[which] + np.array(offset)[which])
             size.append(end - first)
@@ -151,6 +165,7 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
         row, s, size, off, k, u = *(cat(x, np.int64) for x in (row, s, size, off)), cat(khash, np.uint64), np.array(uhash, np.uint64)
         order = np.lexsort((u, k))
         same = (k[order][1:] == k[order][:-1]) & (u[order][1:] == u[order][:-1]) if len(k) > 1 else np.zeros(0, bool)
+        order, same = equal_runs(lambda i: raw[row[i]][s[i] : s[i] + size[i]], order, same)
         head = np.concatenate([[True], ~same])[: len(k)]
         more = np.concatenate([same, [False]])[: len(k)]
         local = order[~head | more]
@@ -203,33 +218,32 @@ def together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-def met(found: DataFrame) -> DataFrame:
-    """Runs that met by anchor hash: kind 1 spans of equal runs, kind 2 one of each of differing runs of an anchor."""
-    rows = found.where("kind = 0").repartition("khash").sortWithinPartitions("khash", "uhash")
+#: Runs of one anchor that meet in one task; anchors of more are taken by their windows.
+HOT = 2048
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """Of runs that met by anchor hash, those whose bytes must be seen: all of a run hash that occurs again, and one of each
+    run hash if an anchor has several and not all of them are known as repeats."""
+    dealt = rows.repartition("khash").sortWithinPartitions("khash", "uhash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, "khash"):
             k, u, multi = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("khash", "uhash", "multi"))
             new_k = np.concatenate([[True], k[1:] != k[:-1]])
             new_u = new_k | np.concatenate([[True], u[1:] != u[:-1]])
-            sub = np.cumsum(new_u) - 1
             head = np.flatnonzero(new_u)
             count = np.diff(np.concatenate([head, [len(k)]]))
             solved = (count > 1) | np.logical_or.reduceat(multi, head)
             group = np.cumsum(new_k)[head] - 1
             kinds, open_ = np.bincount(group), np.bincount(group, weights=~solved)
-            spans = np.flatnonzero(solved[sub] & ~multi)
-            wanted = head[(kinds[group] > 1) & (open_[group] > 0)]
-            at = np.concatenate([spans, wanted])
-            if not len(at):
-                continue
-            out = batch.take(pa.array(at))
-            kind = np.repeat([1, 2], [len(spans), len(wanted)]).astype(np.int32)
-            flag = np.concatenate([np.ones(len(spans), bool), solved[sub[wanted]]])
-            cols = [pa.array(kind), *[out.column(c) for c in ("khash", "uhash", "doc_id", "th", "s", "len", "off")], pa.array(flag)]
-            yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in ANCHORS.split(", ")])
+            differing = (kinds[group] > 1) & (open_[group] > 0)
+            again = np.repeat(count > 1, count)
+            again[head[differing]] = True
+            if again.any():
+                yield batch.filter(pa.array(again))
 
-    return rows.mapInArrow(run, ANCHORS)
+    return dealt.mapInArrow(run, rows.schema)
 
 
 # ---------------------------------------------------------------- the suffix sort
@@ -387,70 +401,145 @@ def among_many(x: Suffixes, begin: np.ndarray, size: np.ndarray):
     return owner[hit], local[hit], local[hit] + x.window
 
 
-def compared(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """Spans (doc_id, th, s, len) of repeats among differing runs of an anchor."""
+def likely(docs: DataFrame, rows: DataFrame, held: bool = True) -> DataFrame:
+    """The documents whose text hash may be among those of ``rows`` (or the others): texts that a join would drop stay where they are."""
+    known = Bitmap.of(rows.select("th").distinct(), "th")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        may = known.may_hold(batch.column("th").to_numpy(zero_copy_only=False))
+        return batch.filter(pa.array(may if held else ~may))
+
+    return map_arrow(docs, run, docs.schema)
+
+
+def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(khash, doc_id, th, s, off, multi, u) of wanted runs with their bytes, from documents (doc_id, text, th)."""
     by_row = wanted.groupBy(F.col("doc_id").alias("wid"), F.col("th").alias("wth")).agg(
         F.collect_list(F.struct("khash", "s", "len", "off", "multi")).alias("runs")
     )
-    joined = docs.join(by_row, F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
+    joined = likely(docs, wanted).join(by_row, F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                raw, listed = raw_texts(batch), batch.column("runs")
-                flat = listed.flatten()
-                owner = np.repeat(np.arange(batch.num_rows), np.diff(listed.offsets.to_numpy()))
-                s, size = flat.field("s").to_pylist(), flat.field("len").to_pylist()
-                pieces = [raw[o][a : a + n] for o, a, n in zip(owner.tolist(), s, size)]
-                at = pa.array(owner)
-                cols = [flat.field("khash"), batch.column("doc_id").take(at), batch.column("th").take(at), flat.field("s"), flat.field("off"), flat.field("multi"), pa.array(pieces, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["khash", "doc_id", "th", "s", "off", "multi", "u"])
-
-    rows = joined.select("doc_id", "th", "text", "runs").mapInArrow(fetch, "khash long, doc_id long, th long, s int, off int, multi boolean, u binary")
-    rows = rows.repartition("khash").sortWithinPartitions("khash")
+        for batch in pieces(batches, 1024):
+            raw, listed = raw_texts(batch), batch.column("runs")
+            flat = listed.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(listed.offsets.to_numpy()))
+            s, size = flat.field("s").to_pylist(), flat.field("len").to_pylist()
+            runs_ = [raw[o][a : a + n] for o, a, n in zip(owner.tolist(), s, size)]
+            at = pa.array(owner)
+            cols = [flat.field("khash"), batch.column("doc_id").take(at), batch.column("th").take(at), flat.field("s"), flat.field("off"), flat.field("multi"), pa.array(runs_, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["khash", "doc_id", "th", "s", "off", "multi", "u"])
+
+    return joined.select("doc_id", "th", "text", "runs").mapInArrow(fetch, "khash long, doc_id long, th long, s int, off int, multi boolean, u binary")
+
+
+SPANS = "doc_id long, th long, s int, len int"
+
+
+def compared(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """Spans (doc_id, th, s, len) of repeats among the runs of an anchor, by their bytes."""
+    rows = fetched(docs, wanted).repartition("khash").sortWithinPartitions("khash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, "khash"):
-            pieces = batch.column("u").to_pylist()
-            key, off, row_s, done = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("khash", "off", "s", "multi"))
+            key, off, row_s, multi = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("khash", "off", "s", "multi"))
             off, row_s = off.astype(np.int64), row_s.astype(np.int64)
-            size = np.array([len(p) for p in pieces])
-            begin = np.cumsum(size) - size
-            suffixes = Suffixes(b"".join(pieces), window)
-            _, group, count = np.unique(key, return_inverse=True, return_counts=True)
-            few, many = np.flatnonzero(count[group] <= FEW), np.flatnonzero(count[group] > FEW)
-            r0, a0, b0 = among_few(suffixes, [pieces[i] for i in few], begin[few], size[few], off[few], group[few], done[few])
+            number: dict[tuple[int, bytes], int] = {}
+            own = np.array([number.setdefault(x, len(number)) for x in zip(key.tolist(), batch.column("u").to_pylist())])
+            _, one, count = np.unique(own, return_index=True, return_counts=True)
+            # From here on there is one row of each distinct run; ``done`` runs are repeats as a whole.
+            bits = [u for _, u in number]
+            size = np.array([len(x) for x in bits])
+            done = (count > 1) | (np.bincount(own, weights=multi) > 0)
+            whole = np.flatnonzero((count > 1)[own] & ~multi)
+            begin, key1, off1 = np.cumsum(size) - size, key[one], off[one]
+            suffixes = Suffixes(b"".join(bits), window)
+            _, group, kinds = np.unique(key1, return_inverse=True, return_counts=True)
+            open_ = np.bincount(group, weights=~done)
+            live = (kinds[group] > 1) & (open_[group] > 0)
+            few, many = np.flatnonzero(live & (kinds[group] <= FEW)), np.flatnonzero(live & (kinds[group] > FEW))
+            r0, a0, b0 = among_few(suffixes, [bits[i] for i in few], begin[few], size[few], off1[few], group[few], done[few])
             r1, a1, b1 = among_many(suffixes, begin[many], size[many])
             r, a, b = np.concatenate([few[r0], many[r1]]), np.concatenate([a0, a1]), np.concatenate([b0, b1])
             fresh = ~done[r]
-            r, a, b = merged(r[fresh], row_s[r[fresh]] + a[fresh], row_s[r[fresh]] + b[fresh])
+            r, a, b = one[r[fresh]], a[fresh], b[fresh]
+            r, a, b = np.concatenate([r, whole]), np.concatenate([row_s[r] + a, row_s[whole]]), np.concatenate([row_s[r] + b, row_s[whole] + size[own[whole]]])
+            r, a, b = merged(r, a, b)
             at = pa.array(r)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(a.astype(np.int32)), pa.array((b - a).astype(np.int32))],
-                ["doc_id", "th", "s", "len"],
-            )
+            cols = [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(a.astype(np.int32)), pa.array((b - a).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "s", "len"])
+
+    return rows.mapInArrow(run, SPANS)
 
-    return rows.mapInArrow(run, "doc_id long, th long, s int, len int")
 
+def counted_windows(docs: DataFrame, hot: DataFrame, window: int) -> DataFrame:
+    """Spans of repeats among the runs of hot anchors, by windows: a window's bytes are a key, counted map-side first.
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200) -> DataFrame:
+    Windows whose hash occurs once are left out by a filter before their bytes move.
+    """
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        runs_, s = batch.column("u").to_pylist(), batch.column("s").to_numpy(zero_copy_only=False).astype(np.int64)
+        n = np.array([len(x) - window + 1 for x in runs_])
+        owner = np.repeat(np.arange(len(runs_)), n)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        found = [runs_[i][j : j + window] for i, j in zip(owner.tolist(), at.tolist())]
+        h = np.array([xxhash.xxh3_64_intdigest(x) for x in found], np.uint64).view(np.int64)
+        take = pa.array(owner)
+        cols = [batch.column(c).take(take) for c in ("doc_id", "th", "multi")]
+        return pa.RecordBatch.from_arrays([*cols, pa.array((s[owner] + at).astype(np.int32)), pa.array(h), pa.array(found, pa.binary())], ["doc_id", "th", "multi", "s", "h", "w"])
+
+    windows = stash(map_arrow(fetched(docs, hot), cut, "doc_id long, th long, multi boolean, s int, h long, w binary"), "windows")
+    n = F.sum(F.when(F.col("multi"), 2).otherwise(1))
+    twice = stash(windows.groupBy("h").agg(n.alias("n")).where("n > 1").select("h"), "twice")
+    known = Bitmap.of(twice, "h")
+
+    def may_repeat(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(known.may_hold(batch.column("h").to_numpy(zero_copy_only=False))))
+
+    some = map_arrow(windows, may_repeat, windows.schema)
+    repeated = some.groupBy("w").agg(n.alias("n")).where("n > 1").select("w")
+    return some.join(repeated, "w", "left_semi").select("doc_id", "th", "s", F.lit(window).alias("len"))
+
+
+def repeated_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, hot: int = HOT, run_hash: Callable[[bytes], int] = xxhash.xxh3_64_intdigest
+) -> DataFrame:
     """(doc_id, th, s, len): byte spans, overlapping ones included, covered by strings that start elsewhere too."""
+    return _spans(id_text(docs, id_col, text_col), window, hot, run_hash)[0]
+
+
+def _spans(docs: DataFrame, window: int, hot: int, run_hash: Callable[[bytes], int]) -> tuple[DataFrame, list[DataFrame]]:
+    """The spans, and what was written for them."""
     if window < GRAM:
         raise ValueError(f"windows have {GRAM} bytes at least")
-    base = id_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
-    found = stash(anchors(base, window), "anchors")
-    pairs = stash(met(found), "met")
-    spans = found.where("kind = 1").unionByName(pairs.where("kind = 1")).select("doc_id", "th", "s", "len")
-    return spans.unionByName(compared(base, pairs.where("kind = 2"), window))
+    base = docs.withColumn("th", F.xxhash64("text"))
+    found = stash(anchors(base, window, run_hash), "anchors")
+    rows = found.where("kind = 0").drop("kind")
+    often = stash(rows.groupBy("khash").count().where(F.col("count") > hot).select("khash"), "hot")
+    split = None if often.isEmpty() else Bitmap.of(often, "khash")
+
+    def part(held: bool) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            may = split.may_hold(batch.column("khash").to_numpy(zero_copy_only=False))
+            return batch.filter(pa.array(may if held else ~may))
+
+        return map_arrow(rows, run, rows.schema)
+
+    wanted = stash(met(rows if split is None else part(False)), "met")
+    spans = found.where("kind = 1").select("doc_id", "th", "s", "len").unionByName(compared(base, wanted, window))
+    return spans if split is None else spans.unionByName(counted_windows(base, part(True), window)), [found, often, wanted]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every row."""
-    spans = stash(repeated_spans(docs, id_col, text_col, window), "spans")
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, hot: int = HOT, run_hash: Callable[[bytes], int] = xxhash.xxh3_64_intdigest) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every row; texts without repeats are not shuffled."""
+    found, written = _spans(id_text(docs, id_col, text_col), window, hot, run_hash)
+    spans = stash(found, "spans")
+    discard(*written)
     by_row = spans.groupBy(F.col("doc_id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_list(F.struct("s", "len")).alias("spans"))
     base = id_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
-    joined = base.join(by_row, F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")), "left")
+    joined = likely(base, spans).join(by_row, F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")), "left").select("doc_id", "text", "spans")
+    rest = likely(base, spans, False).select("doc_id", "text", F.lit(None).cast("array<struct<s:int,len:int>>").alias("spans"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         size, removed, count, kept = [], [], [], []
@@ -476,8 +565,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cols = [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (size, removed, count)], pa.array(kept, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    rows = joined.select("doc_id", "text", "spans")
-    return map_arrow(rows, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_arrow(joined.unionByName(rest), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
