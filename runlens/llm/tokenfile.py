@@ -4,10 +4,12 @@ A shard is one file: a header, the Elias-Fano code of its document ids, that of
 the id array, first 0, last the number of ids), and all ids concatenated, each in 2 bytes if the vocabulary allows and else
 in 4. An Elias-Fano code of n values up to u takes n * (2 + log2(u / n)) bits plus a 32-bit select sample for each 64
 values. Shards hold documents in ascending order of id (null ids first, ties by text) and follow each other in it;
-``manifest.json`` lists each with its number of documents and ids and the ids before it.
+``manifest.json`` lists each with its number of documents and ids and the ids before it. A shard ends with the document that takes it
+over ``SHARD`` bytes of ids, which is what a writer or reader holds; a longer document has a shard to itself.
 
-Null texts count as empty and get the end id alone; repeated rows are written as often as they occur; an empty table makes
-an empty manifest. Shards are written under a temporary name and renamed, so that a task that runs again replaces its own.
+Null texts count as empty and get the end id alone; repeated rows are written as often as they occur; texts of any length are encoded
+whole; an empty table makes an empty manifest. Only the id and the text are read, so other columns cannot clash. Shards are written
+under a temporary name and renamed, so that a task that runs again replaces its own.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, parts, shared_dir
+from .common import id_text, parts, pieces, run_dir
 
 MAGIC = b"RLIDSEF1"
 SAMPLE = 64
+#: Bytes of ids after which a shard ends, and characters of text that a task is to write.
+SHARD, RANGE = 64 << 20, 64 << 20
 
 
 class EliasFano:
@@ -155,13 +159,22 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + size, size)
 
 
+def cuts_at_words(said: dict) -> bool:
+    """Whether a tokenizer file says byte-level BPE with its own splitting pattern and nothing that looks across words."""
+    splitter, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+    plain = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space", True)
+    parts_ = ("continuing_subword_prefix", "end_of_word_suffix", "dropout", "unk_token")
+    return plain and not said.get("normalizer") and not said.get("truncation") and not said.get("padding") and not any(model.get(x) for x in parts_)
+
+
 class Words:
     """Ids of texts by the ``tokenizers`` library, one call for all words of a buffer that the process does not know.
 
     Texts are cut where no match of a byte-level tokenizer's splitting pattern can go on: before a space, tab or line
     break that follows a non-space, and before a comma or full stop that follows an ASCII letter or digit. Ids of the parts joined
     are those of the text. Unknown words are encoded as one text, cut by the same rules, and told apart by the bytes that ids
-    stand for. Texts with other white space, and all texts under other tokenizers, are encoded whole.
+    stand for. Texts with other white space or with an added token, which the library finds before it splits, and all texts under
+    other tokenizers, are encoded whole.
     """
 
     ODD = re.compile(r"[^\S \n\t\r]")
@@ -175,11 +188,11 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if max(self.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
         said = json.loads(self.tokenizer.to_str())
-        splitter = said.get("pre_tokenizer") or {}
-        self.by_bytes = splitter.get("type") == "ByteLevel" and not splitter.get("add_prefix_space") and not said.get("normalizer")
+        self.by_bytes = cuts_at_words(said)
+        added = [t["content"] for t in said.get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         vocab = self.tokenizer.get_vocab()
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each id: byte-level tokens have a character a byte
         for token, i in vocab.items():
@@ -204,7 +217,7 @@ class Words:
         group, size = [], 0
         for i, text in enumerate(batch):
             raw = text.encode()
-            if not self.by_bytes or len(raw) > self.BUFFER or self.ODD.search(text):
+            if not self.by_bytes or len(raw) > self.BUFFER or self.ODD.search(text) or self.added and self.added.search(text):
                 out[i] = self.whole(text).tobytes()
             elif raw:
                 if size + len(raw) > self.BUFFER:
@@ -316,38 +329,53 @@ class Shard:
         return self.ids(self.bounds.get(i), self.bounds.get(i + 1))
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> list[dict]:
-    """Encode every row, append ``end_id`` and write the shards and manifest to ``folder`` (a URI that all nodes share)."""
+def write(
+    docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, most: int = SHARD
+) -> list[dict]:
+    """Encode every row, append ``end_id`` and write the shards and manifest to ``folder`` (a URI that all nodes share).
+
+    Ranges of ids, whose number follows the size of all texts, are written by a task each, in shards of about ``most`` bytes of ids.
+    """
     spark = docs.sparkSession
     by = F.col("doc_id").asc_nulls_first()
-    ranged = id_text(docs, id_col, text_col).repartitionByRange(shards or parts(spark), by).sortWithinPartitions(by, "text")
+    rows = id_text(docs, id_col, text_col)
+    if ranges is None:
+        ranges = max(parts(spark), (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // RANGE)
+    ranged = rows.repartitionByRange(ranges, by).sortWithinPartitions(by, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         coder = words(tokenizer_path, end_id)
         end = np.array([end_id], coder.kind).tobytes()
-        doc_ids, chunks, lengths = [], [], []
-        for batch in batches:
-            doc_ids += batch.column("doc_id").to_pylist()
-            ids = [x + end for x in coder.encode([t or "" for t in batch.column("text").to_pylist()])]
-            lengths += [len(x) // len(end) for x in ids]
-            chunks.append(b"".join(ids))
-        if not doc_ids:
-            return
-        number = TaskContext.get().partitionId()
-        fs, where = pafs.FileSystem.from_uri(folder)
-        name, trial = f"shard-{number:06d}.ids", f".{uuid.uuid4().hex}"
-        with fs.open_output_stream(f"{where}/{trial}") as out:
-            for part in pack(doc_ids, np.array(lengths, np.int64), chunks, coder.kind):
-                out.write(part)
-        fs.move(f"{where}/{trial}", f"{where}/{name}")
-        yield pa.RecordBatch.from_pydict({"shard": [number], "name": [name], "docs": [len(doc_ids)], "ids": [sum(lengths)]})
+        number, part = TaskContext.get().partitionId(), 0
+        doc_ids, chunks, lengths, size = [], [], [], 0
+
+        def closed() -> pa.RecordBatch:
+            fs, where = pafs.FileSystem.from_uri(folder)
+            name, trial = f"shard-{number:06d}-{part:06d}.ids", f".{uuid.uuid4().hex}"
+            with fs.open_output_stream(f"{where}/{trial}") as out:
+                for piece in pack(doc_ids, np.array(lengths, np.int64), chunks, coder.kind):
+                    out.write(piece)
+            fs.move(f"{where}/{trial}", f"{where}/{name}")
+            return pa.RecordBatch.from_pydict({"shard": [number], "part": [part], "name": [name], "docs": [len(doc_ids)], "ids": [sum(lengths)]})
+
+        for batch in pieces(batches):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode([t or "" for t in batch.column("text").to_pylist()])):
+                doc_ids.append(doc_id)
+                chunks += [ids, end]
+                lengths.append(len(ids) // len(end) + 1)
+                size += len(ids) + len(end)
+                if size > most:
+                    yield closed()
+                    doc_ids, chunks, lengths, size, part = [], [], [], 0, part + 1
+        if doc_ids:
+            yield closed()
 
     pafs.FileSystem.from_uri(folder)[0].create_dir(pafs.FileSystem.from_uri(folder)[1], recursive=True)
-    done = ranged.mapInArrow(run, "shard long, name string, docs long, ids long").collect()
+    done = ranged.mapInArrow(run, "shard long, part long, name string, docs long, ids long").collect()
     manifest, before = [], 0
-    for row in sorted(done, key=lambda r: r["shard"]):
+    for row in sorted(done, key=lambda r: (r["shard"], r["part"])):
         manifest.append(row.asDict() | {"before": before})
         before += row["ids"]
     fs, where = pafs.FileSystem.from_uri(folder)
@@ -384,6 +412,6 @@ def op9_token_file(spark, sf_dir: str) -> DataFrame:
     """Query: every document written to the file format, and what the files say of it."""
     import public_tokenizers
 
-    folder = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    folder = f"{run_dir(spark)}/ids-{uuid.uuid4().hex}"
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, public_tokenizers.path("byte_bpe_50k.json"), 2)
     return read(spark, folder)
