@@ -7,15 +7,22 @@ all documents, different values different ones, separators stay where they are,
 * payment cards (13 to 19 digits, Luhn): payload permuted, check digit recomputed
 * IBANs (mod 97): country kept, letters and digits permuted in place, check digits recomputed
 * US social security numbers: permuted within the valid ones
-* phone numbers with a country code, or of ten digits in three groups: digits after the country code permuted
+* phone numbers with a country code, or of ten digits in three groups: the digits after the country code permuted, by their number, so that
+  all notations of a number stay linked, with a country code or without
 * IPv4 addresses: permuted as 32-bit numbers
-* calendar dates (year-month-day, day/month/year, day.month.year) from 1000 to 2999: permuted as days
+* calendar dates (year-month-day, day/month/year, day.month.year; month/day/year where it can be no other) from 1000 to 2999: permuted as
+  days, so that all notations of a day stay linked
 * e-mail addresses: letters and digits of the local part and host, without the last label, permuted in place
-* secrets with a digit after a name such as token, password or api_key, and cloud access keys: letters and digits permuted in place
+* secrets with a digit after a name such as token, password or api_key, and cloud access keys: letters and digits drawn anew by a keyed
+  digest of the secret, so that equal ones stay linked but the key does not bring one back
+
+The key is the caller's. The query and the pipeline take it from ``spark.runlens.pii.secret`` and else draw one for the application: without
+a key that is kept, pseudonyms link documents of one application and of no other.
 
 Values that fail validation stay. A card, IBAN or phone number beside more digits or capitals is searched in the whole run: where the
-longest match is not valid or overlaps an earlier kind, shorter ends and later starts at its separators are tried. Texts without any stay as they are, null texts null, empty texts empty. Rows are independent of each other; repeated rows
-give equal results.
+longest match is not valid or overlaps an earlier kind, shorter ends and later starts at its separators are tried. Texts without any stay as
+they are, null texts null, empty texts empty; texts of any length are taken whole, and work grows with their length. Rows are independent of
+each other; repeated rows give equal results. All columns of ``docs`` are kept, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +31,13 @@ import datetime
 import functools
 import hashlib
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_arrow
+from .common import map_arrow, pieces
 
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 CLASS = {c: a for a in ALPHABETS for c in a}
@@ -117,14 +125,24 @@ def ssn(text: str, key: bytes) -> str | None:
             return digits_in(text, d)
 
 
+#: Country codes of one and two digits; all others have three.
+CODES = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", *map(str, range(40, 50)), *map(str, range(51, 59)), *map(str, range(60, 67)), "81", "82", "84", "86", *map(str, range(90, 96)), "98"} - {"42"}
+
+
 def phone(text: str, key: bytes) -> str | None:
-    digits = re.sub(r"\D", "", text)
+    trunk = re.search(r"\(0\)", text) if text.startswith("+") else None  # a zero that is dialled at home only
+    at = [i for i, c in enumerate(text) if c.isdigit() and not (trunk and trunk.start() < i < trunk.end())]
+    digits = "".join(text[i] for i in at)
     if not 8 <= len(digits) <= 15:
         return None
-    code = len(re.match(r"\+(\d{1,3})", text)[1]) if text.startswith("+") else 0
-    code = code if len(digits) - code >= 7 else 0
+    code = next((n for n in (1, 2) if digits[:n] in CODES), 3) if text.startswith("+") else 0
+    code = code if len(digits) - code >= 6 else 0
     rest = digits[code:]
-    return digits_in(text, digits[:code] + str(permuted(int(rest), 10 ** len(rest), key, f"phone{len(rest)}")).zfill(len(rest)))
+    new = str(permuted(int(rest), 10 ** len(rest), key, f"phone{len(rest)}")).zfill(len(rest))
+    out = list(text)
+    for i, c in zip(at[code:], new):
+        out[i] = c
+    return "".join(out)
 
 
 def ipv4(text: str, key: bytes) -> str | None:
@@ -137,16 +155,17 @@ def ipv4(text: str, key: bytes) -> str | None:
 
 def date(text: str, key: bytes) -> str | None:
     a, sep, b, c = re.fullmatch(r"(\d+)([-/.])(\d+)[-/.](\d+)", text).groups()
-    first = len(a) == 4
-    try:
-        day = datetime.date(int(a), int(b), int(c)) if first else datetime.date(int(c), int(b), int(a))
-    except ValueError:
-        return None
-    if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
-        return None
-    new = datetime.date.fromordinal(FIRST_DAY + permuted(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
-    y, m, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
-    return sep.join((y, m, d) if first else (d, m, y))
+    readings = [(a, b, c, "ymd")] if len(a) == 4 else [(c, b, a, "dmy"), *([(c, a, b, "mdy")] if sep == "/" else [])]
+    for year, month, day, form in readings:
+        try:
+            at = datetime.date(int(year), int(month), int(day)).toordinal()
+        except ValueError:
+            continue
+        if FIRST_DAY <= at <= LAST_DAY:
+            new = datetime.date.fromordinal(FIRST_DAY + permuted(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
+            part = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+            return sep.join(part[x] for x in form)
+    return None
 
 
 def email(text: str, key: bytes) -> str | None:
@@ -155,23 +174,35 @@ def email(text: str, key: bytes) -> str | None:
     return f"{in_place(local, key, 'local')}@{in_place(labels, key, 'host')}.{last}"
 
 
+def drawn(text: str, key: bytes, tweak: str, alphabets: dict[str, str] = CLASS) -> str:
+    """Characters of known alphabets drawn from a keyed digest of the text; all others stay."""
+    value = int.from_bytes(hashlib.shake_256(hashlib.blake2b(text.encode(), key=key, person=tweak.encode()[:16]).digest()).digest(len(text) + 16), "big")
+    out = []
+    for c in text:
+        if a := alphabets.get(c):
+            value, at = divmod(value, len(a))
+            c = a[at]
+        out.append(c)
+    return "".join(out)
+
+
 def secret(text: str, key: bytes) -> str | None:
     if not DIGIT.search(text):
         return None
     if re.fullmatch(r"[0-9a-f]+", text) and len(text) >= 16:
-        return in_place(text, key, "secret", {c: HEX for c in HEX})
-    return in_place(text, key, "secret")
+        return drawn(text, key, "secret", {c: HEX for c in HEX})
+    return drawn(text, key, "secret")
 
 
 def access_key(text: str, key: bytes) -> str | None:
-    return text[:4] + in_place(text[4:], key, "access", {c: ALPHABETS[2] + "0123456789" for c in ALPHABETS[2] + "0123456789"})
+    return text[:4] + drawn(text[4:], key, "access", {c: ALPHABETS[2] + "0123456789" for c in ALPHABETS[2] + "0123456789"})
 
 
 DIGIT = re.compile(r"\d")
 #: (kind, what a text must hold to be searched, pattern, group that is replaced, pseudonym); earlier kinds win.
 KINDS = (
     ("secret", re.compile(r"(?i)token|passw|pwd|secret|api.?key|access.?key|credential|auth"),
-     re.compile(r"""(?i)(?:token|passw(?:or)?d|passwd|pwd|secret|api[_-]?key|access[_-]?key|credential|auth)[\w-]*["']?\s{0,3}[=:]\s{0,3}["']?([\w+/~-]{6,}={0,2})"""), 1, secret),
+     re.compile(r"""(?i)(?:token|passw(?:or)?d|passwd|pwd|secret|api[_-]?key|access[_-]?key|credential|auth)(?:s|\d{1,4}|key|value)?(?:[_-][\w-]{0,40})?["']?\s{0,3}[=:]\s{0,3}["']?([\w+/~-]{6,}={0,2})"""), 1, secret),
     ("access_key", re.compile("A[KS]IA"), re.compile(r"(?<!\w)A[KS]IA[0-9A-Z]{16}(?!\w)"), 0, access_key),
     ("email", re.compile("@"), re.compile(r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}"), 0, email),
     ("iban", re.compile(r"[A-Z]{2}\d\d"), re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), 0, iban),
@@ -183,7 +214,18 @@ KINDS = (
 )
 #: Separators of groups at which a match that fails may end earlier or begin later, and the least characters between them.
 GROUPED = {"iban": (" ", 15), "phone": (" .-", 8), "card": (" -", 13)}
-KEY = b"runlens-pseudonyms"
+KEY_SETTING = "spark.runlens.pii.secret"
+
+
+@functools.lru_cache(maxsize=8)
+def _own_key(app: str) -> bytes:
+    return secrets.token_bytes(32)
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names, or one of this application that nobody else has."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else _own_key(spark.sparkContext.applicationId)
 
 
 def shorter(kind: str, text: str, a: int, b: int, inner: bool) -> Iterator[tuple[int, int]]:
@@ -206,7 +248,9 @@ def shorter(kind: str, text: str, a: int, b: int, inner: bool) -> Iterator[tuple
 class Pseudonyms:
     """Pseudonyms under a key, with those of recent values kept."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
+        if not key:
+            raise ValueError("pseudonyms need a key")
         self.key = hashlib.blake2b(key, digest_size=32).digest()
         self.make = {kind: functools.lru_cache(maxsize=1 << 14)(functools.partial(self.one, fn)) for kind, _, _, _, fn in KINDS}
 
@@ -218,6 +262,7 @@ class Pseudonyms:
         if not text or not ("@" in text or DIGIT.search(text) or KINDS[0][1].search(text)):
             return text, 0
         taken: list[tuple[int, int, str]] = []
+        covered = bytearray(len(text))
         for kind, hint, pattern, group, _ in KINDS:
             if hint and not hint.search(text):
                 continue
@@ -225,10 +270,11 @@ class Pseudonyms:
             while m := pattern.search(text, at):
                 inner = m.start() < failed
                 for a, b in shorter(kind, text, *m.span(group), inner):
-                    if any(a < y and x < b for x, y, _ in taken):
+                    if covered.find(1, a, b) >= 0:
                         continue
                     if (new := self.make[kind](text[a:b])) is not None:
                         taken.append((a, b, new))
+                        covered[a:b] = b"\1" * (b - a)
                         at = b
                         break
                 else:  # a value may begin within the match
@@ -247,14 +293,12 @@ def pseudonyms(key: bytes) -> Pseudonyms:
     return Pseudonyms(key)
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY, chars_col: str | None = "n_chars") -> DataFrame:
+def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: bytes, chars_col: str | None = "n_chars") -> DataFrame:
     """The rows of ``docs``, all columns, with pseudonyms in the text; a column of its length in code points follows it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pseudonyms(key)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches):
             done = [p.replace(t)[0] for t in batch.column(text_col).to_pylist()]
             cols = dict(zip(batch.schema.names, batch.columns))
             cols[text_col] = pa.array(done, batch.schema.field(text_col).type)
@@ -269,10 +313,10 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY, char
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     """Query: every document with pseudonyms, and how many it got."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs, key = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), session_key(spark)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = pseudonyms(KEY)
+        p = pseudonyms(key)
         done = [p.replace(t) for t in batch.column("text").to_pylist()]
         cols = [batch.column("doc_id"), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int32())]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "n_replaced"])
