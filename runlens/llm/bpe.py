@@ -3,10 +3,13 @@
 Encoding: halves are encoded recursively and neighbours joined. A join re-encodes a window round the seam that grows until
 its ends are cuts which no match of the splitting pattern can span: a non-space character followed by a space, tab or
 line break. No alternative of the pattern continues from a non-space to white space, and none that ends there looks beyond,
-so tokens outside the window are those of the whole text. Texts up to ``LEAF`` characters are encoded at once.
-Decoding concatenates byte strings up the same tree.
+so tokens outside the window are those of the whole text. That is shown for ``public_tokenizers.PATTERN`` alone: other patterns are
+refused. The leaves of the tree, ``LEAF`` characters or fewer, and the windows are encoded by the library. A window of over ``LONG``
+characters is one run of that length without a cut, where the library's engine of patterns needs stack for every character: the
+``regex`` module splits it by the same pattern, and the library encodes the pieces. Decoding concatenates byte strings up the same tree.
 
-Nulls and empty texts give no ids. Rows are independent: repeated rows give equal results, other columns are ignored.
+Nulls and empty texts give no ids; texts of any length are taken whole. Rows are independent: repeated rows give equal results. Only the
+id and the text are read, so other columns cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +27,7 @@ from pyspark.sql import DataFrame
 
 from .common import id_text, map_arrow, texts
 
-LEAF = 4096
-#: Windows beyond this many characters (one word or run of spaces of that length) are split by the ``regex`` module.
+LEAF = 512
 LONG = 1 << 16
 CUT = re.compile(r"\S(?=[ \n\t])")
 
@@ -34,6 +36,10 @@ class Codec:
     """Ids for text under a rank file and a splitting pattern, and back."""
 
     def __init__(self, ranks_path: str, pattern: str):
+        import public_tokenizers
+
+        if pattern != public_tokenizers.PATTERN:
+            raise ValueError("the cuts of the reduction are shown for public_tokenizers.PATTERN only")
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -66,7 +72,7 @@ class Codec:
         return np.concatenate([left_ids[:keep], self.leaf(left[a:] + right[:b]), right_ids[drop:]])
 
     def decode(self, ids: np.ndarray) -> bytes:
-        if len(ids) <= LEAF:
+        if len(ids) <= 8 * LEAF:
             return b"".join([self.table[i] for i in ids.tolist()])
         mid = len(ids) // 2
         return self.decode(ids[:mid]) + self.decode(ids[mid:])

@@ -8,9 +8,13 @@ document's rate depends on its posteriors and the K numbers of each step alone,
 sends K + K * K sums.
 
 The classifier is fitted on a bounded sample of labelled rows (``sample``, those of the least id hashes); posteriors, totals and
-rates cover all rows. Null and empty texts have the posteriors of an empty text, no tokens and a rate; null ids are kept; labels
-without a domain or document are not learnt from; with no label at all each target domain is equally likely. Domains
-without a target have target 0. Equal rows get equal rates, and copies by id. An empty table gives an empty result.
+rates cover all rows. Labelled domains without a target have target 0. Where no budget is given, every rate is 1 at least: documents are
+repeated, never lost.
+
+Null and empty texts have the posteriors of an empty text, no tokens and a rate; texts of any length are taken whole; null ids are kept.
+Labels without a domain or document are not learnt from; an id with several domains or texts counts with the least of each; with no
+label at all each target domain is equally likely. Equal rows get equal rates, and copies by id. An empty table gives an empty result.
+``resampled`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, raw_texts, stash, vector_sum
+from .common import discard, free_name, id_text, map_arrow, pieces, raw_texts, stash, vector_sum
 
 DIMS = 1024
 #: Labelled rows that the classifier sees at most.
@@ -64,22 +68,22 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def learn(docs: DataFrame, labelled: DataFrame, names: list[str], sample: int = SAMPLE) -> Classifier:
-    """A classifier from ``labelled(doc_id, domain)`` and the texts of at most ``sample`` of its rows."""
-    known = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    chosen = known.where(F.col("domain").isin(names)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    domain = {r["doc_id"]: names.index(r["domain"]) for r in chosen}
-    if not domain:
-        return Classifier(np.zeros((0, DIMS)), np.zeros(0, int), names)
+def learn(docs: DataFrame, labelled: DataFrame, targets: list[str], sample: int = SAMPLE) -> Classifier:
+    """A classifier from ``labelled(doc_id, domain)`` and the texts of at most ``sample`` of its rows; its domains are those of the
+    targets and of the sample."""
+    known = labelled.where("doc_id is not null and domain is not null").groupBy(F.col("doc_id").cast("long").alias("lid")).agg(F.min("domain").alias("domain"))
+    chosen = stash(known.orderBy(F.xxhash64("lid"), "lid").limit(sample), "labelled")
+    texts_ = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("lid")).groupBy("lid", "domain").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = [pair_features(t).astype(np.float32).tobytes() for t in raw_texts(batch)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.binary())], ["doc_id", "x"])
+        return pa.RecordBatch.from_arrays([batch.column("lid"), batch.column("domain"), pa.array(x, pa.binary())], ["lid", "domain", "x"])
 
-    texts_ = docs.where(F.col("doc_id").isin(list(domain))).dropDuplicates(["doc_id"])
-    rows = sorted(map_arrow(texts_, run, "doc_id long, x binary").collect(), key=lambda r: r["doc_id"])
+    rows = sorted(map_arrow(texts_.select("lid", "domain", "text"), run, "lid long, domain string, x binary").collect(), key=lambda r: r["lid"])
+    discard(chosen)
+    names = sorted({*targets, *(r["domain"] for r in rows)}) if rows else sorted(targets)
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64).reshape(-1, DIMS)
-    return Classifier(x, np.array([domain[r["doc_id"]] for r in rows], int), names)
+    return Classifier(x, np.array([names.index(r["domain"]) for r in rows], int), names)
 
 
 def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -98,18 +102,18 @@ def unpacked(batch: pa.RecordBatch, k: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("p").to_pylist())).reshape(batch.num_rows, k)
 
 
-def rates_of(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after the given steps, each cut at 0."""
+def rates_of(p: np.ndarray, steps: list[np.ndarray], least: float = 0.0) -> np.ndarray:
+    """Rates after the given steps, each cut at ``least``."""
     r = np.ones(len(p))
     for g in steps:
-        r = np.maximum(0.0, r - p @ g)
+        r = np.maximum(least, r - p @ g)
     return r
 
 
-def totals(p: np.ndarray, tokens: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Expected domain totals, and the Gram matrix of documents with a positive rate."""
-    r = rates_of(p, steps)
-    live = tokens * (r > 0)
+def totals(p: np.ndarray, tokens: np.ndarray, steps: list[np.ndarray], least: float = 0.0) -> np.ndarray:
+    """Expected domain totals, and the Gram matrix of the documents whose rate is above the least (of all before the first step)."""
+    r = rates_of(p, steps, least)
+    live = tokens * (r > least) if steps else tokens
     return np.concatenate([(tokens * r) @ p, ((p * live[:, None]).T @ p).ravel()])
 
 
@@ -135,17 +139,16 @@ def solve(total_at, target: np.ndarray, rounds: int = 25) -> list[np.ndarray]:
     return steps
 
 
-def fit_rates(rows: DataFrame, weights: dict[str, float], names: list[str], budget: float | None = None) -> list[np.ndarray]:
-    """Steps for the token totals ``budget * weight``.
+def fit_rates(rows: DataFrame, weights: dict[str, float], names: list[str], budget: float | None = None) -> tuple[list[np.ndarray], float]:
+    """Steps to the token totals ``budget * weight``, and the least rate.
 
-    Without a budget it is the least that lets no domain shrink, and a hundredth more: documents are then repeated rather
-    than lost.
+    Without a budget it is the least that lets no domain with a target shrink, and a hundredth more, and no rate falls below 1.
     """
-    k = len(names)
+    k, least = len(names), 0.0 if budget is not None else 1.0
 
     def total_at(steps: list[np.ndarray]) -> np.ndarray:
         def sums(batch: pa.RecordBatch) -> np.ndarray:
-            return totals(unpacked(batch, k), batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(float), steps)
+            return totals(unpacked(batch, k), batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(float), steps, least)
 
         return vector_sum(rows.select("n_tokens", "p"), sums, k + k * k)
 
@@ -154,7 +157,7 @@ def fit_rates(rows: DataFrame, weights: dict[str, float], names: list[str], budg
     if budget is None:
         natural = total_at([])[:k]
         budget = 1.01 * max((natural[i] / w[i] for i in range(k) if w[i] > 0), default=0.0)
-    return solve(total_at, budget * w)
+    return solve(total_at, budget * w), least
 
 
 def copies(rate: Column, id_col: Column) -> Column:
@@ -164,16 +167,16 @@ def copies(rate: Column, id_col: Column) -> Column:
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, p_<domain> for each target, rate, copies) of every row."""
-    names = sorted(weights)
-    k = len(names)
+    """(doc_id, n_tokens, p_<domain> for each target or learnt domain, rate, copies) of every row."""
     base = id_text(docs, id_col, text_col)
-    rows = stash(memberships(base, learn(base, labelled, names, sample)), "memberships")
-    steps = fit_rates(rows, weights, names, budget)
+    model = learn(base, labelled, list(weights), sample)
+    names, k = model.names, len(model.names)
+    rows = stash(memberships(base, model), "memberships")
+    steps, least = fit_rates(rows, weights, names, budget)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = unpacked(batch, k)
-        cols = [batch.column("doc_id"), batch.column("n_tokens"), *[pa.array(p[:, i]) for i in range(k)], pa.array(rates_of(p, steps))]
+        cols = [batch.column("doc_id"), batch.column("n_tokens"), *[pa.array(p[:, i]) for i in range(k)], pa.array(rates_of(p, steps, least))]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", *(f"p_{n}" for n in names), "rate"])
 
     out = map_arrow(rows, run, "doc_id long, n_tokens long, " + "".join(f"`p_{n}` double, " for n in names) + "rate double")
@@ -182,21 +185,19 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budge
 
 def resampled(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its rate says; texts are not shuffled."""
-    names = sorted(weights)
+    rate = free_name(docs, "mix_rate")
     base = id_text(docs, id_col, text_col)
-    model = learn(base, labelled, names, sample)
+    model = learn(base, labelled, list(weights), sample)
     rows = stash(memberships(base, model), "memberships")
-    steps = fit_rates(rows, weights, names, budget)
-    rate = "__mix_rate"
+    steps, least = fit_rates(rows, weights, model.names, budget)
+    discard(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                raw = raw_texts(batch, text_col)
-                r = [rates_of(model.posteriors(np.array([pair_features(t) for t in raw[lo : lo + 512]])), steps) for lo in range(0, len(raw), 512)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(r))], [*batch.schema.names, rate])
+        for batch in pieces(batches, 512):
+            p = model.posteriors(np.array([pair_features(t) for t in raw_texts(batch, text_col)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_of(p, steps, least))], [*batch.schema.names, rate])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {rate} double"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{rate}` double"
     n = copies(F.col(rate), F.col(id_col).cast("long"))
     wide = docs.mapInArrow(run, fields)
     return wide.withColumn(rate, F.explode(F.array_repeat(F.lit(1), n))).drop(rate)

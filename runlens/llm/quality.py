@@ -7,7 +7,8 @@ terms by triangular solves with Cholesky factors computed once) plus that of the
 Only statistics of the text enter a score. Sums for means and covariances are added up over all learning rows. A null
 text counts as empty; empty texts have statistics (zeros) and scores like others. Labels other than 0 and 1 are not learnt from, nor are labels of no document; a
 document with several labels counts once for each. Where a class has no rows every score is the share of the other, smoothed; without any label
-it is 0.5. Repeated rows and ties need no rule: a score depends on the row's text alone.
+it is 0.5. Repeated rows and ties need no rule: a score depends on the row's text alone. Texts of any length are taken whole. An empty
+table gives an empty result. Columns of the results are those named; of ``docs`` the filter keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, raw_texts, stash, vector_sum
+from .common import Bitmap, discard, id_text, map_arrow, pieces, raw_texts, stash, vector_sum
 
 NAMES = (
     "log_bytes log_words mean_word upper digits space breaks stops symbols bangs bars distinct top_word repeated capital_words entropy "
@@ -69,6 +70,14 @@ def statistics(text: bytes) -> list[float]:
     return [*a, *np.sqrt(shares[:8]).tolist(), *np.sqrt(of_words).tolist(), float(-(p * np.log2(p)).sum()), float(shares[8]) ** 0.5, (long_words / m) ** 0.5]
 
 
+def forward_solved(chol: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """z with ``chol @ z = row`` for every row, by forward substitution."""
+    z = np.empty_like(rows)
+    for i in range(len(chol)):
+        z[:, i] = (rows[:, i] - z[:, :i] @ chol[i, :i]) / chol[i, i]
+    return z
+
+
 class Model:
     """Class means, Cholesky factors of shrunk covariances and log class shares."""
 
@@ -91,14 +100,14 @@ class Model:
             mixed = ((1 - pooled) * cov + pooled * both) / np.outer(self.scale, self.scale)
             mixed = (1 - ridge) * mixed + ridge * max(np.trace(mixed) / D, 1e-6) * np.eye(D)
             chol = np.linalg.cholesky(mixed + 1e-9 * np.eye(D))
-            self.classes.append((mean, np.linalg.inv(chol), 2 * float(np.log(np.diag(chol)).sum())))
+            self.classes.append((mean, chol, 2 * float(np.log(np.diag(chol)).sum())))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if not self.classes:
             return np.full(len(x), 1 / (1 + np.exp(-self.share)))
         density = []
-        for mean, inverse, logdet in self.classes:
-            z = ((x - mean) / self.scale) @ inverse.T
+        for mean, chol, logdet in self.classes:
+            z = forward_solved(chol, (x - mean) / self.scale)
             density.append(-0.5 * ((z * z).sum(axis=1) + logdet))
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0] + self.share, -500, 500)))
 
@@ -121,10 +130,14 @@ def matrix(batch: pa.RecordBatch, name: str = "x") -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(name).to_pylist())).reshape(batch.num_rows, D)
 
 
-def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model:
-    """Learn from labels of ids that are not held out; what the driver receives is a fixed number of sums."""
+def learnable(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(lid, y) of labels that a model may learn from."""
     known = labels.select(F.col(id_col).cast("long").alias("lid"), F.col(label_col).cast("int").alias("y"))
-    known = known.where("y in (0, 1) and lid is not null").where(~held_out(F.col("lid")))
+    return known.where("y in (0, 1) and lid is not null").where(~held_out(F.col("lid")))
+
+
+def fit(rows: DataFrame, known: DataFrame) -> Model:
+    """Learn from statistics ``rows(doc_id, x)`` and labels ``known(lid, y)``; what the driver receives is a fixed number of sums."""
     joined = rows.join(known, F.col("doc_id") == F.col("lid")).select("x", "y")
     block = 1 + D + D * D
 
@@ -141,7 +154,7 @@ def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, score) of every row."""
     rows = stash(features(docs, id_col, text_col), "statistics")
-    model = fit(rows, labels, id_col, label_col)
+    model = fit(rows, learnable(labels, id_col, label_col))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(matrix(batch)))], ["doc_id", "score"])
@@ -150,16 +163,25 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, with a score of ``least`` or more; texts are not shuffled."""
-    known = labels.select(F.col(id_col).cast("long").alias("lid"), F.col(label_col).alias(label_col))
-    rows = stash(features(docs, id_col, text_col), "statistics")
-    model = fit(rows, known.withColumnRenamed("lid", id_col), id_col, label_col)
+    """The rows of ``docs``, all columns, with a score of ``least`` or more; texts are not shuffled.
+
+    The model learns from the statistics of documents whose ids a filter of the labelled ids lets through, and the join decides.
+    """
+    known = stash(learnable(labels, id_col, label_col), "labels")
+    ids = Bitmap.of(known.select(F.xxhash64("lid").alias("h")), "h")
+
+    def labelled(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(ids.may_hold(batch.column("h").to_numpy(zero_copy_only=False))))
+
+    some = id_text(docs, id_col, text_col).withColumn("h", F.xxhash64("doc_id"))
+    rows = features(map_arrow(some, labelled, some.schema), "doc_id", "text")
+    model = fit(rows, known)
+    discard(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = np.array([statistics(t) for t in raw_texts(batch, text_col)])
-                yield batch.filter(pa.array(model.scores(x) >= least))
+        for batch in pieces(batches):
+            x = np.array([statistics(t) for t in raw_texts(batch, text_col)])
+            yield batch.filter(pa.array(model.scores(x) >= least))
 
     return docs.mapInArrow(run, docs.schema)
 
