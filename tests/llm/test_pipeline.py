@@ -19,7 +19,7 @@ def test_run_equals_plain_stages(spark, sf):
     text = {r["doc_id"]: r["text"] for r in docs.collect() if score[r["doc_id"]] >= 0.5}
     sets = {i: shingle_set(t) for i, t in text.items()}
     comp = groups(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    p = pii.Pseudonyms()
+    p = pii.Pseudonyms(pii.session_key(spark))
     kept = {i: p.replace(t)[0] for i, t in text.items() if comp[i] == i}
     frame = spark.createDataFrame([(i, kept[i]) for i in kept], "doc_id long, text string").join(docs.select("doc_id", "lang"), "doc_id")
     rates = mixing.mixed(frame, mixing.labelled_languages(frame, labels), mixing.WEIGHTS)
@@ -35,7 +35,7 @@ def test_run_equals_plain_stages(spark, sf):
 
 
 def test_stages_keep_columns(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("score", F.lit("own")).withColumn("fp", F.lit(1))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("score", F.lit("own")).withColumn("fp", F.lit(1)).withColumn("near_id", F.lit(2)).withColumn("Mix_Rate", F.lit(3)).withColumn("th", F.lit(4))
     assert [name for name, _ in pipeline.STAGES] == ["quality", "near_copies", "private", "mixing", "tokens"]
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns

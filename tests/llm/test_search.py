@@ -45,10 +45,10 @@ def test_op1_equals_brute_force(spark, sf):
     assert {r["doc_id"]: r["component_id"] for r in got} == groups(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
 
 
-@pytest.mark.parametrize(("tau", "parts", "block"), [(3, 3, 2048), (3, 4, 5), (8, 5, 16), (2, 2, 2048)])
+@pytest.mark.parametrize(("tau", "parts", "block"), [(3, 3, 2048), (3, 4, 5), (8, 5, 16), (2, 2, 2048), (3, None, 7), (5, None, 2048)])
 def test_links_keep_every_component(spark, monkeypatch, tau, parts, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
-    rng = random.Random(tau * parts)
+    rng = random.Random(tau * (parts or 9))
     fps = {rng.getrandbits(64) for _ in range(20)}
     for f in list(fps):
         for _ in range(8):
@@ -86,8 +86,9 @@ def test_near_dedup_edges(spark):
         (9, "one", "f", 6), (9, "one", "f", 6), (None, "no id", "g", 7), (None, "no id", "g", 8), (None, " ".join(base), "h", 9), (10, "x " * 30000, "i", 10),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, component_id long")  # names that the operator uses too
-    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["fp"]) for r in simhash.near_dedup(docs).collect())
-    assert got == [(-1, "g"), (4, "b"), (6, "c"), (7, "d"), (9, "f"), (10, "i")]
+    for text_hash in (F.xxhash64, F.length):  # lengths: texts that share a hash are told apart by the second one
+        got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["fp"]) for r in simhash.near_dedup(docs, text_hash=text_hash).collect())
+        assert got == [(-1, "g"), (4, "b"), (6, "c"), (7, "d"), (9, "f"), (10, "i")]
     assert simhash.near_dedup(docs).columns == docs.columns
     assert simhash.near_dedup(docs.limit(0)).count() == 0
 
@@ -129,28 +130,89 @@ def brute(vectors, queries, k):
     return out
 
 
-def test_op3_is_exact_where_the_share_covers_the_table(spark, sf):
-    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+def searched(df, **given):
     got: dict = {}
-    for r in ann.op3_nearest(spark, sf).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append(r["vec_id"])
-        assert r["score"] == pytest.approx(float(rows[r["query_id"]] @ rows[r["vec_id"]]), rel=1e-12)
-    assert got == brute(rows, [i for i in rows if i % 20 == 0], 20)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, **given).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return got
 
 
-def test_recall_on_larger_table(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+def recall(df, **given):
     rows = {r["vec_id"]: np.array(r["embedding"], float) for r in df.collect()}
-    want = brute(rows, [i for i in rows if i % 20 == 0], 20)
-    got: dict = {}
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, least=100).collect():
-        got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    assert np.mean([len(got[q] & set(w)) / 20 for q, w in want.items()]) >= 0.9
+    want, got = brute(rows, [i for i in rows if i % 20 == 0], 20), searched(df, **given)
+    for q, found in got.items():
+        assert [i for i, _ in found] == [i for i, s in sorted(found, key=lambda x: (-x[1], x[0]))] and len(found) == min(20, len(rows) - 1)
+        for i, score in found:
+            assert score == pytest.approx(float(rows[q] @ rows[i]), rel=1e-12, abs=1e-15)
+    return np.mean([len({i for i, _ in got[q]} & set(w)) / len(w) for q, w in want.items()])
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_op3_recall(spark, folder):
+    assert recall(spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")) >= 0.9
+
+
+def made(spark, x):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+
+
+def test_recall_beyond_the_fitting_sample(spark):
+    rng = np.random.default_rng(1)
+    assert recall(made(spark, rng.normal(size=(12_000, 16)))) >= 0.9
+
+
+def test_recall_with_a_third_of_rows_equal(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 24))
+    x[1::3] = x[1]
+    df = made(spark, x)
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in df.collect()}
+    own = [i for i in rows if i % 20 == 0 and i % 3 != 1]
+    want, got = brute(rows, own, 20), searched(df)
+    kth = lambda q: float(rows[q] @ rows[want[q][-1]])
+    assert np.mean([sum(s >= kth(q) - 1e-9 for _, s in got[q]) / 20 for q in own]) >= 0.9
+
+
+def test_long_vectors_lose_nothing_to_rounding(spark):
+    """Products that nearly cancel: their rounding is that of the vectors' lengths, not of the products."""
+    rng = np.random.default_rng(3)
+    q = rng.normal(size=32)
+    x = rng.normal(size=(800, 32)) * 1e9
+    x -= np.outer(x @ q / (q @ q), q)
+    x[0] = q
+    df = made(spark, x)
+    rows = {i: v for i, v in enumerate(x)}
+
+    def product(v):
+        total = 0.0
+        for a, b in zip(x[0], v):
+            total += a * b
+        return total
+
+    want = sorted((-product(v), i) for i, v in rows.items() if i)[:20]
+    assert searched(df, share=1.0)[0] == [(i, -s) for s, i in want]
+
+
+def test_clustered_vectors_need_a_small_share():
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(64, 16)) * 5, 40, axis=0) + rng.normal(size=(2560, 16)) * 0.05
+    x = x[rng.permutation(len(x))]
+    many = ann.centroids_for(len(x), len(x))
+    assert ann.share_for(ann.kmeans(x[:, :8], many), ann.kmeans(x[:, 8:], many), x, 20, 0.94) < 0.15
+
+
+def test_a_repeated_query_id_has_a_list_for_each_vector(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    lists: dict = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=2).orderBy("rank").collect():
+        lists.setdefault((r["query_id"], r["query_hash"]), []).append((r["rank"], r["vec_id"]))
+    assert sorted(lists.values()) == [[(1, 1), (2, 3)], [(1, 2), (2, 3)]]
 
 
 def test_nearest_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, [0.5, 0.5]), (7, []), (20, [1.0, 0.0]), (8, [1.0, 0.0]), (9, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("query", F.lit("x"))
-    got = [tuple(r) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()]
+    got = [tuple(r)[:4] for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 8, 1.0), (0, 3, 20, 1.0), (20, 1, 0, 1.0), (20, 2, 1, 1.0), (20, 3, 8, 1.0)]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0

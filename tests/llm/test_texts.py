@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from runlens.llm import bpe, chat, fingerprint, mixing, pii, quality, suffix, tokenfile
 
+KEY = b"a key of the tests"
 ODD = "ab '\n\ts1!é中 \x1c\r.,😀A"
 
 
@@ -80,6 +81,26 @@ def test_words_equal_library():
     assert [np.frombuffer(x, w.kind).tolist() for x in w.encode(batch)] == [x.ids for x in want]
 
 
+def test_added_tokens_are_found_as_the_library_does():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    w, plain = tokenfile.Words(P.path("byte_bpe_50k.json"), 2), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    batch = ["hello <|endoftext|> world", "a<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext| >", "x <|endoftext", "|>"]
+    assert w.by_bytes
+    for t, ids in zip(batch, w.encode(batch)):
+        assert np.frombuffer(ids, w.kind).tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_are_not_cut_at_words():
+    said = {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "model": {"type": "BPE"}}
+    assert tokenfile.cuts_at_words(said)
+    for change in ({"use_regex": False}, {"add_prefix_space": True}, {"type": "Whitespace"}):
+        assert not tokenfile.cuts_at_words(said | {"pre_tokenizer": said["pre_tokenizer"] | change})
+    for change in ({"normalizer": {"type": "NFC"}}, {"model": {"unk_token": "x"}}, {"truncation": {"max_length": 5}}):
+        assert not tokenfile.cuts_at_words(said | change)
+
+
 def test_op9(spark, sf, texts):
     import public_tokenizers as P
 
@@ -96,12 +117,14 @@ def test_token_file_edges(spark, tmp_path):
 
     path = P.path("byte_bpe_50k.json")
     docs = spark.createDataFrame([(7, "b", 1), (None, "n", 1), (-3, None, 1), (7, "a", 1), (7, "a", 1)], "doc_id long, text string, start long")
-    manifest = tokenfile.write(docs, f"file://{tmp_path}/x", path, 2, shards=2)
+    manifest = tokenfile.write(docs, f"file://{tmp_path}/x", path, 2, ranges=2)
     got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in tokenfile.read(spark, f"file://{tmp_path}/x").collect())
     assert got == [(0, None, 2), (2, -3, 1), (3, 7, 2), (5, 7, 2), (7, 7, 2)] and sum(m["ids"] for m in manifest) == 9
     first = manifest[0]
     shard = tokenfile.Shard((tmp_path / "x" / first["name"]).read_bytes())
     assert shard.document(0)[-1] == 2 and shard.doc_ids()[0] is None
+    small = tokenfile.write(docs, f"file://{tmp_path}/z", path, 2, ranges=1, most=5)
+    assert len(small) == 3 and got == sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in tokenfile.read(spark, f"file://{tmp_path}/z").collect())
     tokenfile.write(docs.limit(0), f"file://{tmp_path}/y", path, 2)
     assert tokenfile.read(spark, f"file://{tmp_path}/y").count() == 0
 
@@ -122,8 +145,8 @@ def test_op8(spark, sf, texts):
         assert r["near_edited"] == float(own == fingerprint.canonical(edited)) and r["near_next"] == float(own == fingerprint.canonical(nxt))
 
 
-def test_fingerprint_folds_and_splits_collisions(spark, monkeypatch):
-    assert fingerprint.canonical("Straße  ﬁne X") == fingerprint.canonical("STRASSE fine x\n")
+def test_fingerprint_folds(spark):
+    assert fingerprint.canonical("Straße  ﬁne X") == fingerprint.canonical("STRASSE fine x\n")
     rows = [(3, "Same  text", 0), (2, "same TEXT", 0), (1, None, 0), (None, "", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
     got = {r["doc_id"]: r for r in fingerprint.exact_fingerprints(docs).collect()}
@@ -133,6 +156,28 @@ def test_fingerprint_folds_and_splits_collisions(spark, monkeypatch):
     assert one["near_next"] == 1.0 and fingerprint.exact_fingerprints(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[3, 2, 1], list(range(8)), [5] * 4, list(range(40))])
+def test_fingerprints_of_colliding_digests_tell_texts_apart(spark, ids):
+    rows = [(i, ["alpha beta", "Alpha  BETA", "other", "", "x", "yy"][k % 6]) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprint.exact_fingerprints(docs, digest=lambda data: "0" * 32).collect()
+    order = sorted(rows, key=lambda r: (-r[0], r[1]))
+    of: dict = {}
+    want = []
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        want.append((i, fingerprint.canonical(t), fingerprint.canonical(edited)))
+    assert len(got) == len(want)
+    left = sorted((r["doc_id"], r["edited_sha256"], r["n_chars"], r["fingerprint"], r["edited_fingerprint"]) for r in got)
+    plain = sorted((i, hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest(), len(t), *want[k][1:]) for k, (i, t) in enumerate(order))
+    for r, w in zip(left, plain):
+        assert r[:3] == w[:3]
+        for fp, text in zip(r[3:], w[3:]):
+            assert of.setdefault(text, fp) == fp
+    assert len(set(of.values())) == len(of)
+
+
 # repeats
 
 
@@ -155,10 +200,9 @@ def test_op10(spark, sf, texts):
     assert sorted(map(tuple, suffix.op10_suffix_dedup(spark, sf).collect()), key=str) == plain_repeats(list(texts.items()))
 
 
-@pytest.mark.parametrize("few", [64, 2])
-def test_repeats_on_hard_texts(spark, monkeypatch, few):
-    monkeypatch.setattr(suffix, "FEW", few)
-    rng = random.Random(few)
+@pytest.mark.parametrize(("seed", "hot", "collide"), [(64, 2048, False), (2, 3, False), (3, 2048, True), (4, 3, True)])
+def test_repeats_on_hard_texts(spark, seed, hot, collide):
+    rng = random.Random(seed)
     words = ["alpha", "beta", "gamma", "é", "中文"]
     passage = " ".join(rng.choice(words) + str(rng.random()) for _ in range(30))
     rows = [(None, None), (1, ""), (2, "x" * 500), (3, "ab" * 300)]
@@ -167,12 +211,24 @@ def test_repeats_on_hard_texts(spark, monkeypatch, few):
         cut = rng.randrange(len(passage) // 2)
         rows.append((rng.choice([None, i, 3]), rng.choice([own, own * 2, own + passage[cut:] + own[:20], passage[: cut + 150] + own])))
     rows += rows[10:14]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, th int")
-    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffix.remove_repeats(docs).collect()]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, th int").repartition(5)
+    run = {"run_hash": lambda data: 7} if collide else {}
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffix.remove_repeats(docs, hot=hot, **run).collect()]
     assert sorted(got, key=str) == plain_repeats(rows)
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_many_runs_of_one_anchor(spark):
+    rng = random.Random(12)
+    line = "".join(rng.choice("abcdefghij klmnop") for _ in range(150))
+    rows = [(i, "".join(rng.choice("qrstuv wxyz") for _ in range(120)) + line + "".join(rng.choice("qrstuv wxyz") for _ in range(rng.randrange(120)))) for i in range(120)]
+    rows += [(200 + i, rows[i][1][20:]) for i in range(0, 60, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for hot in (8, 100_000):
+        got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffix.remove_repeats(docs, hot=hot).collect()]
+        assert sorted(got, key=str) == plain_repeats(rows)
+
+
 def test_texts_longer_than_a_buffer(spark, monkeypatch):
     monkeypatch.setattr(suffix, "BUFFER", 1024)
     rng = random.Random(9)
@@ -215,7 +271,7 @@ def test_feistel_is_a_permutation():
     ],
 )
 def test_pseudonyms_keep_the_format(value, valid):
-    p = pii.Pseudonyms()
+    p = pii.Pseudonyms(KEY)
     one, n = p.replace(f"see {value}, yes")
     two, _ = p.replace(f"{value}")
     new = one[4:-5]
@@ -223,7 +279,7 @@ def test_pseudonyms_keep_the_format(value, valid):
 
 
 def test_secrets_and_clean_texts():
-    p = pii.Pseudonyms()
+    p = pii.Pseudonyms(KEY)
     said, n = p.replace('token = "11acdfb36bb72224148e6160f674b4be45601bff" and password=b7db7aa4a5fcc78305.')
     assert n == 2 and "11acdfb3" not in said and "b7db7a" not in said
     for clean in ("Apache License, Version 2.0.", "The token is lost", "call 1234567", "4785380592391130", "999.1.1.1", "2021-02-30", "", None, "a" * 50000):
@@ -247,7 +303,7 @@ def test_secrets_and_clean_texts():
     ],
 )
 def test_values_beside_digits_and_capitals(text, value):
-    p = pii.Pseudonyms()
+    p = pii.Pseudonyms(KEY)
     said, n = p.replace(text)
     new, _ = p.replace(value if value[0] != "h" else f"secret = {value}")
     assert n >= 1 and value not in said and new.split("= ")[-1] in said
@@ -267,15 +323,15 @@ def test_hints_let_every_alternative_pass():
     for kind, (hint, pattern) in hinted.items():
         for text in values[kind]:
             assert pattern.search(text) and hint.search(text), text
-            assert pii.Pseudonyms().replace(text)[1] == 1
-    said, n = pii.Pseudonyms().replace("db_pwd = hunter2x9")
+            assert pii.Pseudonyms(KEY).replace(text)[1] == 1
+    said, n = pii.Pseudonyms(KEY).replace("db_pwd = hunter2x9")
     assert n == 1 and "hunter2x9" not in said
 
 
 def test_pii_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "mail a.b@c.example.com", 22, "s"), (None, None, None, None), (2, "", 0, "s")], "doc_id long, text string, n_chars long, source string")
-    got = pii.pseudonymise(docs)
-    assert got.schema == docs.schema and pii.pseudonymise(docs.limit(0)).count() == 0
+    got = pii.pseudonymise(docs, key=KEY)
+    assert got.schema == docs.schema and pii.pseudonymise(docs.limit(0), key=KEY).count() == 0
     assert [(r["doc_id"], r["n_chars"]) for r in got.collect()] == [(1, 22), (None, None), (2, 0)]
 
 
@@ -287,6 +343,86 @@ def test_op5_leaves_no_value(spark, sf, texts):
         assert (r["n_replaced"] > 0) == (r["text"] != texts[r["doc_id"]])
 
 
+def plain_network(value, size, key, tweak):
+    """Eight rounds over two halves of equal bits; each half takes the other's keyed BLAKE2b; again until the value is below ``size``."""
+    bits = max(1, -(-(size - 1).bit_length() // 2))
+    octets = -(-bits // 8)
+    while True:
+        halves = [value // 2**bits, value % 2**bits]
+        for i in range(8):
+            h = hashlib.blake2b(halves[1].to_bytes(octets, "big"), digest_size=octets + 8, key=key, person=bytes([i]), salt=tweak.encode())
+            halves = [halves[1], halves[0] ^ int.from_bytes(h.digest(), "big") % 2**bits]
+        value = halves[0] * 2**bits + halves[1]
+        if value < size:
+            return value
+
+
+def checked(payload):
+    total = sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(payload)))
+    return payload + str(-total % 10)
+
+
+def test_values_of_the_table_equal_a_plain_network(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    key = hashlib.blake2b(KEY, digest_size=32).digest()
+    seen = collections.Counter()
+    for r in pii.pseudonymise(docs, key=KEY).collect():
+        old, new = texts[r["doc_id"]], r["text"]
+        for m in re.finditer(r"(?<![\d-])\d{4} \d{4} \d{4} \d{4}(?![\d-])", old):
+            digits = m[0].replace(" ", "")
+            if checked(digits[:-1]) == digits:
+                want = checked(str(plain_network(int(digits[:-1]), 10**15, key, "card")).zfill(15))
+                seen["card"] += 1
+                assert new[m.start() : m.end()].replace(" ", "") == want
+        for m in re.finditer(r"(?<![\w.])(\d+)\.(\d+)\.(\d+)\.(\d+)(?![\w.])", old):
+            value = plain_network(sum(int(x) << s for x, s in zip(m.groups(), (24, 16, 8, 0))), 2**32, key, "ipv4")
+            seen["ip"] += 1
+            assert ".".join(str(value >> s & 255) for s in (24, 16, 8, 0)) in new
+        for m in re.finditer(r"\+1 \((\d{3})\) (\d{3})-(\d{4})", old):
+            d = str(plain_network(int("".join(m.groups())), 10**10, key, "phone10")).zfill(10)
+            seen["phone"] += 1
+            assert f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}" in new
+    assert seen["phone"] + seen["card"] + seen["ip"] > 0
+
+
+def test_numbers_and_days_stay_linked_in_all_notations():
+    p = pii.Pseudonyms(KEY)
+    digits = lambda t: re.sub(r"\D", "", p.replace(t)[0])
+    forms = ["+1 415 555 2671", "+14155552671", "+1 (415) 555-2671", "415-555-2671", "(415) 555-2671", "415.555.2671"]
+    assert len({digits(t)[-10:] for t in forms}) == 1 and digits(forms[0])[0] == "1" and digits(forms[0])[1:] != "4155552671"
+    assert digits("+44 20 7946 0958") == digits("+442079460958") and p.replace("+44 (0)20 7946 0958")[0].replace("(0)", "").replace(" ", "") == "+" + digits("+442079460958")
+    assert digits("+44 20 7946 0958").startswith("44") and digits("+353 1 234 5678").startswith("353") and digits("+7 495 123 45 67").startswith("7")
+    y, m, d = p.replace("2020-12-25")[0].split("-")
+    assert p.replace("12/25/2020")[0] == f"{m}/{d}/{y}" and p.replace("25/12/2020")[0] == f"{d}/{m}/{y}" and p.replace("25.12.2020")[0] == f"{d}.{m}.{y}"
+    assert p.replace("13/25/2020") == ("13/25/2020", 0)
+
+
+def test_names_that_are_no_secrets_stay():
+    p = pii.Pseudonyms(KEY)
+    for clean in ("Author: jsmith2024", "Authority = section12", "tokenizer: bpe50k00", "secretary: anna2020", "authentic: made2000"):
+        assert p.replace(clean) == (clean, 0)
+    for said in ("auth: jsmith2024", "auth_code=jsmith2024", "tokens: jsmith2024", "api_key_2: jsmith2024", "secretKey = jsmith2024"):
+        assert p.replace(said)[1] == 1
+
+
+def test_a_key_is_needed_and_decides():
+    with pytest.raises(ValueError):
+        pii.Pseudonyms(b"")
+    said = "4539 1488 0343 6467 and token = abc123def456"
+    assert pii.Pseudonyms(b"x").replace(said) != pii.Pseudonyms(b"y").replace(said) and pii.Pseudonyms(b"x").replace(said) == pii.Pseudonyms(b"x").replace(said)
+
+
+def test_work_grows_with_the_text():
+    import time
+
+    p = pii.Pseudonyms(KEY)
+    began = time.time()
+    assert p.replace(" ".join(f"a{i}@b{i}.example" for i in range(20_000)))[1] == 20_000
+    p.replace("token" * 40_000)
+    p.replace("token_" * 40_000)
+    assert time.time() - began < 20
+
+
 # chat
 
 
@@ -363,25 +499,55 @@ def test_quality_edges(spark):
 # mixing
 
 
-def test_rates_equal_plain_solution_and_reach_targets(spark, sf):
+def descended(p, tokens, target, least, rounds=20_000):
+    """Rates of least squared distance, by plain projected gradient over documents."""
+    a = (p * tokens[:, None]).T
+    r, step = np.ones(len(p)), 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(rounds):
+        r = np.maximum(least, r - step * (a.T @ (a @ r - target)))
+    return r
+
+
+def test_op4_reaches_the_targets(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    got = mixing.mixed(docs, mixing.labelled_languages(docs, labels), mixing.WEIGHTS).toPandas()
+    got = mixing.op4_mixing(spark, sf).toPandas()
     names = sorted(mixing.WEIGHTS)
     p, t = got[[f"p_{n}" for n in names]].to_numpy(), got["n_tokens"].to_numpy(float)
     w = np.array([mixing.WEIGHTS[n] for n in names])
     target = 1.01 * max(t @ p / w) * w
-    steps = mixing.solve(lambda s: mixing.totals(p, t, s), target)
-    assert np.allclose(mixing.rates_of(p, steps), got["rate"], atol=1e-7)
-    assert np.allclose((t * got["rate"].to_numpy()) @ p, target, rtol=1e-6)
-    assert (got["copies"] >= 1).all() and abs(got["copies"].sum() - got["rate"].sum()) < 30
-
-
-def test_projection_holds_rates_at_zero():
-    p = np.array([[0.9, 0.1], [0.5, 0.5], [0.1, 0.9]])
-    t = np.array([100.0, 100.0, 100.0])
-    steps = mixing.solve(lambda s: mixing.totals(p, t, s), np.array([10.0, 150.0]))
-    r = mixing.rates_of(p, steps)
-    assert r.min() >= 0 and np.abs((t * r) @ p - [10, 150]).sum() < np.abs(t @ p - [10, 150]).sum()
+    rate = got["rate"].to_numpy()
+    assert np.allclose((t * rate) @ p, target, rtol=1e-6) and rate.min() >= 1
+    plain = descended(p, t, target, 1.0)
+    assert ((t * rate) @ p - target) @ ((t * rate) @ p - target) <= ((t * plain) @ p - target) @ ((t * plain) @ p - target) + 1e-3
+    # Copies: the rate rounded so that its mean stays; token counts and languages by themselves.
+    assert (got["copies"] >= 1).all() and (abs(got["copies"] - rate) < 1).all() and abs(got["copies"].sum() - rate.sum()) < 30
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    assert all(n == len(rows[i]["text"].split()) for i, n in zip(got["doc_id"], got["n_tokens"]))
+    known = {r["doc_id"] for r in labels.collect()}
+    free = got[~got["doc_id"].isin(known) & (got["n_tokens"] > 20)]
+    told = free[[f"p_{n}" for n in names]].to_numpy().argmax(axis=1)
+    assert np.mean([names[k] == rows[i]["lang"] for k, i in zip(told, free["doc_id"])]) >= 0.97
+
+
+@pytest.mark.parametrize("least", [0.0, 1.0])
+def test_rates_are_the_constrained_optimum(least):
+    rng = np.random.default_rng(5)
+    for _ in range(6):
+        p = rng.dirichlet([0.4, 0.4, 0.4], 40)
+        t = rng.integers(1, 200, 40).astype(float)
+        target = (t @ p) * (least + rng.uniform(0.05, 2.5, 3))
+        steps = mixing.solve(lambda s: mixing.totals(p, t, s, least), target)
+        r, plain = mixing.rates_of(p, steps, least), descended(p, t, target, least)
+        gap = lambda r: np.linalg.norm((t * r) @ p - target) / np.linalg.norm(target)
+        assert r.min() >= least and gap(r) <= gap(plain) + 1e-3
+
+
+def test_domains_without_a_target_go(spark):
+    rows = [(i, ["the house of the man", "la casa del hombre", "das haus des mannes"][i % 3] * 5, ["en", "es", "de"][i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    got = mixing.mixed(docs, docs.select("doc_id", "domain"), {"en": 0.5, "es": 0.5}, budget=1000.0).toPandas()
+    lang = np.array([rows[i][2] for i in got["doc_id"]])
+    assert {"p_de", "p_en", "p_es"} <= set(got.columns) and got["rate"][lang == "de"].max() < 0.2 < got["rate"][lang != "de"].min()
 
 
 def test_mixing_edges(spark):
