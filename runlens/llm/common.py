@@ -98,11 +98,23 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """Batches cut to ``rows`` rows at most, whatever the session's batch size; empty ones are left out."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``rows`` rows, and to about ``size`` bytes, at most; empty ones are left out."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
+        if batch.num_rows:
+            step = max(1, min(rows, int(size * batch.num_rows / max(1, batch.nbytes))))
+            for lo in range(0, batch.num_rows, step):
+                yield batch.slice(lo, step)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in the session's Arrow batches than Spark's default, which suits narrow rows: whole texts are wide.
+
+    Operators leave the session as it is; queries and the pipeline, whose results are written by others, ask for this.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > ROWS:
+        spark.conf.set(name, ROWS)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
