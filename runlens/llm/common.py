@@ -105,6 +105,7 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = 8 <<
             step = max(1, min(rows, int(size * batch.num_rows / max(1, batch.nbytes))))
             for lo in range(0, batch.num_rows, step):
                 yield batch.slice(lo, step)
+            pa.default_memory_pool().release_unused()
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -42,23 +42,29 @@ SKETCH = 1 << 16
 SHARED = 512
 
 
+def shingle_hashes(text: bytes, k: int) -> Iterator[np.ndarray]:
+    """XXH64 values of a text's lower-case k-word shingles in order, in pieces (fewer words: the whole sequence; none: nothing).
+
+    Words are found as offsets in one buffer, so that a text of millions of words takes little more than its own size.
+    """
+    joined, xx = b" ".join(text.lower().split()), xxhash.xxh64_digest
+    if not joined:
+        return
+    cut = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    n = max(1, len(cut) + 2 - k)
+    start, end = np.concatenate([[0], cut + 1])[:n], np.concatenate([cut, [len(joined)]])[-n:]
+    for lo in range(0, n, 1 << 13):
+        digests = [xx(joined[x:y], 42) for x, y in zip(start[lo : lo + (1 << 13)].tolist(), end[lo : lo + (1 << 13)].tolist())]
+        yield np.frombuffer(b"".join(digests), ">u8")
+
+
 def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
     """The 64-bit fingerprint of one UTF-8 text."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined, xx, k = b" ".join(words), xxhash.xxh64_digest, words_per_shingle
-    if len(words) <= k:
-        return int.from_bytes(xx(joined, 42), "big")
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    start = end - size
-    ones, n = np.zeros(BITS, np.int64), len(words) - k + 1
-    a, b = start[:n].tolist(), end[k - 1 :].tolist()
-    for lo in range(0, n, 1 << 15):
-        digests = b"".join([xx(joined[x:y], 42) for x, y in zip(a[lo : lo + (1 << 15)], b[lo : lo + (1 << 15)])])
-        ones += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    ones, n = np.zeros(BITS, np.int64), 0
+    for h in shingle_hashes(text, words_per_shingle):
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big") if n else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
@@ -404,11 +410,8 @@ def word_set_fingerprint(text: bytes) -> int:
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct XXH64 values of k-word shingles (fewer words: the whole sequence; none: the empty set)."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    xx = xxhash.xxh64_intdigest
-    return np.unique(np.array([xx(b" ".join(words[i : i + k]), 42) for i in range(max(1, len(words) - k + 1))], np.uint64))
+    made = list(shingle_hashes(text, k))
+    return np.unique(np.concatenate(made).astype(np.uint64)) if made else np.zeros(0, np.uint64)
 
 
 def shingle_ranks(texts: DataFrame, k: int) -> np.ndarray:
@@ -570,8 +573,11 @@ def similar_groups(
     hashed = base.withColumn("th", node_of(F.col("text"), text_hash, clashing))
     th = F.when(F.col("h1").isin(clashing), F.col("h2")).otherwise(F.col("h1")) if clashing else F.col("h1")
     rows = rows.withColumn("th", th)
-    nodes = rows.groupBy("th").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    each_id = rows.groupBy("th", "doc_id").agg(F.min("fp").alias("fp"), F.count("*").alias("n"))
+    least = F.min(F.struct("doc_id", "n"))["n"]
+    nodes = each_id.groupBy("th").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.sum("n").alias("n"), F.coalesce(F.min_by("n", "doc_id"), least).alias("again"))
     nodes = stash(nodes, "nodes")
+    repeated = not nodes.where("again > 1").isEmpty()  # rows that repeat an id and its text
 
     def fetched(wanted: DataFrame) -> DataFrame:
         """One row (th, text) of each of the wanted nodes (th, least)."""
@@ -593,7 +599,8 @@ def similar_groups(
             made = [shingle_set(t, words_per_shingle).tobytes() for t in raw_texts(batch)]
             return pa.RecordBatch.from_arrays([batch.column("th"), pa.array(made, pa.binary())], ["th", "shingles"])
 
-        full = stash(map_arrow(fetched(ends), whole, "th long, shingles binary").dropDuplicates(["th"]), "sets")
+        full = map_arrow(fetched(ends), whole, "th long, shingles binary")
+        full = stash(full.dropDuplicates(["th"]) if repeated else full, "sets")
         both = pairs.join(full.select(F.col("th").alias("a"), F.col("shingles").alias("sa")), "a")
         both = both.join(full.select(F.col("th").alias("b"), F.col("shingles").alias("sb")), "b")
 
