@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
@@ -58,7 +58,24 @@ def annealed(t: Column, rounds: Column, low: int, high: int) -> Column:
     return low + (high - low) * 0.5 * (1 + F.cos(math.pi * t / F.greatest(rounds, F.lit(1))))
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The value at the rounded rank of a collected list; 0 if it is empty."""
-    n = F.size(values)
-    return F.when(n > 0, F.element_at(F.array_sort(values), (F.round((n - 1) * p, 0) + 1).cast("int"))).otherwise(0)
+def ranked(rows: DataFrame, group: list[str], value: str, places: dict[str, float]) -> DataFrame:
+    """Values at rounded ranks ``(n - 1) * p`` of each group, by counts of each value and their running sums.
+
+    Equal values are one row before anything is ordered, so that no task gathers a group's rows. Without groups there is one row, of
+    nulls if there is no value; nulls do not count.
+    """
+    return _at_ranks(rows, group, value, {name: F.round((F.col("n") - 1) * p, 0) for name, p in places.items()})
+
+
+def upper_medians(rows: DataFrame, group: list[str], value: str, name: str = "upper_median") -> DataFrame:
+    """The value at rank ``n / 2``, rounded down, of each group."""
+    return _at_ranks(rows, group, value, {name: F.floor(F.col("n") / 2)})
+
+
+def _at_ranks(rows: DataFrame, group: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    own = [F.col(g) for g in group] or [F.lit(0).alias("__all")]
+    c = rows.where(F.col(value).isNotNull()).groupBy(*own, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    keys = group or ["__all"]
+    c = c.withColumns({"__to": F.sum("__c").over(Window.partitionBy(*keys).orderBy("__v")), "n": F.sum("__c").over(Window.partitionBy(*keys))})
+    picks = [F.min(F.when(F.col("__to") > rank, F.col("__v"))).alias(name) for name, rank in ranks.items()]
+    return c.groupBy(*keys).agg(*picks).drop("__all") if group else c.agg(*picks)

@@ -25,16 +25,26 @@ def diff_lines(patches: DataFrame, headings: bool = False) -> DataFrame:
     return lines.select("patch_id", "pos", "file", "hunk", *cols, *(["heading"] if headings else []))
 
 
+def ref_lines(output: Column) -> Column:
+    """(repo, branch) of each ref line that a push printed, the repository of its ``To`` line."""
+    repo = F.regexp_extract(output, r"(?m)^To \S*?[:/]([\w.-]+/[\w.-]+?)(?:\.git)?$", 1)
+    refs = F.regexp_extract_all(output, F.lit(r"(?m)^\s+[*+ ]?\s*\S.*? -> ([\w./-]+)"), F.lit(1))
+    return F.transform(refs, lambda b: F.struct(repo.alias("repo"), b.alias("branch")))
+
+
 def push_targets(rows: DataFrame) -> DataFrame:
     """(id, repo, branch) of each ref line that a push printed."""
-    repo = F.regexp_extract("output", r"(?m)^To \S*?[:/]([\w.-]+/[\w.-]+?)(?:\.git)?$", 1)
-    refs = F.regexp_extract_all("output", F.lit(r"(?m)^\s+[*+ ]?\s*\S.*? -> ([\w./-]+)"), F.lit(1))
-    return rows.select("id", repo.alias("repo"), F.explode(refs).alias("branch"))
+    return rows.select("id", F.explode(ref_lines(F.col("output"))).alias("t")).select("id", "t.repo", "t.branch")
+
+
+# Fixed value: the host whose request addresses count.
+REQUEST_HOST = "github.com"
 
 
-def pull_urls(rows: DataFrame) -> DataFrame:
-    found = F.regexp_extract_all("output", F.lit(r"https://[\w.-]+/([\w.-]+/[\w.-]+)/pull/(\d+)"), F.lit(0))
-    return rows.select("id", F.explode(F.array_distinct(found)).alias("url"))
+def pull_urls(rows: DataFrame, host: str = REQUEST_HOST) -> DataFrame:
+    """(id, url) of the requests on ``host`` whose address an output shows."""
+    pattern = rf"https://{host.replace('.', '[.]')}/([\w.-]+/[\w.-]+)/pull/(\d+)"
+    return rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all("output", F.lit(pattern), F.lit(0)))).alias("url"))
 
 
 def normalised_score(score: Column, maximum: Column, rubric: Column) -> Column:

@@ -89,18 +89,26 @@ def reasks(turns: DataFrame, back: int = 10, least: float = 0.6, words: int = 4)
     return hit.groupBy(F.col("a.conv_id").alias("conv_id"), "turn").agg(F.max("earlier").alias("earlier"), F.max("likeness").alias("likeness"))
 
 
-def overlaps(intervals: DataFrame, key: str, who: str, slack: int) -> DataFrame:
-    """Pairs of owners whose [lo, hi] (seconds) on one key overlap within ``slack``, with what they share.
+def overlaps(intervals: DataFrame, key: str, who: str, slack: int, whole: bool = False) -> DataFrame:
+    """Pairs (key, a, b, lo, hi) of owners whose [lo, hi] (seconds) on one key overlap within ``slack``, with what they share, or with
+    all that they cover (``whole``).
 
-    Intervals are filed under time buckets as wide as the longest reach of a key, so that a pair meets in a bucket's equi-join
-    rather than over all owners of a key.
+    An interval is at home on the level of its length (a power of two) in at most two buckets of that width, and asks on the levels
+    above that its key has: a pair meets in the equi-join of a bucket on the level of the longer one. So a long interval neither widens
+    the buckets of others nor is in many of them, on whichever key it lies.
     """
-    width = intervals.agg(F.max(F.col("hi") - F.col("lo"))).first()[0]
-    width = int(max(1, (width or 0) + slack))
-    first, last = F.floor(F.col("lo") / width), F.floor((F.col("hi") + slack) / width)
-    filed = intervals.select(key, who, "lo", "hi", F.explode(F.sequence(first, last)).alias("bucket"))
-    a = filed.select(F.col(key), F.col("bucket"), F.col(who).alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-    b = filed.select(F.col(key), F.col("bucket"), F.col(who).alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-    near = (F.col("a") < F.col("b")) & (F.col("alo") <= F.col("bhi") + slack) & (F.col("blo") <= F.col("ahi") + slack)
-    meets = F.col("bucket") == F.floor(F.greatest("alo", "blo") / width)  # one bucket for each pair
-    return a.join(b, [key, "bucket"]).where(near & meets).select(key, "a", "b", F.greatest("alo", "blo").alias("lo"), F.least("ahi", "bhi").alias("hi"))
+    iv = intervals.select(key, F.col(who).alias("who"), "lo", "hi")
+    iv = iv.withColumn("level", F.ceil(F.log2((F.col("hi") - F.col("lo") + slack + 1).cast("double"))).cast("int"))
+    levels = iv.select(F.col(key).alias("__key"), F.col("level").alias("at")).distinct()
+    width = lambda level: F.pow(F.lit(2.0), level).cast("long")
+    buckets = lambda level: F.explode(F.sequence(F.floor(F.col("lo") / width(level)), F.floor((F.col("hi") + slack) / width(level)))).alias("bucket")
+    home = iv.select(F.col(key), F.col("level").alias("at"), buckets(F.col("level")), F.struct("who", "lo", "hi").alias("x"))
+    asks = iv.join(levels, (F.col(key) == F.col("__key")) & (F.col("at") >= F.col("level")))
+    asks = asks.select(F.col(key), "at", buckets(F.col("at")), F.struct("who", "lo", "hi", "level").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    near = (x["lo"] <= y["hi"] + slack) & (y["lo"] <= x["hi"] + slack)
+    once = F.col("bucket") == F.floor(F.greatest(x["lo"], y["lo"]) / width(F.col("at")))  # one bucket for each pair
+    order = F.when(y["level"] == F.col("at"), x["who"] < y["who"]).otherwise(x["who"] != y["who"])
+    met = home.join(asks, [key, "at", "bucket"]).where(near & once & order)
+    lo, hi = (F.least, F.greatest) if whole else (F.greatest, F.least)
+    return met.select(key, F.least(x["who"], y["who"]).alias("a"), F.greatest(x["who"], y["who"]).alias("b"), lo(x["lo"], y["lo"]).alias("lo"), hi(x["hi"], y["hi"]).alias("hi"))

@@ -42,16 +42,40 @@ def gate(rows: DataFrame, stages: list[str]) -> DataFrame:
     return rows.withColumn("failing", failing).withColumn("ready", F.col("failing").isNull())
 
 
-def outcome(exit_code: Column, log: Column) -> Column:
-    """Class of a test run, by ordered rules: only what the run itself shows is evidence."""
+# What shows in a log that the build could not get its inputs.
+INFRA = [
+    "module lookup disabled by GOPROXY", "missing go.sum entry", "go: updates to go.mod needed", "dial tcp", "i/o timeout", "no such host",
+    "cannot find module providing package", "go: downloading",
+]
+
+
+def outcome(exit_code: Column, log: Column, own_module: Column | None = None) -> Column:
+    """Class of a test run, by ordered rules: only what the run itself shows is evidence.
+
+    A line of missing inputs makes the run ``infra``, whatever follows, unless it misses a package of the module under test: then the
+    code is at fault, and the build failed.
+    """
+    lines = F.split(F.coalesce(log, F.lit("")), "\r?\n")
+    own = own_module if own_module is not None else F.lit(None).cast("string")
+    blames = lambda x: F.coalesce(F.contains(x, F.concat(F.lit("providing package "), own, F.lit("/"))) | F.contains(x, F.concat(F.lit("providing package "), own, F.lit(":"))), F.lit(False))
+    marked = lambda x: F.exists(F.array(*[F.lit(m) for m in INFRA]), lambda m: F.contains(x, m))
+    infra, missing = F.exists(lines, lambda x: ~blames(x) & marked(x)), F.exists(lines, blames)
+    has = lambda t: F.contains(log, F.lit(t))
+    built = missing | has("[build failed]") | has("undefined: ") | (has("[setup failed]") & has(".go:") & ~has("module"))
     return (
-        F.when(exit_code == 0, "pass")
-        .when(exit_code.isin(124, 137), "timeout")
-        .when(log.rlike("(?i)no space left|connection refused|could not download|i/o timeout|tls handshake"), "infra")
-        .when(log.rlike(r"\[build failed\]|undefined: |cannot find package"), "build_fail")
-        .when(log.rlike(r"(?m)^--- FAIL|^FAIL\t"), "test_fail")
-        .otherwise("infra")
-    )
+        F.when(exit_code == 0, "pass").when(exit_code.isin(124, 137), "timeout").when(infra, "infra").when(built, "build_fail")
+        .when(has("--- FAIL") | has("[FAIL]") | has("FAIL\t"), "test_fail").otherwise("infra")
+    )
+
+
+def decision(parent: Column, commit: Column) -> tuple[Column, Column]:
+    """Whether a task is valid and why: the tests failed on the parent and pass on the commit; runs that prove nothing decide nothing."""
+    either = lambda o: (parent == o) | (commit == o)
+    reason = (
+        F.when(either("infra"), "infra: a run could not assemble its build inputs").when(either("timeout"), "timeout: a run was killed")
+        .when(parent == "pass", "tests already pass on parent").when(commit.isin("test_fail", "build_fail"), "tests fail on the commit").otherwise("ok")
+    )
+    return reason == "ok", reason
 
 
 def stratified_window(rows: DataFrame, group: str, order: str, need: int, offset: int) -> DataFrame:
@@ -61,13 +85,17 @@ def stratified_window(rows: DataFrame, group: str, order: str, need: int, offset
     return r.where(F.pmod(F.col("__r") - offset, F.col("__n")) < need).drop("__r", "__n")
 
 
-def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
-    sorted_ = F.sort_array(F.collect_list(value))
-    return rows.groupBy(group).agg(F.element_at(sorted_, (F.floor(F.count(value) / 2) + 1).cast("int")).alias("upper_median"))
-
+def smallest_and_median(rows: DataFrame, group: str, value: str, tie: str) -> DataFrame:
+    """The row of the smallest value of each group and the one at rank ``n / 2``, ties by ``tie``, with ``example``.
 
-def smallest_and_median(rows: DataFrame, group: str, *order: str) -> DataFrame:
-    g = Window.partitionBy(group)
-    r = rows.withColumn("__r", F.row_number().over(g.orderBy(*order))).withColumn("__n", F.count("*").over(g))
-    pick = F.when(F.col("__r") == 1, "smallest").when(F.col("__r") == F.floor(F.col("__n") / 2) + 1, "median")
-    return r.withColumn("example", pick).where("example is not null").drop("__r", "__n")
+    The median's value and its place among equal values come from counts of values; only rows of the two values are ordered.
+    """
+    c = rows.groupBy(group, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(group)
+    c = c.withColumns({"__to": F.sum("__c").over(w.orderBy("__v")), "__n": F.sum("__c").over(w)}).withColumn("__from", F.col("__to") - F.col("__c"))
+    c = c.withColumn("__mid", F.floor(F.col("__n") / 2))
+    c = c.where((F.col("__from") == 0) | ((F.col("__from") <= F.col("__mid")) & (F.col("__mid") < F.col("__to")))).withColumnRenamed(group, "__g")
+    r = rows.join(F.broadcast(c), (F.col(group) == F.col("__g")) & (F.col(value) == F.col("__v")))  # two values a group
+    r = r.withColumn("__r", F.row_number().over(Window.partitionBy(group, value).orderBy(tie)) - 1 + F.col("__from"))
+    r = r.withColumn("example", F.when(F.col("__r") == 0, "smallest").when(F.col("__r") == F.col("__mid"), "median")).where("example is not null")
+    return r.select(*rows.columns, "example")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Phrases of each signal, searched in lower-case text; names of particular assistants are left to callers.
+# Phrases of each signal, searched in lower-case text; names of particular assistants are left to callers
+# (``phrases_for``).
 PHRASES = {
     "user_relay": [
         "other agent", "other session", "another session", "another agent", "other chat", "other window", "other instance",
@@ -43,10 +44,25 @@ VCS_CONFLICT = [
     "rebase in progress", "stale info", "cannot lock ref",
 ]
 HOOK_TIMEOUT = ["hook did not respond", "hook didn't respond"]
+GUARD = ["isolated in the worktree", "running in an isolated git worktree"]
+WORKTREE = ["belongs to a different worktree", "Do not write to other worktrees"]
+# Commands that look at a state, that comment, and words of a claim.
+STATUS_CHECKS = [
+    "gh pr view", "gh pr checks", "gh issue view", "gh run view", "gh run list", "gh run watch", "gh api repos", "git fetch",
+    "git ls-remote", "git log origin", "gh pr list",
+]
+COMMENT_COMMANDS = ["gh issue comment", "gh pr comment", "/comments"]
+CLAIMS = ["claimed by", "released by", "claiming", "releasing"]
 #: Which roles can say what; None: any.
 SPEAKERS = {"user_relay": ["user"], "peer_retraction": None, "already_done": ["user", "assistant"], "blocked_on_other": ["assistant"], "ownership_question": ["user", "assistant"]}
 
 
+def phrases_for(assistant: str) -> dict[str, list[str]]:
+    """The phrases, with those that name an assistant."""
+    name = assistant.lower()
+    return PHRASES | {"user_relay": [*PHRASES["user_relay"], f"other {name}", f"another {name}"]}
+
+
 def any_of(text: Column, phrases: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(text, p))
 

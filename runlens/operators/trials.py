@@ -85,3 +85,16 @@ def progress(rounds: DataFrame, back: int, slack: float) -> DataFrame:
     best = F.max("score").over(w.rowsBetween(Window.unboundedPreceding, 0))
     stalled = F.coalesce((F.col("score") - F.lag("score", back).over(w) <= slack).cast("int"), F.lit(0))
     return rounds.withColumn("best", best).withColumn("stalled", stalled)
+
+
+def both_ends(rows: DataFrame, group: str, value: str, tie: str, worst: int, best: int) -> DataFrame:
+    """The ``worst`` lowest and ``best`` highest rows of each group, with ``pick``; a row that is both is worst.
+
+    Each end is a limit of its own, which keeps that many rows of a group in every task before any shuffle.
+    """
+    low = F.row_number().over(Window.partitionBy(group).orderBy(value, tie))
+    high = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(value), tie))
+    a = rows.withColumn("__r", low).where(F.col("__r") <= worst).withColumn("pick", F.lit("worst"))
+    b = rows.withColumn("__r", high).where(F.col("__r") <= best).withColumn("pick", F.lit("best"))
+    b = b.join(a.select(group, tie), [group, tie], "left_anti").select(a.columns)
+    return a.unionByName(b).drop("__r")

@@ -8,26 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import stats, text
 from ..operators import bootstrap, code, diffs, events, exam, joins, phrases, pulls, scan, trials
 from ..sources import bindings as b
+from .base import ORACLES, QUERIES, query, r6
 
-QUERIES: dict = {}
-ORACLES: dict = {}
 FLAGSHIP = "daily_rate"
 
 
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def r6(c):
-    return F.round(c, 6)
-
-
 # ---------------------------------------------------------------- rates
 
 _CALLS = """WITH calls AS (SELECT CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles' AS DATE) AS day, user_id % 3 AS host,
@@ -208,9 +193,9 @@ def _runs(spark, sf):
 @query(f"""{_RUNS}, d AS (SELECT list_sort(list(to_push) FILTER (WHERE to_push IS NOT NULL)) AS xs, count(*) AS runs, count(to_push) AS pushed FROM run)
 SELECT runs, pushed, xs[1 + CAST(round((len(xs) - 1) * 0.5) AS INT)] AS p50, xs[1 + CAST(round((len(xs) - 1) * 0.9) AS INT)] AS p90, xs[len(xs)] AS longest FROM d""")
 def run_latency(spark, sf):
-    xs = F.array_compact(F.collect_list("to_push"))
-    d = _runs(spark, sf).agg(F.count("*").alias("runs"), F.count("to_push").alias("pushed"), xs.alias("xs"))
-    return d.select("runs", "pushed", stats.nearest_rank(F.col("xs"), 0.5).alias("p50"), stats.nearest_rank(F.col("xs"), 0.9).alias("p90"), F.array_max("xs").alias("longest"))
+    r = _runs(spark, sf)
+    n = r.agg(F.count("*").alias("runs"), F.count("to_push").alias("pushed"))
+    return n.crossJoin(stats.ranked(r, [], "to_push", {"p50": 0.5, "p90": 0.9, "longest": 1.0}))  # one row each
 
 
 @query(f"""{_RUNS}, m AS (SELECT unnest([2, 5, 10, 15, 30, 60]) AS minutes), f AS (SELECT minutes, CASE WHEN to_push IS NULL THEN to_end >= minutes * 60 ELSE to_push > minutes * 60 END AS fires, to_push IS NULL AS bad FROM run, m)
@@ -264,15 +249,15 @@ def turn_statistics(spark, sf):
     )
 
 
-def _sql_redacted(c: str) -> str:
-    for pattern, new in text.REDACTIONS:
-        c = f"regexp_replace({c}, '{pattern}', '{new.replace('$', chr(92))}', 'g')"
-    return c
+_REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\p{L}\p{M}\p{Nd}_.+-]+@[\p{L}\p{M}\p{Nd}_-]+(\.[\p{L}\p{M}\p{Nd}_-]+)+', '<email>', 'g'),
+  '\b([0-9]{1,3}\.){3}[0-9]{1,3}\b', '<ip>', 'g'), '\b(ghp|gho|ghs|ghu|github_pat|sk|sk-ant|xox[abp])[-_][A-Za-z0-9_-]{10,}', '<secret>', 'g'), '(?i)\b(token|password|secret|api[_-]?key)(\s*[=:]\s*)\S+', '\1\2<secret>', 'g'),
+  '\b[0-9a-f]{32,}\b', '<hex>', 'g'), '/home/[^/\s"'']+', '~', 'g')"""
 
 
-@query(f"SELECT doc_id, sha256(r) AS redacted_sha256, length(r) AS n FROM (SELECT doc_id, {_sql_redacted('text')} AS r FROM documents)")
+@query(f"SELECT doc_id, sha256(r) AS redacted_sha256, length(r) AS n FROM (SELECT doc_id, {_REDACTED} AS r FROM (SELECT doc_id, text || ' Token: abcdef99 API_KEY=x1 api-key: zz ghp_0123456789abcdef sk-ant-0123456789 in /home/me/x' AS text FROM documents))")
 def redacted(spark, sf):
-    d = b.table(spark, sf, "documents").select("doc_id", text.redacted(F.col("text")).alias("r"))
+    more = F.lit(" Token: abcdef99 API_KEY=x1 api-key: zz ghp_0123456789abcdef sk-ant-0123456789 in /home/me/x")
+    d = b.table(spark, sf, "documents").select("doc_id", text.redacted(F.concat("text", more)).alias("r"))
     return d.select("doc_id", F.sha2("r", 256).alias("redacted_sha256"), F.length("r").cast("long").alias("n"))
 
 
@@ -431,9 +416,7 @@ def annealed_budget(spark, sf):
 SELECT job, task, round(s, 6) AS score, CASE WHEN lo <= 3 THEN 'worst' ELSE 'best' END AS pick FROM r WHERE lo <= 3 OR hi <= 2""")
 def trace_selection(spark, sf):
     m = trials.task_means(b.trials(spark, sf))
-    w = Window.partitionBy("job")
-    r = m.withColumn("lo", F.row_number().over(w.orderBy("mean", "task"))).withColumn("hi", F.row_number().over(w.orderBy(F.desc("mean"), "task")))
-    return r.where("lo <= 3 or hi <= 2").select("job", "task", r6("mean").alias("score"), F.when(F.col("lo") <= 3, "worst").otherwise("best").alias("pick"))
+    return trials.both_ends(m, "job", "mean", "task", 3, 2).select("job", "task", r6("mean").alias("score"), "pick")
 
 
 # ---------------------------------------------------------------- exam
@@ -492,7 +475,7 @@ def gate_funnel(spark, sf):
 
 @query(f"{_X} SELECT tree, (list_sort(list(churn)))[CAST(floor(count(churn) / 2) AS INT) + 1] AS upper_median FROM s GROUP BY tree")
 def upper_medians(spark, sf):
-    return exam.upper_median(_split(spark, sf), "tree", "churn")
+    return stats.upper_medians(_split(spark, sf), ["tree"], "churn")
 
 
 @query(f"{_X}, r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY churn, task) AS r, count(*) OVER (PARTITION BY split) AS n FROM s) SELECT split, task, CASE WHEN r = 1 THEN 'smallest' ELSE 'median' END AS example FROM r WHERE r = 1 OR r = floor(n / 2) + 1")
@@ -536,14 +519,37 @@ def diff_lines(spark, sf):
     return d.select(F.col("patch_id").cast("long").alias("patch_id"), F.col("pos").cast("long").alias("pos"), "file", "hunk", "marker", "line")
 
 
-_LOGS = """(VALUES (1, 0, 'ok'), (2, 137, ''), (3, 1, '--- FAIL: TestA'), (4, 1, 'x.go:1: undefined: New'), (5, 1, 'dial tcp: i/o timeout'), (6, 2, 'strange')) AS l(id, code, log)"""
+_LOGS = """l AS (SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 0 WHEN 1 THEN 137 WHEN 2 THEN 124 ELSE 1 END AS code, CASE o_orderkey % 3 WHEN 0 THEN 'ex.org/m' WHEN 1 THEN 'ex.org/other' END AS own,
+  o_custkey % 2 = 1 AS b0, (o_custkey // 2) % 3 = 1 AS b1, (o_custkey // 4) % 2 = 1 AS b2, (o_custkey // 8) % 2 = 1 AS b3, (o_custkey // 16) % 4 = 1 AS b4 FROM orders)"""
+
+
+def _logs(spark, sf):
+    o = b.table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS id", "CASE o_orderkey % 7 WHEN 0 THEN 0 WHEN 1 THEN 137 WHEN 2 THEN 124 ELSE 1 END AS code", "CASE o_orderkey % 3 WHEN 0 THEN 'ex.org/m' WHEN 1 THEN 'ex.org/other' END AS own",
+        "array_join(array_compact(array('ok', IF(o_custkey % 2 = 1, 'x: dial tcp 1.2.3.4', NULL), IF((o_custkey DIV 2) % 3 = 1, 'FAIL ex.org/m [build failed]', NULL), IF((o_custkey DIV 4) % 2 = 1, '--- FAIL: TestA', NULL), "
+        "IF((o_custkey DIV 8) % 2 = 1, 'cannot find module providing package ex.org/m/x: module lookup disabled by GOPROXY=off', NULL), IF((o_custkey DIV 16) % 4 = 1, 'x.go:1: [setup failed]', NULL))), '\\n') AS log",
+    )
+    return o
+
 
+_CLASSED = _LOGS + """, c AS (SELECT *, CASE WHEN code = 0 THEN 'pass' WHEN code IN (124, 137) THEN 'timeout' WHEN b0 OR (b3 AND coalesce(own, '') <> 'ex.org/m') THEN 'infra' WHEN b3 OR b1 OR b4 AND NOT b3 THEN 'build_fail' WHEN b2 THEN 'test_fail' ELSE 'infra' END AS outcome FROM l)"""
 
-@query(f"""SELECT CAST(id AS BIGINT) AS id, CASE WHEN code = 0 THEN 'pass' WHEN code IN (124, 137) THEN 'timeout' WHEN regexp_matches(log, '(?i)no space left|connection refused|could not download|i/o timeout|tls handshake') THEN 'infra'
-WHEN regexp_matches(log, '\\[build failed\\]|undefined: |cannot find package') THEN 'build_fail' WHEN regexp_matches(log, '(?m)^--- FAIL|^FAIL\\t') THEN 'test_fail' ELSE 'infra' END AS outcome FROM {_LOGS}""")
+
+@query(f"WITH {_CLASSED} SELECT id, outcome FROM c")
 def test_outcomes(spark, sf):
-    rows = spark.sql(f"SELECT * FROM {_LOGS}")
-    return rows.select(F.col("id").cast("long").alias("id"), exam.outcome(F.col("code"), F.col("log")).alias("outcome"))
+    """Classes of test runs, from codes and logs of the order table's numbers."""
+    return _logs(spark, sf).select("id", exam.outcome(F.col("code"), F.col("log"), F.col("own")).alias("outcome"))
+
+
+@query(f"""WITH {_CLASSED}, d AS (SELECT a.id, a.outcome AS p, b.outcome AS q FROM c a JOIN c b ON b.id = a.id + 1)
+SELECT id, p IN ('test_fail', 'build_fail') AND q = 'pass' AS valid, CASE WHEN p = 'infra' OR q = 'infra' THEN 'infra: a run could not assemble its build inputs' WHEN p = 'timeout' OR q = 'timeout' THEN 'timeout: a run was killed'
+WHEN p = 'pass' THEN 'tests already pass on parent' WHEN q <> 'pass' THEN 'tests fail on the commit' ELSE 'ok' END AS reason FROM d""")
+def task_decisions(spark, sf):
+    """Which pairs of runs make a valid task."""
+    c = _logs(spark, sf).select("id", exam.outcome(F.col("code"), F.col("log"), F.col("own")).alias("outcome"))
+    d = c.withColumnRenamed("outcome", "p").join(c.select((F.col("id") - 1).alias("id"), F.col("outcome").alias("q")), "id")
+    valid, reason = exam.decision(F.col("p"), F.col("q"))
+    return d.select("id", valid.alias("valid"), reason.alias("reason"))
 
 
 _SCORES = """(VALUES (1, 7.0, 10.0, ''), (2, 7.0, 1.0, '{"points": 4} {"points": 10}'), (3, 55.0, NULL, 'none'), (4, 500.0, NULL, ''), (5, -1.0, NULL, '')) AS s(id, score, top, rubric)"""
@@ -559,7 +565,7 @@ def normalised_scores(spark, sf):
 _PUSH = """(VALUES (1, 'To github.com:team/app.git
  * [new branch]      fix -> fix
    1234567..89abcde  main -> main
-https://host.example/team/app/pull/12 and https://host.example/team/app/pull/12'), (2, 'nothing')) AS o(id, output)"""
+https://github.com/team/app/pull/12 and https://github.com/team/app/pull/12 but https://host.example/team/app/pull/13'), (2, 'nothing')) AS o(id, output)"""
 
 
 @query(f"""SELECT CAST(id AS BIGINT) AS id, regexp_extract(output, '(?m)^To \\S*?[:/]([\\w.-]+/[\\w.-]+?)(?:\\.git)?$', 1) AS repo, unnest(regexp_extract_all(output, '(?m)^\\s+[*+ ]?\\s*\\S.*? -> ([\\w./-]+)', 1)) AS branch FROM {_PUSH}""")
@@ -567,7 +573,7 @@ def push_targets(spark, sf):
     return diffs.push_targets(spark.sql(f"SELECT * FROM {_PUSH}")).withColumn("id", F.col("id").cast("long"))
 
 
-@query(f"""SELECT CAST(id AS BIGINT) AS id, unnest(list_distinct(regexp_extract_all(output, 'https://[\\w.-]+/([\\w.-]+/[\\w.-]+)/pull/(\\d+)'))) AS url FROM {_PUSH}""")
+@query(f"""SELECT CAST(id AS BIGINT) AS id, unnest(list_distinct(regexp_extract_all(output, 'https://github[.]com/[^/\\s]+/[^/\\s]+/pull/[0-9]+'))) AS url FROM {_PUSH}""")
 def pull_request_urls(spark, sf):
     return diffs.pull_urls(spark.sql(f"SELECT * FROM {_PUSH}")).withColumn("id", F.col("id").cast("long"))
 
@@ -714,3 +720,6 @@ def silent_pushes(spark, sf):
     """Where pushes went whose output said nothing."""
     rows = spark.sql("SELECT * FROM VALUES (1, 'cd /a && git push -q origin fix', '/w', 'own'), (2, 'git -C /r push', '/w', 'own') AS t(id, command, dir, branch)")
     return pulls.push_guess(rows)
+
+
+from . import sessions  # noqa: E402, F401  queries of its own

@@ -113,8 +113,14 @@ def test_bootstrap_repeats(spark):
 
 
 def test_outcome_order(spark):
-    df = spark.createDataFrame([(0, "--- FAIL"), (1, "undefined: X\n--- FAIL: a"), (1, "i/o timeout"), (124, "x"), (3, "?")], "c int, l string")
-    assert [r[0] for r in df.select(exam.outcome(F.col("c"), F.col("l"))).collect()] == ["pass", "build_fail", "infra", "timeout", "infra"]
+    own = "cannot find module providing package ex.org/m/x: module lookup disabled by GOPROXY=off"
+    cases = [
+        (0, "--- FAIL", None, "pass"), (1, "undefined: X\n--- FAIL: a", None, "build_fail"), (1, "i/o timeout", None, "infra"), (124, "x", None, "timeout"), (3, "?", None, "infra"),
+        (1, "dial tcp\n[build failed]", None, "infra"), (1, own, "ex.org/m", "build_fail"), (1, own, "ex.org/other", "infra"), (1, own + "\ngo: downloading x", "ex.org/m", "infra"),
+        (1, "x.go:1 [setup failed]", None, "build_fail"), (1, "x.go:1 module [setup failed]", None, "infra"), (1, "a [FAIL] b", None, "test_fail"),
+    ]
+    df = spark.createDataFrame([c[:3] for c in cases], "c int, l string, own string")
+    assert [r[0] for r in df.select(exam.outcome(F.col("c"), F.col("l"), F.col("own"))).collect()] == [c[3] for c in cases]
 
 
 def test_transcripts(spark, tmp_path):
@@ -130,7 +136,7 @@ def test_transcripts(spark, tmp_path):
     (tmp_path / "p" / "s.jsonl").write_text("\n".join([*map(json.dumps, lines), "{broken"]))
     got = transcripts.events(transcripts.read_lines(spark, str(tmp_path))).orderBy("i").collect()
 
-    assert [r["kind"] for r in got] == ["human", "assistant_text", "tool_use", "tool_result"]
+    assert [r["kind"] for r in got] == ["human", "assistant", "tool_use", "tool_result"]
     assert got[3]["is_error"] and got[3]["tool_id"] == "x" and {r["session_id"] for r in got} == {"s"}
 
 
