@@ -154,45 +154,41 @@ def free_name(df: DataFrame, name: str) -> str:
 
 # ---------------------------------------------------------------- vectors added up over tasks
 
-#: Numbers in one row of a partial sum, and groups of tasks whose partial sums are added up apart.
+#: Numbers in one row of a partial sum, and tasks that add up partial sums.
 CHUNK, SLOTS = 512, 16
 
 
 def _merged(rows: DataFrame, kind: str, add, width: int) -> np.ndarray:
-    """Combine rows (slot, chunk, pid, v) of one chunk, in the order of tasks; the driver combines the slots.
+    """Combine rows (chunk, pid, v) in few tasks, each in the order of the tasks that made them; the driver combines what these give.
 
-    A task streams its sorted rows and holds one chunk, however many tasks made them.
+    A task holds one vector and streams its sorted rows, however many tasks made them.
     """
+    size = CHUNK * 8 // np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, None
-        row = lambda: pa.RecordBatch.from_pydict({"slot": pa.array([at[0]], pa.int32()), "chunk": pa.array([at[1]], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
+        from pyspark import TaskContext
+
+        total, any_ = np.zeros(width, kind), False
         for batch in batches:
-            for slot, chunk, v in zip(*(batch.column(c).to_pylist() for c in ("slot", "chunk", "v"))):
-                if (slot, chunk) != at:
-                    if at is not None:
-                        yield row()
-                    at, total = (slot, chunk), np.frombuffer(v, kind).copy()
-                else:
-                    add(total, np.frombuffer(v, kind), out=total)
-        if at is not None:
-            yield row()
-
-    dealt = rows.repartition("slot", "chunk").sortWithinPartitions("slot", "chunk", "pid")
+            for chunk, v in zip(batch.column("chunk").to_pylist(), batch.column("v").to_pylist()):
+                part, any_ = total[chunk * size : (chunk + 1) * size], True
+                add(part, np.frombuffer(v, kind), out=part)
+        if any_:
+            yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId()], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
+
+    slots = SLOTS if width * np.dtype(kind).itemsize <= 1 << 20 else SLOTS // 4  # the driver gets 64 MB at most
+    dealt = rows.repartition(slots).sortWithinPartitions("pid", "chunk").select("chunk", "v")
     out = np.zeros(width, kind)
-    got = dealt.select("slot", "chunk", "v").mapInArrow(run, "slot int, chunk int, v binary").collect()
-    size = CHUNK * 8 // np.dtype(kind).itemsize
-    for r in sorted(got, key=lambda r: (r["slot"], r["chunk"])):
-        part = out[r["chunk"] * size : (r["chunk"] + 1) * size]
-        add(part, np.frombuffer(r["v"], kind), out=part)
+    for r in sorted(dealt.mapInArrow(run, "slot int, v binary").collect(), key=lambda r: r["slot"]):
+        add(out, np.frombuffer(r["v"], kind), out=out)
     return out
 
 
 def vector_sum(df: DataFrame, fn, width: int) -> np.ndarray:
     """Sum over all rows of ``fn(batch) -> float64 vector of a fixed width``, as one numpy vector on the driver.
 
-    Each task adds up its batches; the tasks' vectors are cut in chunks, and each chunk of each of 16 groups of tasks is added up by
-    itself, in the order of tasks, so that a rerun adds in the same order. The driver receives ``16 * width`` numbers at any input size.
+    Each task adds up its batches; the tasks' vectors are cut in chunks and dealt to 16 tasks, which add them up in the order of tasks, so
+    that a rerun adds in the same order. The driver receives ``16 * width`` numbers at any input size.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +200,10 @@ def vector_sum(df: DataFrame, fn, width: int) -> np.ndarray:
         pid = TaskContext.get().partitionId()
         made = [total[lo : lo + CHUNK].tobytes() for lo in range(0, width, CHUNK)]
         n = len(made)
-        cols = [pa.array([pid % SLOTS] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([pid] * n, pa.int64()), pa.array(made, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["slot", "chunk", "pid", "v"])
+        cols = [pa.array(range(n), pa.int32()), pa.array([pid] * n, pa.int64()), pa.array(made, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["chunk", "pid", "v"])
 
-    return _merged(df.mapInArrow(partial, "slot int, chunk int, pid long, v binary"), "f8", np.add, width)
+    return _merged(df.mapInArrow(partial, "chunk int, pid long, v binary"), "f8", np.add, width)
 
 
 class Bitmap:
@@ -242,10 +238,10 @@ class Bitmap:
             chunks = flags.reshape(-1, size)
             some = np.flatnonzero(chunks.any(axis=1))
             pid, n = TaskContext.get().partitionId(), len(some)
-            cols = [pa.array([pid % SLOTS] * n, pa.int32()), pa.array(some.astype(np.int32)), pa.array([pid] * n, pa.int64()), pa.array([chunks[i].tobytes() for i in some], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["slot", "chunk", "pid", "v"])
+            cols = [pa.array(some.astype(np.int32)), pa.array([pid] * n, pa.int64()), pa.array([chunks[i].tobytes() for i in some], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["chunk", "pid", "v"])
 
-        rows = keys.where(F.col(column).isNotNull()).mapInArrow(partial, "slot int, chunk int, pid long, v binary")
+        rows = keys.where(F.col(column).isNotNull()).mapInArrow(partial, "chunk int, pid long, v binary")
         return cls(_merged(rows, "u1", np.bitwise_or, bits // 8).tobytes())
 
     def may_hold(self, hashes: np.ndarray) -> np.ndarray:
