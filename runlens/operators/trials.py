@@ -44,14 +44,18 @@ def paired(means: DataFrame, champion: str, candidate: str) -> DataFrame:
     )
 
 
-def half_split(trials: DataFrame, *order: str) -> DataFrame:
-    """Difference of the means of each task's first and second half of trials: a null of no change."""
+def half_moves(trials: DataFrame, *order: str) -> DataFrame:
+    """(job, task, d): the mean of each task's second half of trials less that of its first; an odd last trial counts in neither."""
     w = Window.partitionBy("job", "task")
     half = F.floor(F.col("n") / 2)
     t = trials.withColumn("r", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w)).where(F.floor(F.col("n") / 2) > 0)
     first, second = F.avg(F.when(F.col("r") <= half, F.col("reward"))), F.avg(F.when((F.col("r") > half) & (F.col("r") <= 2 * half), F.col("reward")))
-    per_task = t.groupBy("job", "task").agg((second - first).alias("d"))
-    return per_task.groupBy("job").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), (F.stddev_samp("d") / F.sqrt(F.count("*"))).alias("se"))
+    return t.groupBy("job", "task").agg((second - first).alias("d"))
+
+
+def half_split(trials: DataFrame, *order: str) -> DataFrame:
+    """Difference of the means of each task's first and second half of trials: a null of no change."""
+    return half_moves(trials, *order).groupBy("job").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), (F.stddev_samp("d") / F.sqrt(F.count("*"))).alias("se"))
 
 
 def decide(candidates: DataFrame, floor_slack: float, cost_limit: float) -> DataFrame:

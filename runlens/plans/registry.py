@@ -722,4 +722,4 @@ def silent_pushes(spark, sf):
     return pulls.push_guess(rows)
 
 
-from . import sessions  # noqa: E402, F401  queries of its own
+from . import exams, sessions  # noqa: E402, F401  queries of their own
