@@ -517,18 +517,14 @@ def _spans(docs: DataFrame, window: int, hot: int, run_hash: Callable[[bytes], i
     found = stash(anchors(base, window, run_hash), "anchors")
     rows = found.where("kind = 0").drop("kind")
     often = stash(rows.groupBy("khash").count().where(F.col("count") > hot).select("khash"), "hot")
-    split = None if often.isEmpty() else Bitmap.of(often, "khash")
-
-    def part(held: bool) -> DataFrame:
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            may = split.may_hold(batch.column("khash").to_numpy(zero_copy_only=False))
-            return batch.filter(pa.array(may if held else ~may))
-
-        return map_arrow(rows, run, rows.schema)
-
-    wanted = stash(met(rows if split is None else part(False)), "met")
+    if often.isEmpty():
+        wanted = stash(met(rows), "met")
+        more = None
+    else:  # runs of hot anchors are told apart by a join of anchors alone
+        wanted = stash(met(rows.join(often, "khash", "left_anti").select(rows.columns)), "met")
+        more = counted_windows(base, rows.join(often, "khash", "left_semi").select(rows.columns), window)
     spans = found.where("kind = 1").select("doc_id", "th", "s", "len").unionByName(compared(base, wanted, window))
-    return spans if split is None else spans.unionByName(counted_windows(base, part(True), window)), [found, often, wanted]
+    return spans if more is None else spans.unionByName(more), [found, often, wanted]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, hot: int = HOT, run_hash: Callable[[bytes], int] = xxhash.xxh3_64_intdigest) -> DataFrame:
