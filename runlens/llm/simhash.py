@@ -25,7 +25,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Bitmap, discard, free_name, id_text, map_arrow, pieces, raw_texts, stash, vector_sum
@@ -424,29 +424,42 @@ def shingle_ranks(texts: DataFrame, k: int) -> np.ndarray:
     return (2 * np.log2(np.maximum(vector_sum(texts.select("text"), counts, SKETCH), 1))).astype(np.uint8)
 
 
-def may_be_similar(texts: DataFrame, roots: DataFrame, k: int, least: float) -> DataFrame:
-    """Pairs (a, b) of texts(th, text) with different roots, among them every pair with Jaccard similarity ``least`` or more.
+#: Texts under one shingle from which chains are tried before all pairs, how often, and the least hashes that order a chain.
+CHAINED, TURNS, MINS = 64, 4, 5
+#: Odd factors that permute 64-bit hashes: one for each least hash.
+FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 | 1 for i in range(TURNS * MINS)], np.uint64)
 
-    All sets are ordered alike, rare shingles first (by the counts of their buckets, then by value). Of n shingles that the
-    smaller set of a similar pair has, ``least * n`` are shared at least, so the first shared one is among the first
-    n - ceil(least * n) + 1 of each set: texts meet under these, and pairs stay if sizes, positions and the number of meetings
-    allow the similarity (what a pair shares beyond them is among the last shingles of one set). The order decides only how
-    many meet. A shingle that texts of one root alone have is found by the least and the greatest of its roots, which combine map-side,
-    and its rows stay where they are. One of over ``SHARED`` texts is split in pairs of blocks.
+
+def first_shingles(texts: DataFrame, k: int, least: float) -> DataFrame:
+    """(th, size, shingles, mins) of texts(th, text): the size of each set, its first shingles, rare ones first, and its least hashes.
+
+    All sets are ordered alike, by the counts of the shingles' buckets, then by value. Of n shingles that the smaller set of a similar
+    pair has, ``least * n`` are shared at least, so the first shared one is among the first n - ceil(least * n) + 1 of each set: these
+    are kept. The order decides only how many sets meet under a shingle. A least hash of two sets is equal as often as they are similar.
     """
     ranks = shingle_ranks(texts, k)
 
     def first(batch: pa.RecordBatch) -> pa.RecordBatch:
-        size, made = [], []
+        size, made, mins = [], [], []
         for t in raw_texts(batch):
             s = shingle_set(t, k)
+            mins.append(b"".join([int((s * f).min()).to_bytes(8, "big") for f in FACTORS]) if len(s) else b"")
             s = s[np.argsort(ranks[(s % np.uint64(SKETCH)).astype(np.int64)], kind="stable")]
             size.append(len(s))
             made.append(s[: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1].tobytes())
-        cols = [batch.column("th"), pa.array(size, pa.int32()), pa.array(made, pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, ["th", "size", "shingles"])
+        cols = [batch.column("th"), pa.array(size, pa.int32()), pa.array(made, pa.binary()), pa.array(mins, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["th", "size", "shingles", "mins"])
+
+    return map_arrow(texts.select("th", "text"), first, "th long, size int, shingles binary, mins binary")
+
+
+def shingle_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    every = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+    return np.concatenate(every), np.array([len(x) for x in every], np.int64)
 
-    made = stash(map_arrow(texts.select("th", "text"), first, "th long, size int, shingles binary"), "first")
+
+def with_roots(made: DataFrame, roots: DataFrame) -> DataFrame:
+    """``made`` with the root of each text, itself for texts that ``roots`` does not have; most rows stay where they are."""
     known = Bitmap.of(roots.select("th"), "th")
 
     def part(held: bool) -> DataFrame:
@@ -457,15 +470,57 @@ def may_be_similar(texts: DataFrame, roots: DataFrame, k: int, least: float) ->
         return map_arrow(made, run, made.schema)
 
     named = part(False).withColumn("root", F.col("th")).unionByName(part(True).join(roots, "th", "left").withColumn("root", F.coalesce("root", "th")))
-    named = stash(named.select("th", "root", "size", "shingles"), "named-first")
-    discard(made)
+    return named.select("th", "root", "size", "shingles", "mins")
+
+
+def common_keys(made: DataFrame) -> DataFrame:
+    """(key, n) of first shingles of more than ``CHAINED`` texts."""
+
+    def told(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shingle_keys(batch)[0])], ["key"])
+
+    return map_arrow(made, told, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHAINED)
+
 
-    def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        every = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
-        return np.concatenate(every), np.array([len(x) for x in every], np.int64)
+def chains(made: DataFrame, roots: DataFrame, keys: DataFrame, least: float, turn: int) -> DataFrame:
+    """Pairs (a, b) of texts of different roots that follow each other under a common shingle, in the order of the turn's least hashes.
+
+    Texts whose least hashes are equal, as far as they are, are neighbours, and likely to be similar; there are as many pairs as texts
+    under a shingle, not their square. A shingle of over ``SHARED`` texts is dealt to groups by the first of the hashes. In a large
+    group of near copies this makes most roots one before all pairs are tried.
+    """
+    common = Bitmap.of(keys, "key")
+    width = 8 * MINS
+
+    def exploded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, n = shingle_keys(batch)
+        stay = common.may_hold(key)
+        at = np.repeat(np.arange(len(n)), n)[stay]
+        order = pa.array([m[turn * width : (turn + 1) * width] for m in batch.column("mins").to_pylist()], pa.binary()).take(pa.array(at))
+        cols = [pa.array(key[stay]), *(batch.column(c).take(pa.array(at)) for c in ("th", "root", "size")), order]
+        return pa.RecordBatch.from_arrays(cols, ["key", "th", "root", "size", "order"])
+
+    rows = map_arrow(with_roots(made, roots), exploded, "key long, th long, root long, size int, order binary").join(keys, "key")
+    group = F.pmod(F.xxhash64(F.substring("order", 1, 8)), F.ceil(F.col("n") / SHARED))
+    r = F.struct("root", "size", "th").alias("r")
+    before = F.lag(F.struct("root", "size", "th")).over(Window.partitionBy("key", group).orderBy("order", "th"))
+    pairs = rows.select(before.alias("p"), r).where(F.col("p").isNotNull() & (F.col("p.root") != F.col("r.root")))
+    pairs = pairs.where(F.least("p.size", "r.size") >= least * F.greatest("p.size", "r.size") - 1e-9)
+    return pairs.select(F.least("p.th", "r.th").alias("a"), F.greatest("p.th", "r.th").alias("b")).distinct()
+
+
+def may_be_similar(made: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of ``first_shingles`` with different roots, among them every pair with Jaccard similarity ``least`` or more.
+
+    Texts meet under their first shingles, and pairs stay if sizes, positions and the number of meetings allow the similarity (what a
+    pair shares beyond them is among the last shingles of one set). A shingle that texts of one root alone have is found by the least
+    and the greatest of its roots, which combine map-side, and its rows stay where they are. One of over ``SHARED`` texts is split in
+    pairs of blocks.
+    """
+    named = stash(with_roots(made, roots), "named-first")
 
     def told(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key, n = keys(batch)
+        key, n = shingle_keys(batch)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(batch.column("root").to_numpy(zero_copy_only=False), n))], ["key", "root"])
 
     met_ = map_arrow(named, told, "key long, root long").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"))
@@ -474,7 +529,7 @@ def may_be_similar(texts: DataFrame, roots: DataFrame, k: int, least: float) ->
     full = several.where(F.col("n") > SHARED).select("key", F.ceil(F.col("n") / SHARED).cast("int").alias("blocks"))
 
     def exploded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key, n = keys(batch)
+        key, n = shingle_keys(batch)
         stay = common.may_hold(key)
         th, root, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n)[stay] for c in ("th", "root", "size"))
         span = size.astype(np.int64) << 32 | (np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n))[stay]
@@ -555,8 +610,8 @@ def similar_groups(
     """(doc_id, text_hash, second_hash, component_id, root) of every row: groups linked by Jaccard similarity of word shingles.
 
     The first candidates are texts whose word-set fingerprints lie within ``tau`` bits (GPH search as above): as many of these pairs as
-    connect them are held against the exact similarity of their shingle sets. What this leaves apart and may be similar is found by
-    the first shingles of the sets and verified alike, so that no similar pair is missed at any distance of fingerprints; ``tau``
+    connect them are held against the exact similarity of their shingle sets. Texts that follow each other under a common first shingle are
+    tried next, in orders that bring similar ones together. What this leaves apart and may be similar is found by the first shingles of the sets and verified alike, so that no similar pair is missed at any distance of fingerprints; ``tau``
     decides the work, not the result. Equal texts are one node throughout, known by two independent 64-bit hashes: texts that share
     the first alone are told apart by the second.
     """
@@ -625,6 +680,7 @@ def similar_groups(
     alike = nodes.join(heads, "fp").where("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b"))
     near = stash(near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(alike), "near")
     edges = verified(near, "edges")
+    discard(near)
 
     # One row of each text: of texts with copies, the others are left out where bitmaps can tell.
     several = nodes.where("n > 1").select("th", F.xxhash64("th", "least").alias("one"))
@@ -636,14 +692,22 @@ def similar_groups(
 
     each = hashed.select("th", F.xxhash64("th", "doc_id").alias("one"), "text")
     each = map_arrow(each, single, each.schema)
+    made = stash(first_shingles(each, words_per_shingle, similarity), "first")
+    common = stash(common_keys(made), "common")
     roots = stash(grouped_by(edges), "roots")
-    pairs = may_be_similar(each, roots, words_per_shingle, similarity)
+    for turn in range(0 if common.isEmpty() else TURNS):
+        near = stash(chains(made, roots, common, similarity, turn), "chains")
+        found = verified(near, "chain-edges")
+        edges, old = stash(edges.unionByName(found), "edges"), (edges, near, found, roots)
+        roots = stash(grouped_by(edges), "roots")
+        discard(*old)
+    pairs = may_be_similar(made, roots, similarity)
     more = verified(pairs, "more-edges")
     comp = grouped_by(edges.unionByName(more))
     named = nodes.join(comp, "th", "left").withColumn("root", F.coalesce("root", "th"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stash(named.join(least, "root").select("th", "component_id", "root"), "named")
-    discard(heads, near, edges, more, pairs, roots, nodes)
+    discard(heads, edges, more, pairs, roots, nodes, made, common)
     return rows.join(named, "th", "left").select("doc_id", F.col("th").alias("text_hash"), F.col("h2").alias("second_hash"), "component_id", "root")
 
 
