@@ -414,6 +414,21 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(np.concatenate(made).astype(np.uint64)) if made else np.zeros(0, np.uint64)
 
 
+def bucket_counts(shingles: np.ndarray) -> bytes:
+    """How many of a set's values each bucket has; nothing if some bucket has over 255."""
+    n = np.bincount((shingles % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+
+
+def may_share(x: bytes, y: bytes, similarity: float) -> bool:
+    """False if the counts of two sets leave no room for the similarity: they share at most the lesser of each bucket."""
+    if not x or not y:
+        return True
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    n = int(np.minimum(a, b).sum(dtype=np.int64))
+    return n >= similarity * (int(a.sum(dtype=np.int64)) + int(b.sum(dtype=np.int64)) - n) - 1e-9
+
+
 def shingle_ranks(texts: DataFrame, k: int) -> np.ndarray:
     """Twice the binary logarithm of the number of shingles in each bucket, over all texts."""
 
@@ -424,8 +439,12 @@ def shingle_ranks(texts: DataFrame, k: int) -> np.ndarray:
     return (2 * np.log2(np.maximum(vector_sum(texts.select("text"), counts, SKETCH), 1))).astype(np.uint8)
 
 
-#: Texts under one shingle from which chains are tried before all pairs, how often, and the least hashes that order a chain.
-CHAINED, TURNS, MINS = 64, 4, 5
+#: How often chains are tried before all pairs, the least hashes that order a chain, and how many of them neighbours share.
+TURNS, MINS, ALIKE = 4, 5, 3
+#: Shingles of over ``SHARED`` texts that a text brings along when it meets others under them, and from how many, the largest, they come.
+BROUGHT, HOTTEST = 32, 1 << 16
+#: Buckets of a set's counts, which bound what two sets share.
+BUCKETS = 512
 #: Odd factors that permute 64-bit hashes: one for each least hash.
 FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 | 1 for i in range(TURNS * MINS)], np.uint64)
 
@@ -474,19 +493,19 @@ def with_roots(made: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def common_keys(made: DataFrame) -> DataFrame:
-    """(key, n) of first shingles of more than ``CHAINED`` texts."""
+    """(key, n) of first shingles of more than ``SHARED`` texts."""
 
     def told(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(shingle_keys(batch)[0])], ["key"])
 
-    return map_arrow(made, told, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHAINED)
+    return map_arrow(made, told, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SHARED)
 
 
 def chains(made: DataFrame, roots: DataFrame, keys: DataFrame, least: float, turn: int) -> DataFrame:
     """Pairs (a, b) of texts of different roots that follow each other under a common shingle, in the order of the turn's least hashes.
 
-    Texts whose least hashes are equal, as far as they are, are neighbours, and likely to be similar; there are as many pairs as texts
-    under a shingle, not their square. A shingle of over ``SHARED`` texts is dealt to groups by the first of the hashes. In a large
+    Texts whose least hashes are equal, as far as they are, are neighbours, and likely to be similar if ``ALIKE`` are; there are as many
+    pairs as texts under a shingle, not their square. A shingle's texts are dealt to groups by the first of the hashes. In a large
     group of near copies this makes most roots one before all pairs are tried.
     """
     common = Bitmap.of(keys, "key")
@@ -502,10 +521,12 @@ def chains(made: DataFrame, roots: DataFrame, keys: DataFrame, least: float, tur
 
     rows = map_arrow(with_roots(made, roots), exploded, "key long, th long, root long, size int, order binary").join(keys, "key")
     group = F.pmod(F.xxhash64(F.substring("order", 1, 8)), F.ceil(F.col("n") / SHARED))
-    r = F.struct("root", "size", "th").alias("r")
-    before = F.lag(F.struct("root", "size", "th")).over(Window.partitionBy("key", group).orderBy("order", "th"))
+    r = F.struct("root", "size", "th", "order").alias("r")
+    before = F.lag(F.struct("root", "size", "th", "order")).over(Window.partitionBy("key", group).orderBy("order", "th"))
     pairs = rows.select(before.alias("p"), r).where(F.col("p").isNotNull() & (F.col("p.root") != F.col("r.root")))
     pairs = pairs.where(F.least("p.size", "r.size") >= least * F.greatest("p.size", "r.size") - 1e-9)
+    same = [(F.substring("p.order", 1 + 8 * i, 8) == F.substring("r.order", 1 + 8 * i, 8)).cast("int") for i in range(MINS)]
+    pairs = pairs.where(sum(same[1:], same[0]) >= ALIKE)
     return pairs.select(F.least("p.th", "r.th").alias("a"), F.greatest("p.th", "r.th").alias("b")).distinct()
 
 
@@ -515,7 +536,8 @@ def may_be_similar(made: DataFrame, roots: DataFrame, least: float) -> DataFrame
     Texts meet under their first shingles, and pairs stay if sizes, positions and the number of meetings allow the similarity (what a
     pair shares beyond them is among the last shingles of one set). A shingle that texts of one root alone have is found by the least
     and the greatest of its roots, which combine map-side, and its rows stay where they are. One of over ``SHARED`` texts is split in
-    pairs of blocks.
+    pairs of blocks. To these hot shingles (the ``HOTTEST`` largest) each text brings the ``BROUGHT`` least of its own: a pair meets once
+    for all that both bring, under the least of them, and only if these and what else the two may share are enough.
     """
     named = stash(with_roots(made, roots), "named-first")
 
@@ -526,27 +548,71 @@ def may_be_similar(made: DataFrame, roots: DataFrame, least: float) -> DataFrame
     met_ = map_arrow(named, told, "key long, root long").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"))
     several = stash(met_.where("x <> y").select("key", "n"), "several")
     common = Bitmap.of(several, "key")
-    full = several.where(F.col("n") > SHARED).select("key", F.ceil(F.col("n") / SHARED).cast("int").alias("blocks"))
+    full = stash(several.where(F.col("n") > SHARED).select("key", F.ceil(F.col("n") / SHARED).cast("int").alias("blocks")), "full")
+    hottest = np.sort(np.array([r["key"] for r in full.orderBy(F.desc("blocks"), "key").limit(HOTTEST).collect()], np.int64))
 
     def exploded(batch: pa.RecordBatch) -> pa.RecordBatch:
         key, n = shingle_keys(batch)
         stay = common.may_hold(key)
         th, root, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n)[stay] for c in ("th", "root", "size"))
         span = size.astype(np.int64) << 32 | (np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n))[stay]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[stay], th, root, span)], ["key", "th", "root", "span"])
-
-    rows = map_arrow(named, exploded, "key long, th long, root long, span long")
+        warm, start = np.isin(key, hottest), np.cumsum(n) - n
+        brought = pa.array([np.sort(key[a : a + m][warm[a : a + m]])[:BROUGHT].tobytes() for a, m in zip(start.tolist(), n.tolist())], pa.binary())
+        at = np.where(warm, np.repeat(np.arange(len(n)), n), -1)[stay]
+        brought = brought.take(pa.array(at, mask=at < 0)).fill_null(b"")
+        cols = [*(pa.array(x) for x in (key[stay], th, root, span)), brought]
+        return pa.RecordBatch.from_arrays(cols, ["key", "th", "root", "span", "brought"])
+
+    rows = map_arrow(named, exploded, "key long, th long, root long, span long, brought binary")
     rows = rows.join(full, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.hash("th"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x, y = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(x == y, 2).otherwise((F.col("own") == y).cast("int"))
     block = x.cast("long") * F.col("blocks") + y
-    rows = rows.select("key", block.alias("block"), side.cast("int").alias("side"), "th", "root", "span")
+    rows = rows.select("key", block.alias("block"), side.cast("int").alias("side"), "th", "root", "span", "brought")
     dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "root", "th")
 
+    def made_of(a, b, need, fits, many) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, need.astype(np.int32), fits, many.astype(np.int32))], ["a", "b", "need", "fits", "many"])
+
+    def met_hot(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Meetings of one group of a hot shingle: of pairs that both bring it, those to which it is the least that both bring."""
+        key, _, side, th, root, span, own = cols
+        size, at, n = span >> 32, span & 0xFFFFFFFF, len(th)
+        lists = [np.frombuffer(x, np.int64) for x in own]
+        many = np.array([len(x) for x in lists], np.int64)
+        every, col = np.unique(np.concatenate(lists), return_inverse=True)
+        table = np.zeros((n, len(every)), np.float32)
+        table[np.repeat(np.arange(n), many), col] = 1
+        least_col = int(np.searchsorted(every, key[0]))
+        brings = table[:, least_col] > 0 if least_col < len(every) and every[least_col] == key[0] else np.zeros(n, bool)  # not beyond the ``BROUGHT``
+        below = table[:, :least_col]
+        rest = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1 - many  # first shingles that are not brought
+        for lo in range(0, n, 256):
+            i = np.arange(lo, min(n, lo + 256))[:, None]
+            j = np.arange(n)[None, :]
+            ok = (i < j) & (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] == 2))
+            ok &= np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9
+            both = brings[i] & brings[j]
+            ok &= ~both | (below[lo : lo + 256] @ below.T < 0.5)
+            shared = table[lo : lo + 256] @ table.T
+            x, y = np.nonzero(ok)
+            both, shared = both[x, y], np.rint(shared[x, y]).astype(np.int64)
+            x = x + lo
+            need = np.ceil(least / (1 + least) * (size[x] + size[y]) - 1e-9)
+            # All first shingles together; of those that both bring, the first may lie before this one.
+            short = (many[x] < BROUGHT) & (many[y] < BROUGHT)
+            else_ = np.where(short, np.minimum(rest[x], rest[y]), rest[x] + rest[y])
+            beyond = np.ceil(least * np.maximum(size[x], size[y]) - 1e-9) - 1
+            fits = both | (np.minimum(size[x] - at[x], size[y] - at[y]) >= need)
+            stay = shared + else_ >= need - beyond
+            x, y, both, shared, need, beyond, fits = (v[stay] for v in (x, y, both, shared, need, beyond, fits))
+            if len(x):
+                yield made_of(np.minimum(th[x], th[y]), np.maximum(th[x], th[y]), need - beyond, fits, np.where(both, shared, 1))
+
     def met(cols: list[np.ndarray], start: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Meetings in groups, whose rows begin at ``start``, of rows with different roots: each with those after its own root's."""
-        _, _, side, th, root, span = cols
+        _, _, side, th, root, span, own = cols
         size, at, n = span >> 32, span & 0xFFFFFFFF, len(th)
         group = np.zeros(n, np.int64)
         group[start[1:]] = 1
@@ -555,6 +621,8 @@ def may_be_similar(made: DataFrame, roots: DataFrame, least: float) -> DataFrame
         new = np.append(np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (root[1:] != root[:-1]))), n)
         after = np.repeat(new[1:], np.diff(new))
         many = end - after
+        hot_row = np.array([len(x) > 0 for x in own], bool)[start][group]
+        many[hot_row] = 0
         for lo, hi in slices(np.cumsum(many), PAIRS):
             i = np.repeat(np.arange(lo, hi), many[lo:hi])
             j = np.arange(len(i)) - np.repeat(np.cumsum(many[lo:hi]) - many[lo:hi], many[lo:hi]) + after[i]
@@ -564,12 +632,13 @@ def may_be_similar(made: DataFrame, roots: DataFrame, least: float) -> DataFrame
             need = np.ceil(least / (1 + least) * (size[i] + size[j]) - 1e-9)
             fits = np.minimum(size[i] - at[i], size[j] - at[j]) >= need
             beyond = np.ceil(least * np.maximum(size[i], size[j]) - 1e-9) - 1
-            out = [np.minimum(th[i], th[j]), np.maximum(th[i], th[j]), (need - beyond).astype(np.int32), fits]
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "need", "fits"])
+                yield made_of(np.minimum(th[i], th[j]), np.maximum(th[i], th[j]), need - beyond, fits, np.ones(len(i)))
+        for g in np.flatnonzero(hot_row[start]):
+            yield from met_hot([c[start[g] : end[start[g]]] for c in cols])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ("key", "block", "side", "th", "root", "span"), None
+        names, held = ("key", "block", "side", "th", "root", "span", "brought"), None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -586,10 +655,10 @@ def may_be_similar(made: DataFrame, roots: DataFrame, least: float) -> DataFrame
         if held is not None:
             yield from met(held, np.zeros(1, np.int64))
 
-    pairs = dealt.mapInArrow(run, "a long, b long, need int, fits boolean").groupBy("a", "b")
-    pairs = pairs.agg(F.count("*").alias("n"), F.max("need").alias("need"), F.max("fits").alias("fits"))
+    pairs = dealt.mapInArrow(run, "a long, b long, need int, fits boolean, many int").groupBy("a", "b")
+    pairs = pairs.agg(F.sum("many").alias("n"), F.max("need").alias("need"), F.max("fits").alias("fits"))
     pairs = stash(pairs.where("fits and n >= need").select("a", "b"), "pairs")
-    discard(named, several)
+    discard(named, several, full)
     return pairs
 
 
@@ -646,18 +715,28 @@ def similar_groups(
         return some.join(wanted, (F.col("th") == F.col("wth")) & F.col("doc_id").eqNullSafe(F.col("wid"))).select("th", "text")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
-        """Those of the pairs (a, b) of nodes that are similar, by their whole sets."""
+        """Those of the pairs (a, b) of nodes that are similar: by their sets' counts in buckets, and what these allow by whole sets."""
         ends = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
         ends = stash(ends.join(nodes, "th").select("th", "least"), "ends")
 
         def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-            made = [shingle_set(t, words_per_shingle).tobytes() for t in raw_texts(batch)]
-            return pa.RecordBatch.from_arrays([batch.column("th"), pa.array(made, pa.binary())], ["th", "shingles"])
+            made = [shingle_set(t, words_per_shingle) for t in raw_texts(batch)]
+            cols = [pa.array([f(x) for x in made], pa.binary()) for f in (np.ndarray.tobytes, bucket_counts)]
+            return pa.RecordBatch.from_arrays([batch.column("th"), *cols], ["th", "shingles", "counts"])
 
-        full = map_arrow(fetched(ends), whole, "th long, shingles binary")
+        full = map_arrow(fetched(ends), whole, "th long, shingles binary, counts binary")
         full = stash(full.dropDuplicates(["th"]) if repeated else full, "sets")
-        both = pairs.join(full.select(F.col("th").alias("a"), F.col("shingles").alias("sa")), "a")
-        both = both.join(full.select(F.col("th").alias("b"), F.col("shingles").alias("sb")), "b")
+
+        def joined(some: DataFrame, column: str) -> DataFrame:
+            for end in "ab":
+                some = some.join(full.select(F.col("th").alias(end), F.col(column).alias(f"s{end}")), end)
+            return some.select("a", "b", "sa", "sb")
+
+        def room(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = [may_share(x, y, similarity) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
+            return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        likely = stash(map_arrow(joined(pairs, "counts"), room, "a long, b long"), "likely")
 
         def similar(batch: pa.RecordBatch) -> pa.RecordBatch:
             keep = []
@@ -667,8 +746,8 @@ def similar_groups(
                 keep.append(n >= similarity * (len(x) + len(y) - n) - 1e-9)
             return batch.select(["a", "b"]).filter(pa.array(keep))
 
-        out = stash(map_arrow(both.select("a", "b", "sa", "sb"), similar, "a long, b long"), label)
-        discard(ends, full)
+        out = stash(map_arrow(joined(likely, "shingles"), similar, "a long, b long"), label)
+        discard(ends, full, likely)
         return out
 
     def grouped_by(edges: DataFrame) -> DataFrame:
