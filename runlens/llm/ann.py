@@ -1,9 +1,9 @@
 """Nearest neighbours by inner product with an inverted multi-index.
 
 Vectors are halved and each half is quantised by k-means of its own (fitted on a bounded sample); a vector's cell is the pair of its
-centroids. A query walks the pairs in descending order of the summed inner products of its halves with the centroids (a
-heap over the two sorted lists) until the cells hold a share of all distinct vectors, and all of their vectors are scored on the
-original values in double precision. Every row is indexed.
+centroids. A query walks the pairs in descending order of the summed inner products of its halves with the centroids
+until the cells hold a share of all distinct vectors, and all of their vectors are scored: by products of matrices, and those that may be
+among its nearest on the original values in double precision. Every row is indexed.
 
 The number of centroids grows with the table, so that there are about as many cells as vectors until each half has ``CENTROIDS``. The share is learnt
 on the fitting sample: the least that finds ``recall`` of the true neighbours there, for queries and candidates that k-means has not
@@ -18,7 +18,6 @@ all; an empty table gives an empty result. Columns other than the id, the vector
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +37,8 @@ CENTROIDS, CELL = 256, 1
 TRIALS = 512
 #: Vectors of one cell that lie together; larger cells are dealt to several blocks.
 BLOCK = 4096
+#: Products of queries and vectors that a task holds at once.
+SCORED = 1 << 21
 #: Parts that the index has at least; more where parts would hold over 16 blocks of vectors.
 SHARDS = 32
 
@@ -69,27 +70,15 @@ def nearest_centroid(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmax(x @ c.T - 0.5 * (c * c).sum(axis=1), axis=1)
 
 
-def walk(a: np.ndarray, b: np.ndarray, counts: list[int], want: int) -> list[int]:
-    """Cells in descending order of a[i] + b[j] until they hold ``want`` vectors; empty cells are passed over.
+def walk(a: np.ndarray, b: np.ndarray, full: np.ndarray, weight: np.ndarray, want: int) -> np.ndarray:
+    """Those of the cells ``full`` that come first in descending order of a[i] + b[j], until their ``weight`` reaches ``want``.
 
-    The heap has the next pair of each centroid of the first half that has been reached; one is reached when the pair before it is taken.
+    Cells with equal sums are taken together.
     """
-    oa, ob = np.argsort(-a, kind="stable").tolist(), np.argsort(-b, kind="stable").tolist()
-    sa, sb, width = (-a[oa]).tolist(), (-b[ob]).tolist(), len(b)
-    heap, out, got = [(sa[0] + sb[0], 0, 0)], [], 0
-    while heap and got < want:
-        _, i, j = heap[0]
-        cell = oa[i] * width + ob[j]
-        if n := counts[cell]:
-            out.append(cell)
-            got += n
-        if j + 1 < width:
-            heapq.heapreplace(heap, (sa[i] + sb[j + 1], i, j + 1))
-        else:
-            heapq.heappop(heap)
-        if j == 0 and i + 1 < len(oa):
-            heapq.heappush(heap, (sa[i + 1] + sb[0], i + 1, 0))
-    return out
+    sums = np.add.outer(a, b).ravel()[full]
+    order = np.argsort(-sums)
+    last = min(int(np.searchsorted(np.cumsum(weight[order]), want)), len(order) - 1)
+    return full[~(sums < sums[order[last]])]
 
 
 def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -199,7 +188,8 @@ def nearest(
     if not total:
         return empty
     want = max(int(np.ceil(share * distinct.sum())), k + 1)
-    weight = distinct.tolist()
+    full = np.flatnonzero(counts)
+    weight = distinct[full]
     blocks = np.maximum(1, -(-counts // BLOCK))
     shards = max(SHARDS, -(-total // (16 * BLOCK)))
     first = np.cumsum(blocks) - blocks  # number of each cell's first block
@@ -219,26 +209,30 @@ def nearest(
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries to the shards of the blocks of the cells that they walk."""
         for batch in pieces(batches, 256):
-            out: list[tuple] = []
-            for i, h, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "h", "v"))):
-                q = np.frombuffer(raw)
-                seen = np.array(walk(ca @ q[:half], cb @ q[half:], weight, want), np.int64)
+            ids, h, raw = (batch.column(c) for c in ("id", "h", "v"))
+            asking, shard_of, many, lists = [], [], [], []
+            for i, v in enumerate(raw.to_pylist()):
+                q = np.frombuffer(v)
+                seen = walk(ca @ q[:half], cb @ q[half:], full, weight, want)
                 size = blocks[seen]
                 block = np.repeat(first[seen], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                shard, cell_of = block % shards, np.repeat(seen, size)
-                order = np.argsort(shard, kind="stable")
-                for piece in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                    out.append((int(shard[piece[0]]), True, i, h, raw, np.unique(cell_of[piece]).tolist()))
-            kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)], names)
+                pair = np.unique(block % shards * cells + np.repeat(seen, size))  # a cell may have several blocks in a shard
+                shard, n = np.unique(pair // cells, return_counts=True)
+                asking.append(np.full(len(shard), i))
+                shard_of.append(shard)
+                many.append(n)
+                lists.append(pair % cells)
+            at, ends = pa.array(np.concatenate(asking)), np.cumsum(np.concatenate(many))
+            wanted = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.concatenate(lists).astype(np.int32)))
+            cols = [pa.array(np.concatenate(shard_of).astype(np.int32)), pa.array(np.ones(len(at), bool)), ids.take(at), h.take(at), raw.take(at), wanted]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     asked = rows.where("query").dropDuplicates(["id", "h", "v"])
     dealt = rows.mapInArrow(deal, schema).unionByName(asked.mapInArrow(ask, schema))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "query")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, cell, v = None, [], [], []
-        table: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
+        shard, ids, cell, v, held = None, [], [], [], None
         for batch in batches:
             number, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "query"))
             cuts = np.flatnonzero((number[1:] != number[:-1]) | (asks[1:] != asks[:-1])) + 1
@@ -247,7 +241,7 @@ def nearest(
                     continue
                 piece = batch.slice(int(part[0]), len(part))
                 if number[part[0]] != shard:
-                    shard, ids, cell, v, table = number[part[0]], [], [], [], {}
+                    shard, ids, cell, v, held = number[part[0]], [], [], [], None
                 piece_ids = piece.column("id").to_numpy(zero_copy_only=False)
                 values = np.frombuffer(b"".join(piece.column("v").to_pylist())).reshape(len(part), dim)
                 if not asks[part[0]]:
@@ -255,41 +249,40 @@ def nearest(
                     cell.append(piece.column("cells").flatten().to_numpy())
                     v.append(values)
                     continue
-                if ids and not table:
+                if not ids:
+                    continue
+                if held is None:  # vectors in the order of their cells
                     i, c, w = np.concatenate(ids), np.concatenate(cell), np.concatenate(v)
                     order = np.argsort(c, kind="stable")
-                    for own in np.split(order, np.flatnonzero(np.diff(c[order])) + 1):
-                        table[int(c[own[0]])] = (i[own], w[own], float(np.linalg.norm(w[own], axis=1).max()))
+                    start = np.flatnonzero(np.append(True, np.diff(c[order]) != 0))
+                    held = i[order], w[order], c[order][start], np.append(start, len(c)), float(np.linalg.norm(w, axis=1).max())
+                    ids, cell, v = [held[0]], [], []
                 hashes = piece.column("h").to_numpy(zero_copy_only=False)
-                for lo in range(0, len(part), 512):
-                    yield from answers(piece_ids[lo : lo + 512], hashes[lo : lo + 512], values[lo : lo + 512], piece.column("cells").slice(lo, 512), table)
+                step = max(1, SCORED // len(held[0]))
+                for lo in range(0, len(part), step):
+                    yield from answers(piece_ids[lo : lo + step], hashes[lo : lo + step], values[lo : lo + step], piece.column("cells").slice(lo, step), held)
 
-    def answers(query_ids, hashes, q, wanted, table) -> Iterator[pa.RecordBatch]:
+    def answers(query_ids, hashes, q, wanted, held) -> Iterator[pa.RecordBatch]:
+        ids, w, own_cells, start, longest = held
         lists = wanted.flatten().to_numpy()
         owner = np.repeat(np.arange(len(query_ids)), np.diff(wanted.offsets.to_numpy()))
-        long = np.linalg.norm(q, axis=1)
-        who, score, ids = [], [], []
         by_cell = np.argsort(lists, kind="stable")
-        for own in np.split(by_cell, np.flatnonzero(np.diff(lists[by_cell])) + 1) if len(lists) else []:
-            if int(lists[own[0]]) not in table:
-                continue
-            asking = owner[own]
-            own_ids, w, longest = table[int(lists[own[0]])]
-            rough = q[asking] @ w.T
-            rough[query_ids[asking][:, None] == own_ids[None, :]] = -np.inf
-            if len(own_ids) > k:  # what the k-th product may hide: the two sums of products differ by their rounding alone
-                limit = np.partition(rough, len(own_ids) - k, axis=1)[:, len(own_ids) - k]
-                limit = limit - 4 * dim * np.finfo(float).eps * long[asking] * longest
-            else:
-                limit = np.full(len(asking), -np.inf)
-            i, j = np.nonzero(~(rough < limit[:, None]) & (rough != -np.inf))
-            who.append(asking[i])
-            score.append(scores(q[asking[i]], w[j]))
-            ids.append(own_ids[j])
-        if who:
-            w_, s_, i_ = np.concatenate(who), np.concatenate(score), np.concatenate(ids)
-            keep = best(w_, s_, i_, k)
-            cols = [query_ids[w_[keep]], hashes[w_[keep]], i_[keep], s_[keep]]
+        lists, owner = lists[by_cell], owner[by_cell]
+        lo, hi = np.searchsorted(lists, own_cells, "left"), np.searchsorted(lists, own_cells, "right")
+        rough = np.full((len(q), len(ids)), -np.inf)  # of the cells that are not walked
+        for c in np.flatnonzero(hi > lo).tolist():
+            asking, x, y = owner[lo[c] : hi[c]], start[c], start[c + 1]
+            rough[asking, x:y] = q[asking] @ w[x:y].T
+        rough[query_ids[:, None] == ids[None, :]] = -np.inf
+        limit = np.full(len(q), -np.inf)
+        if len(ids) > k:  # what the k-th product may hide: the two sums of products differ by their rounding alone
+            limit = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
+            limit = limit - 4 * dim * np.finfo(float).eps * np.linalg.norm(q, axis=1) * longest
+        i, j = np.nonzero(~(rough < limit[:, None]) & (rough != -np.inf))
+        if len(i):
+            score = scores(q[i], w[j])
+            keep = best(i, score, ids[j], k)
+            cols = [query_ids[i[keep]], hashes[i[keep]], ids[j[keep]], score[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "query_hash", "vec_id", "score"])
 
     found = dealt.mapInArrow(search, "query_id long, query_hash long, vec_id long, score double")
