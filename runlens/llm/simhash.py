@@ -563,7 +563,8 @@ def may_be_similar(made: DataFrame, roots: DataFrame, least: float) -> DataFrame
         cols = [*(pa.array(x) for x in (key[stay], th, root, span)), brought]
         return pa.RecordBatch.from_arrays(cols, ["key", "th", "root", "span", "brought"])
 
-    rows = map_arrow(named, exploded, "key long, th long, root long, span long, brought binary")
+    # A shingle of 8 bytes becomes a row of up to 300, with what its text brings.
+    rows = map_arrow(named, exploded, "key long, th long, root long, span long, brought binary", 1 << 19)
     rows = rows.join(full, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.hash("th"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x, y = F.least("own", "other"), F.greatest("own", "other")
@@ -581,9 +582,11 @@ def may_be_similar(made: DataFrame, roots: DataFrame, least: float) -> DataFrame
         size, at, n = span >> 32, span & 0xFFFFFFFF, len(th)
         lists = [np.frombuffer(x, np.int64) for x in own]
         many = np.array([len(x) for x in lists], np.int64)
-        every, col = np.unique(np.concatenate(lists), return_inverse=True)
+        every, col, texts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        pos, two = np.cumsum(texts > 1) - 1, (texts > 1)[col]  # what one text alone brings is shared by none
+        every, col = every[texts > 1], pos[col[two]]
         table = np.zeros((n, len(every)), np.float32)
-        table[np.repeat(np.arange(n), many), col] = 1
+        table[np.repeat(np.arange(n), many)[two], col] = 1
         least_col = int(np.searchsorted(every, key[0]))
         brings = table[:, least_col] > 0 if least_col < len(every) and every[least_col] == key[0] else np.zeros(n, bool)  # not beyond the ``BROUGHT``
         below = table[:, :least_col]
