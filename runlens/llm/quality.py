@@ -118,12 +118,12 @@ def held_out(id_col: Column) -> Column:
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, x binary): statistics of every row as packed doubles."""
+    return map_arrow(id_text(docs, id_col, text_col), described, "doc_id long, x binary")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [np.array(statistics(t)).tobytes() for t in raw_texts(batch)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.binary())], ["doc_id", "x"])
 
-    return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, x binary")
+def described(batch: pa.RecordBatch) -> pa.RecordBatch:
+    x = [np.array(statistics(t)).tobytes() for t in raw_texts(batch)]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.binary())], ["doc_id", "x"])
 
 
 def matrix(batch: pa.RecordBatch, name: str = "x") -> np.ndarray:
@@ -174,9 +174,9 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return batch.filter(pa.array(ids.may_hold(batch.column("h").to_numpy(zero_copy_only=False))))
 
     some = id_text(docs, id_col, text_col).withColumn("h", F.xxhash64("doc_id"))
-    rows = features(map_arrow(some, labelled, some.schema), "doc_id", "text")
+    rows = stash(map_arrow(map_arrow(some, labelled, some.schema), described, "doc_id long, x binary"), "statistics")
     model = fit(rows, known)
-    discard(known)
+    discard(known, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

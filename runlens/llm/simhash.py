@@ -436,7 +436,7 @@ def shingle_ranks(texts: DataFrame, k: int) -> np.ndarray:
         sets = np.concatenate([shingle_set(t, k) for t in raw_texts(batch)])
         return np.bincount((sets % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
 
-    return (2 * np.log2(np.maximum(vector_sum(texts.select("text"), counts, SKETCH), 1))).astype(np.uint8)
+    return (2 * np.log2(np.maximum(vector_sum(texts, counts, SKETCH), 1))).astype(np.uint8)
 
 
 #: How often chains are tried before all pairs, the least hashes that order a chain, and how many of them neighbours share.
@@ -469,7 +469,7 @@ def first_shingles(texts: DataFrame, k: int, least: float) -> DataFrame:
         cols = [batch.column("th"), pa.array(size, pa.int32()), pa.array(made, pa.binary()), pa.array(mins, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, ["th", "size", "shingles", "mins"])
 
-    return map_arrow(texts.select("th", "text"), first, "th long, size int, shingles binary, mins binary")
+    return map_arrow(texts, first, "th long, size int, shingles binary, mins binary")
 
 
 def shingle_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -477,8 +477,9 @@ def shingle_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(every), np.array([len(x) for x in every], np.int64)
 
 
-def with_roots(made: DataFrame, roots: DataFrame) -> DataFrame:
-    """``made`` with the root of each text, itself for texts that ``roots`` does not have; most rows stay where they are."""
+def with_roots(made: DataFrame, roots: DataFrame, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = "") -> DataFrame:
+    """``made``, or what ``then`` makes of it, with the root of each text ``th``, itself for texts that ``roots`` does not have; most rows
+    stay where they are."""
     known = Bitmap.of(roots.select("th"), "th")
 
     def part(held: bool) -> DataFrame:
@@ -486,10 +487,10 @@ def with_roots(made: DataFrame, roots: DataFrame) -> DataFrame:
             may = known.may_hold(batch.column("th").to_numpy(zero_copy_only=False))
             return batch.filter(pa.array(may if held else ~may))
 
-        return map_arrow(made, run, made.schema)
+        out = map_arrow(made, run, made.schema)
+        return map_arrow(out, then, schema) if then else out
 
-    named = part(False).withColumn("root", F.col("th")).unionByName(part(True).join(roots, "th", "left").withColumn("root", F.coalesce("root", "th")))
-    return named.select("th", "root", "size", "shingles", "mins")
+    return part(False).withColumn("root", F.col("th")).unionByName(part(True).join(roots, "th", "left").withColumn("root", F.coalesce("root", "th")))
 
 
 def common_keys(made: DataFrame) -> DataFrame:
@@ -516,10 +517,10 @@ def chains(made: DataFrame, roots: DataFrame, keys: DataFrame, least: float, tur
         stay = common.may_hold(key)
         at = np.repeat(np.arange(len(n)), n)[stay]
         order = pa.array([m[turn * width : (turn + 1) * width] for m in batch.column("mins").to_pylist()], pa.binary()).take(pa.array(at))
-        cols = [pa.array(key[stay]), *(batch.column(c).take(pa.array(at)) for c in ("th", "root", "size")), order]
-        return pa.RecordBatch.from_arrays(cols, ["key", "th", "root", "size", "order"])
+        cols = [pa.array(key[stay]), *(batch.column(c).take(pa.array(at)) for c in ("th", "size")), order]
+        return pa.RecordBatch.from_arrays(cols, ["key", "th", "size", "order"])
 
-    rows = map_arrow(with_roots(made, roots), exploded, "key long, th long, root long, size int, order binary").join(keys, "key")
+    rows = with_roots(made, roots, exploded, "key long, th long, size int, order binary").join(keys, "key")
     group = F.pmod(F.xxhash64(F.substring("order", 1, 8)), F.ceil(F.col("n") / SHARED))
     r = F.struct("root", "size", "th", "order").alias("r")
     before = F.lag(F.struct("root", "size", "th", "order")).over(Window.partitionBy("key", group).orderBy("order", "th"))
@@ -715,6 +716,7 @@ def similar_groups(
             return batch.filter(pa.array(known.may_hold(batch.column("th").to_numpy(zero_copy_only=False))))
 
         some = map_arrow(hashed, likely, hashed.schema)
+        wanted = wanted.hint("merge")  # a broadcast would leave two Python processes to each task of what follows
         return some.join(wanted, (F.col("th") == F.col("wth")) & F.col("doc_id").eqNullSafe(F.col("wid"))).select("th", "text")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
