@@ -12,8 +12,9 @@ of their window's minimiser (its anchor) and each part is sorted on its own.
    hash occurs once are dropped; the suffixes at the others are mergesorted, comparing by the longest common extension, which binary
    search over prefix polynomial hashes finds in log(window) steps. Neighbours in that order with a common extension of a whole window
    are compared byte by byte, and are repeats if equal.
-4. An anchor of more than ``HOT`` runs is not one group: its runs are cut to windows, and these are counted by their bytes, which
-   combines map-side, so that no task gathers what one anchor has.
+4. An anchor of more than ``HOT`` runs is not one group: its runs are counted by their bytes, which combines map-side, so that no task
+   gathers what one anchor has. What it has of distinct runs meets as above; if these are over ``HOT`` still, they are cut to windows,
+   which are counted in the same way.
 5. Covered bytes are merged to spans for each document and cut out.
 
 No byte goes on the word of a hash alone. A row is known by its id and a 64-bit hash of its text, so rows with null or repeated ids are
@@ -436,9 +437,9 @@ def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 SPANS = "doc_id long, th long, s int, len int"
 
 
-def compared(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+def compared(fetched_runs: DataFrame, window: int) -> DataFrame:
     """Spans (doc_id, th, s, len) of repeats among the runs of an anchor, by their bytes."""
-    rows = fetched(docs, wanted).repartition("khash").sortWithinPartitions("khash")
+    rows = fetched_runs.repartition("khash").sortWithinPartitions("khash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, "khash"):
@@ -472,34 +473,66 @@ def compared(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, SPANS)
 
 
-def counted_windows(docs: DataFrame, hot: DataFrame, window: int) -> DataFrame:
-    """Spans of repeats among the runs of hot anchors, by windows: a window's bytes are a key, counted map-side first.
+def counted_runs(docs: DataFrame, wanted: DataFrame, window: int, hot: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Spans of repeats among the runs of hot anchors, and what was written for them.
 
-    Windows whose hash occurs once are left out by a filter before their bytes move.
+    Runs are counted by their bytes. A distinct run that occurs once is a row of its own; one that occurs again is a repeat as a whole,
+    and stands for all its rows when the distinct runs of an anchor are held against each other.
+    """
+    runs_ = stash(fetched(docs, wanted), "hot-runs")
+    one = [F.min(c).alias(c) for c in ("doc_id", "th", "s", "off")]
+    distinct = runs_.groupBy("khash", "u").agg(F.count("*").alias("n"), F.max("multi").alias("multi"), *one)
+    distinct = stash(distinct.withColumn("multi", F.col("multi") | (F.col("n") > 1)), "distinct-runs")
+    whole = runs_.where("not multi").join(distinct.where("n > 1").select("khash", "u"), ["khash", "u"], "left_semi")
+    out = whole.select("doc_id", "th", "s", F.length("u").alias("len"))
+    kinds = distinct.groupBy("khash").agg(F.count("*").alias("kinds"), F.bool_and("multi").alias("solved"))
+    kinds = stash(kinds.where("kinds > 1 and not solved").select("khash", (F.col("kinds") > hot).alias("many")), "kinds")
+    columns = ["khash", "doc_id", "th", "s", "off", "multi", "u"]
+    few, many = (distinct.join(kinds.where(F.col("many") == x), "khash", "left_semi").select(columns) for x in (False, True))
+    out = out.unionByName(compared(few, window))
+    written = [runs_, distinct, kinds]
+    if not kinds.where("many").isEmpty():
+        more, windows = counted_windows(many, window)
+        out, written = out.unionByName(more), [*written, *windows]
+    return out, written
+
+
+def counted_windows(distinct: DataFrame, window: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Spans of repeats among distinct runs, and what was written for them: a window's bytes are a key, counted map-side first.
+
+    Windows whose hash occurs once, or in runs alone that are repeats as a whole, are left out by a filter before bytes are cut.
     """
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        runs_, s = batch.column("u").to_pylist(), batch.column("s").to_numpy(zero_copy_only=False).astype(np.int64)
+    def places_of(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        runs_ = batch.column("u").to_pylist()
         n = np.array([len(x) - window + 1 for x in runs_])
         owner = np.repeat(np.arange(len(runs_)), n)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        found = [runs_[i][j : j + window] for i, j in zip(owner.tolist(), at.tolist())]
-        h = np.array([xxhash.xxh3_64_intdigest(x) for x in found], np.uint64).view(np.int64)
-        take = pa.array(owner)
-        cols = [batch.column(c).take(take) for c in ("doc_id", "th", "multi")]
-        return pa.RecordBatch.from_arrays([*cols, pa.array((s[owner] + at).astype(np.int32)), pa.array(h), pa.array(found, pa.binary())], ["doc_id", "th", "multi", "s", "h", "w"])
-
-    windows = stash(map_arrow(fetched(docs, hot), cut, "doc_id long, th long, multi boolean, s int, h long, w binary"), "windows")
-    n = F.sum(F.when(F.col("multi"), 2).otherwise(1))
-    twice = stash(windows.groupBy("h").agg(n.alias("n")).where("n > 1").select("h"), "twice")
+        h = [xxhash.xxh3_64_intdigest(u[j : j + window]) for u, m in zip(runs_, n.tolist()) for j in range(m)]
+        return runs_, owner, at, np.array(h, np.uint64).view(np.int64)
+
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, owner, _, h = places_of(batch)
+        return pa.RecordBatch.from_arrays([pa.array(h), batch.column("multi").take(pa.array(owner))], ["h", "multi"])
+
+    n = F.sum(F.when(F.col("multi"), 2).otherwise(1)).alias("n")
+    twice = map_arrow(distinct, hashed, "h long, multi boolean", 1 << 18).groupBy("h").agg(n, F.bool_and("multi").alias("solved"))
+    twice = stash(twice.where("n > 1 and not solved").select("h"), "twice")
     known = Bitmap.of(twice, "h")
 
-    def may_repeat(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(known.may_hold(batch.column("h").to_numpy(zero_copy_only=False))))
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        runs_, owner, at, h = places_of(batch)
+        may = known.may_hold(h)
+        owner, at = owner[may], at[may]
+        w = pa.array([runs_[i][j : j + window] for i, j in zip(owner.tolist(), at.tolist())], pa.binary())
+        s = batch.column("s").to_numpy(zero_copy_only=False).astype(np.int64)[owner] + at
+        cols = [batch.column(c).take(pa.array(owner)) for c in ("doc_id", "th", "multi")]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(s.astype(np.int32)), w], ["doc_id", "th", "multi", "s", "w"])
 
-    some = map_arrow(windows, may_repeat, windows.schema)
-    repeated = some.groupBy("w").agg(n.alias("n")).where("n > 1").select("w")
-    return some.join(repeated, "w", "left_semi").select("doc_id", "th", "s", F.lit(window).alias("len"))
+    windows = stash(map_arrow(distinct, cut, "doc_id long, th long, multi boolean, s int, w binary", 1 << 18), "windows")
+    repeated = windows.groupBy("w").agg(n).where("n > 1").select("w")
+    spans = windows.where("not multi").join(repeated, "w", "left_semi").select("doc_id", "th", "s", F.lit(window).alias("len"))
+    return spans, [twice, windows]
 
 
 def repeated_spans(
@@ -519,12 +552,12 @@ def _spans(docs: DataFrame, window: int, hot: int, run_hash: Callable[[bytes], i
     often = stash(rows.groupBy("khash").count().where(F.col("count") > hot).select("khash"), "hot")
     if often.isEmpty():
         wanted = stash(met(rows), "met")
-        more = None
+        more, written = None, []
     else:  # runs of hot anchors are told apart by a join of anchors alone
         wanted = stash(met(rows.join(often, "khash", "left_anti").select(rows.columns)), "met")
-        more = counted_windows(base, rows.join(often, "khash", "left_semi").select(rows.columns), window)
-    spans = found.where("kind = 1").select("doc_id", "th", "s", "len").unionByName(compared(base, wanted, window))
-    return spans if more is None else spans.unionByName(more), [found, often, wanted]
+        more, written = counted_runs(base, rows.join(often, "khash", "left_semi").select(rows.columns), window, hot)
+    spans = found.where("kind = 1").select("doc_id", "th", "s", "len").unionByName(compared(fetched(base, wanted), window))
+    return spans if more is None else spans.unionByName(more), [found, often, wanted, *written]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, hot: int = HOT, run_hash: Callable[[bytes], int] = xxhash.xxh3_64_intdigest) -> DataFrame:
