@@ -766,9 +766,15 @@ def similar_groups(
     edges = verified(near, "edges")
     discard(near)
 
-    # One row of each text: of texts with copies, the others are left out where bitmaps can tell.
-    several = nodes.where("n > 1").select("th", F.xxhash64("th", "least").alias("one"))
-    copied, ones = Bitmap.of(several.select("th"), "th"), Bitmap.of(several.select("one"), "one")
+    # One row of each text: of texts with copies, the others are left out where bitmaps can tell. A text without copies that the first
+    # bitmap takes for one with them has its row in the second.
+    copied = Bitmap.of(nodes.where("n > 1").select("th"), "th")
+
+    def doubtful(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(copied.may_hold(batch.column("th").to_numpy(zero_copy_only=False))))
+
+    several = map_arrow(nodes.select("th", "least"), doubtful, "th long, least long")
+    ones = Bitmap.of(several.select(F.xxhash64("th", "least").alias("one")), "one")
 
     def single(batch: pa.RecordBatch) -> pa.RecordBatch:
         th, one = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("th", "one"))

@@ -122,6 +122,24 @@ def test_near_dedup_finds_cut_extended_and_short_copies(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.near_dedup(docs).collect()} == set(comp.values())
 
 
+def test_near_dedup_takes_texts_without_copies_for_copies(spark, monkeypatch):
+    """What a bitmap takes for a text with copies, and is none, is searched like any other."""
+    of = simhash.Bitmap.of.__func__
+    full = classmethod(lambda cls, df, column: cls(b"\xff" * (cls.LEAST // 8)) if column == "th" else of(cls, df, column))
+    monkeypatch.setattr(simhash.Bitmap, "of", full)
+    rng = random.Random(6)
+    rows = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(60)]
+        rows += [base, [*base, *(f"w{rng.randrange(3000)}" for _ in range(10))]]
+    texts = {i: " ".join(r) for i, r in enumerate(rows)} | {100: "a text with a copy", 101: "a text with a copy"}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    comp = groups(list(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs, tau=1).collect()} == comp
+    assert len(set(comp.values())) == 13
+
+
 def brute(vectors, queries, k):
     out = {}
     for q in queries:
