@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, stash
 
+#: Edges (4 MB) that the driver labels by itself; more take rounds of joins.
+SMALL = 1 << 18
+
+
+def labelled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ends of the edges (a, b), sorted, and the smallest end that each reaches.
+
+    In a round each component joins the least neighbour that is smaller than itself; only those without one stay, half at most.
+    """
+    nodes, ix = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ix[: len(a)], ix[len(a) :]
+    label = np.arange(len(nodes))
+    while len(cross := np.flatnonzero(label[x] != label[y])):
+        x, y = x[cross], y[cross]
+        p, q = label[x], label[y]
+        up = np.arange(len(nodes))
+        np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+    return nodes, nodes[label]
+
 
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of ``edges(a long, b long)``: (node, component).
 
-    Alternating large-star and small-star steps over DataFrames until no edge changes: O(log n) rounds in
+    Up to ``SMALL`` edges, repeated ones included, come to the driver: rounds of joins over so few cost their stages alone. More take
+    alternating large-star and small-star steps over DataFrames until no edge changes: O(log n) rounds in
     practice. Each round is grouped minima (combined map-side) and an equi-join that adaptive execution can split at
     hub nodes; each round is written to the shared folder. Self-loops and repeated edges are allowed; nulls are
     dropped; an empty table gives an empty result. What a round wrote goes when the next has been written.
@@ -19,9 +44,15 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     )
-    e = stash(e.distinct(), "edges")
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    e = stash(e, "edges")
+    if e.count() <= SMALL:
+        few = e.toArrow()
+        discard(e)
+        nodes, least = labelled(*(few.column(c).to_numpy() for c in ("u", "v")))
+        made = pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array(least, pa.int64())})
+        return edges.sparkSession.createDataFrame(made, "node long, component long")
+    e, repeated = stash(e.distinct(), "edges"), e
+    discard(repeated)
     while True:
         # Large star: every larger neighbour of u points to the smallest of u and its neighbours.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -70,6 +70,24 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
 
 
+@pytest.mark.parametrize("small", [1 << 18, 0])
+def test_few_edges_need_no_rounds(spark, monkeypatch, small):
+    """On the driver or in rounds the components are the same; a few edges are written once and joined with nothing."""
+    monkeypatch.setattr(graph, "SMALL", small)
+    written, stash = [], graph.stash
+    monkeypatch.setattr(graph, "stash", lambda df, label: written.append(label) or stash(df, label))
+    rng = random.Random(8)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 - i) for i in range(30)] * 2
+    edges += [(-(1 << 63), 1 << 62), (5, 5), (None, 3), (4, None)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    real = [(a, b) for a, b in edges if a is not None and b is not None and a != b]
+    near = {frozenset(e) for e in real}
+    assert got == groups(sorted({x for e in real for x in e}), lambda a, b: frozenset((a, b)) in near)
+    assert written == ["edges"] if small else len(written) > 4
+    empty = graph.components(spark.createDataFrame([(7, 7)], "a long, b long"))
+    assert empty.collect() == [] and empty.dtypes == [("node", "bigint"), ("component", "bigint")]
+
+
 def shingle_set(text):
     w = (text or "").encode().lower().split()
     return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
