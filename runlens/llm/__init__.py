@@ -1 +1 @@
-"""Training-data pipeline operators. Nothing else in the library imports this subpackage."""
+"""Training-data pipeline operators. Nothing else in the library imports this subpackage, but `operators.sets`, for written tables."""
