@@ -34,18 +34,20 @@ def task_means(trials: DataFrame) -> DataFrame:
 def wins(trials: DataFrame, champion: str, candidate: str) -> DataFrame:
     """(wins, ties, losses) of the candidate over tasks of both jobs, by mean and then by spread, of trials with rewards 0 and 1.
 
-    Spreads come from sums, which are exact for such rewards, so that equal tasks tie in any order of rows. As in SQL a spread that is
-    null (one trial) is above all others, and where means are equal it neither ties nor loses.
+    Spreads come from sums, which are exact for such rewards, so that equal tasks tie in any order of rows. As in SQL a null is above
+    all else for a win (a mean without rewards, a spread of one trial), a task whose tie is unknown neither ties nor loses, and a count
+    is null if nothing is known of any task.
     """
     n, s, q = F.count("reward"), F.sum("reward"), F.sum(F.col("reward") * F.col("reward"))
     sd = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (q - s * s / n) / (n - 1))))
     m = trials.where(F.col("job").isin(champion, candidate)).groupBy("job", "task").agg((s / n).alias("mean"), sd.alias("sd"))
     pick = lambda job, x: m.where(F.col("job") == job).select("task", F.col("mean").alias(f"{x}m"), F.col("sd").alias(f"{x}s"))
     p = pick(champion, "x").join(pick(candidate, "y"), "task")
-    level, up = F.col("xm") == F.col("ym"), F.col("ys").isNull() & F.col("xs").isNotNull()
-    win = (F.col("ym") > F.col("xm")) | (level & (up | F.coalesce(F.col("ys") > F.col("xs"), F.lit(False))))
-    tie = level & F.coalesce(F.col("xs") == F.col("ys"), F.lit(False))
-    loss = (F.col("ym") < F.col("xm")) | (level & F.coalesce(F.col("ys") < F.col("xs"), F.lit(False)))
+    xm, xs, ym, ys = (F.col(c) for c in ("xm", "xs", "ym", "ys"))
+    above = lambda y, x: F.coalesce(y > x, y.isNull() & x.isNotNull())
+    win = above(ym, xm) | (ym.eqNullSafe(xm) & above(ys, xs))
+    tie = (xm == ym) & (xs == ys)
+    loss = ~win & ~tie
     return p.agg(*[F.sum(c.cast("long")).alias(name) for c, name in ((win, "wins"), (tie, "ties"), (loss, "losses"))])
 
 
