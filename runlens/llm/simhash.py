@@ -773,8 +773,8 @@ def similar_groups(
     def doubtful(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(copied.may_hold(batch.column("th").to_numpy(zero_copy_only=False))))
 
-    several = map_arrow(nodes.select("th", "least"), doubtful, "th long, least long")
-    ones = Bitmap.of(several.select(F.xxhash64("th", "least").alias("one")), "one")
+    several = nodes.select("th", F.xxhash64("th", "least").alias("one"))
+    ones = Bitmap.of(map_arrow(several, doubtful, "th long, one long"), "one")
 
     def single(batch: pa.RecordBatch) -> pa.RecordBatch:
         th, one = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("th", "one"))

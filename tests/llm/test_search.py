@@ -4,11 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from runlens.llm import ann, graph, simhash
+from runlens.llm import ann, common, graph, simhash
 
 
 def plain_fingerprint(text):
@@ -140,6 +141,36 @@ def test_near_dedup_finds_cut_extended_and_short_copies(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.near_dedup(docs).collect()} == set(comp.values())
 
 
+def at_once(plan):
+    """The most Python functions that a task of the plan runs at once, and those of its last stage."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return at_once(plan.executedPlan())
+    kids = [at_once(plan.children().apply(i)) for i in range(plan.children().size())]
+    own = [n for _, n in kids]
+    last = (max if plan.nodeName() == "Union" else sum)([0, *own]) + (plan.nodeName() == "MapInArrow")
+    return max([last, *(most for most, _ in kids)]), 0 if "Exchange" in plan.nodeName() else last
+
+
+def test_near_dedup_runs_one_python_function_in_a_task(spark, sf, monkeypatch):
+    """Each process that a task has at once is one that its executor keeps, with some 100 MB each."""
+    seen = []
+    for module, name in ((common, "_merged"), (simhash, "stash"), (graph, "stash")):
+        f = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda df, *a, f=f: seen.append(at_once(df._jdf.queryExecution().executedPlan())[0]) or f(df, *a))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = simhash.near_dedup(docs)
+    seen.append(at_once(kept._jdf.queryExecution().executedPlan())[0])
+    assert len(seen) > 20 and max(seen) == 1
+
+
+def test_bitmap_of_mapped_rows(spark):
+    rows = spark.createDataFrame([(1, 7), (2, None), (3, -9), (4, 8)], "i long, h long")
+    odd = common.map_arrow(rows, lambda batch: batch.filter(pc.not_equal(batch.column("i"), 4)), "i long, h long")
+    want = common.Bitmap.of(rows.where("i < 4 and h is not null"), "h")
+    assert common.Bitmap.of(odd, "h").packed == want.packed
+    assert want.may_hold(np.array([7, -9, 8])).tolist() == [True, True, False]
+
+
 def test_near_dedup_takes_texts_without_copies_for_copies(spark, monkeypatch):
     """What a bitmap takes for a text with copies, and is none, is searched like any other."""
     of = simhash.Bitmap.of.__func__
